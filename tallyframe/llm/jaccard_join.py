@@ -11,8 +11,8 @@ The Jaccard distance ``d = 1 - |x & y| / |x | y|`` is a metric, and documents li
    is in the pivot's Voronoi cell and linked. A cell is one component whatever its size, so its members
    are never compared with each other.
 4. Regions whose classes lie in different components are joined again, with the triangle inequality as window:
-   a pair with ``|d(x, pivot) - d(y, pivot)| > eps`` cannot link; neither can one whose sizes or positions in the
-   order leave too little overlap. What is left is compared exactly. Regions that still hold more than
+   a pair with ``|d(x, pivot) - d(y, pivot)| > eps`` cannot link; neither can one whose sizes, positions in the
+   order or parity signatures leave too little overlap. What is left is compared exactly. Regions that still hold more than
    ``region`` classes are first joined recursively: their shingles are counted exactly within those regions only,
    which makes the shared passage that brought them together frequent, and new prefixes and pivots are drawn.
 
@@ -151,12 +151,56 @@ def _compare(batches):
             yield pa.record_batch([part.column(part.schema.get_field_index("x")), part.column(part.schema.get_field_index("y")), pa.array(both.astype(np.int64))], names=["x", "y", "both"])
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(x, y, d, linked)``; joins of direct exchanges, which AQE can split at a class that is in many pairs."""
-    first = scratch.write(pairs.join(sets.select(F.col("cls").alias("x"), F.col("h").alias("a")), "x"))
-    both = first.join(sets.select(F.col("cls").alias("y"), F.col("h").alias("b")), "y")
-    found = both.select("x", "y", "a", "b").mapInArrow(_compare, "x long, y long, both long")
-    return scratch.write(found)
+def _signature(h: np.ndarray) -> bytes:
+    """Parities of how many shingles fall into each of 2**b bins, about as many bins as shingles."""
+    bits = 1 << max(6, int(len(h) - 1).bit_length())
+    odd = np.bincount((h >> _U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _bound(t: Fraction):
+    """Least distance of each pair ``(x, y, na, nb, a, b)`` and whether it may link, from the signatures.
+
+    Parities of two sets differ in no more bins than the sets differ in shingles, also after folding the larger
+    signature to the size of the smaller, so this never loses a link.
+    """
+
+    def run(batches):
+        for batch in batches:
+            get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+            low, may = [], []
+            for na, nb, a, b in zip(get("na").to_pylist(), get("nb").to_pylist(), get("a").to_pylist(), get("b").to_pylist()):
+                if len(a) > len(b):
+                    a, b = b, a
+                small, large, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(b) * 8
+                while size > len(a) * 8:
+                    size //= 2
+                    large = large >> size ^ large & (1 << size) - 1
+                both = min(na, nb, (na + nb - (small ^ large).bit_count()) // 2)
+                union = na + nb - both
+                low.append(1 - both / union)
+                may.append(both * t.denominator >= union * t.numerator)
+            yield pa.record_batch([get("x"), get("y"), pa.array(low, pa.float64()), pa.array(may, pa.bool_())], names=["x", "y", "low", "may"])
+
+    return run
+
+
+def _distances(pairs: DataFrame, sets: DataFrame, t: Fraction, scratch: Scratch) -> DataFrame:
+    """``(x, y, low, high, linked)``: signatures bound every pair, sets travel only for pairs that may link.
+
+    The joins are of direct exchanges, which AQE can split at a class that is in many pairs.
+    """
+    one = lambda side, what: sets.select(F.col("cls").alias("xy"[side]), F.col("n").alias(("na", "nb")[side]), F.col(what).alias("ab"[side]))
+    signed = pairs.join(one(0, "sig"), "x").join(one(1, "sig"), "y")
+    bounded = scratch.write(signed.mapInArrow(_bound(t), "x long, y long, low double, may boolean"))
+    some = bounded.filter("may").select("x", "y")
+    full = scratch.write(some.join(one(0, "h").drop("na"), "x"))
+    exact = scratch.write(full.join(one(1, "h").drop("nb"), "y").mapInArrow(_compare, "x long, y long, both long"))
+    scratch.drop(full)
+    sized = exact.join(sets.select(F.col("cls").alias("x"), F.col("n").alias("na")), "x").join(sets.select(F.col("cls").alias("y"), F.col("n").alias("nb")), "y")
+    union = F.col("na") + F.col("nb") - F.col("both")
+    known = sized.select("x", "y", (1 - F.col("both") / union).alias("d"), (F.col("both") * t.denominator >= union * t.numerator).alias("linked"))
+    return scratch.write(bounded.join(known, ["x", "y"], "left").select("x", "y", F.coalesce("d", "low").alias("low"), F.col("d").alias("high"), F.coalesce("linked", F.lit(False)).alias("linked")))
 
 
 def _feasible(t: Fraction, na: str, pa_: str, nb: str, pb: str):
@@ -200,7 +244,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = scratch.write(_live(source, by_sketch, t, buckets, from_texts))
     involved = found.select("cls").distinct().join(classes, "cls")
     texts = source.join(involved.select(F.col("rep").alias("id"), "cls").hint("shuffle_merge"), "id")
-    sets = scratch.write(texts.select("id", "text", "cls").mapInArrow(_store(words), "cls long, h binary, n long").dropDuplicates(["cls"]))
+    sets = scratch.write(texts.select("id", "text", "cls").mapInArrow(_store(words), "cls long, h binary, n long, sig binary").dropDuplicates(["cls"]))
     links = _join(found, sets, t, region, scratch, spark, 0)
     named = links.join(classes.select(F.col("cls").alias("x"), F.col("rep").alias("u")), "x").join(classes.select(F.col("cls").alias("y"), F.col("rep").alias("v")), "y")
     reached = components(named.select("u", "v"), scratch)
@@ -222,8 +266,8 @@ def _store(k: int):
             for piece in pieces(batch, "text"):
                 _, n, off, _, h = _sets(piece, k)
                 want = piece.column(2).to_pylist()
-                got = [(c, h[a:b].tobytes(), b - a) for c, a, b in zip(want, off[:-1], off[1:]) if b > a and _class(h[a:b]) == c]
-                yield pa.record_batch([pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.int64()))], names=["cls", "h", "n"])
+                got = [(c, h[a:b].tobytes(), b - a, _signature(h[a:b])) for c, a, b in zip(want, off[:-1], off[1:]) if b > a and _class(h[a:b]) == c]
+                yield pa.record_batch([pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["cls", "h", "n", "sig"])
 
     return run
 
@@ -236,15 +280,14 @@ def _live(source: DataFrame, rank_of, t: Fraction, buckets: int, sets_of) -> Dat
 def _join(found: DataFrame, sets: DataFrame, t: Fraction, region: int, scratch: Scratch, spark: SparkSession, depth: int) -> DataFrame:
     """Links ``(x, y)`` that connect everything which the pairs within the regions connect."""
     eps = float(1 - t) + 1e-9
-    size_of = sets.select("cls", "n")
     star = found.filter("cls <> pivot").filter(_feasible(t, "n", "pos", "pivot_n", "pivot_pos")).select(F.col("cls").alias("x"), F.col("pivot").alias("y")).distinct()
-    near = _measured(_distances(star, sets, scratch), size_of, t, scratch)
+    near = _distances(star, sets, t, scratch)
     links = near.filter("linked").select("x", "y")
     reached = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
     named = scratch.write(found.join(reached.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     mixed = named.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).filter("a <> b").select("region", "members")
     mixed = scratch.write(mixed)
-    open_rows = scratch.write(named.join(mixed, "region").join(near.select(F.col("x").alias("cls"), F.col("y").alias("pivot"), "d"), ["cls", "pivot"], "left").withColumn("d", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(F.col("d"))).drop("size"))
+    open_rows = scratch.write(named.join(mixed, "region").join(near.select(F.col("x").alias("cls"), F.col("y").alias("pivot"), "low", "high"), ["cls", "pivot"], "left").drop("size"))
     if depth < 3:
         wide = open_rows.filter(F.col("members") > region).select("cls").distinct()
         wide = scratch.write(wide)
@@ -252,20 +295,14 @@ def _join(found: DataFrame, sets: DataFrame, t: Fraction, region: int, scratch:
             again = scratch.write(_recount(sets.join(wide, "cls"), t, spark, scratch))
             links = links.unionByName(_join(again, sets, t, region, scratch, spark, depth + 1))
             open_rows = open_rows.filter(F.col("members") <= region)
-    a, b = (open_rows.select("region", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "pos", "n", "pivot", "component", "d")]) for s in "ab")
+    a, b = (open_rows.select("region", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "pos", "n", "pivot", "component", "low", "high")]) for s in "ab")
     pairs = a.join(b, "region").filter("component_a <> component_b and cls_a < cls_b and cls_a <> pivot_a and cls_b <> pivot_b")
-    pairs = pairs.filter(f"d_a is null or d_b is null or abs(d_a - d_b) <= {eps}").filter(_feasible(t, "n_a", "pos_a", "n_b", "pos_b"))
+    pairs = pairs.filter(f"not (coalesce(low_a - high_b > {eps}, false) or coalesce(low_b - high_a > {eps}, false))").filter(_feasible(t, "n_a", "pos_a", "n_b", "pos_b"))
     pairs = pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")).distinct()
-    rest = _measured(_distances(pairs, sets, scratch), size_of, t, scratch).filter("linked").select("x", "y")
+    rest = _distances(pairs, sets, t, scratch).filter("linked").select("x", "y")
     return scratch.write(links.unionByName(rest))
 
 
-def _measured(overlaps: DataFrame, size_of: DataFrame, t: Fraction, scratch: Scratch) -> DataFrame:
-    named = overlaps.join(size_of.select(F.col("cls").alias("x"), F.col("n").alias("na")), "x").join(size_of.select(F.col("cls").alias("y"), F.col("n").alias("nb")), "y")
-    union = F.col("na") + F.col("nb") - F.col("both")
-    return scratch.write(named.select("x", "y", (1 - F.col("both") / union).alias("d"), (F.col("both") * t.denominator >= union * t.numerator).alias("linked")))
-
-
 def _recount(sets: DataFrame, t: Fraction, spark: SparkSession, scratch: Scratch) -> DataFrame:
     """Prefixes of these sets under exact counts within them alone."""
     sets = scratch.write(sets.select("cls", "h", "n"))
