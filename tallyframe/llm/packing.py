@@ -1,7 +1,7 @@
 """Operator 10: packing by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut into pieces of a full sequence and one remainder; full pieces are sequences of their own.
-Remainders are dealt at random into blocks of bounded size. In a block, every remainder starts as a partial
+A document's ids are cut into pieces of a full sequence and one remainder, which is cut once more if it is longer
+than half a sequence; full pieces are sequences of their own. Remainders are dealt at random into blocks of bounded size. In a block, every remainder starts as a partial
 partition of ``k`` windows with one of them filled. The two partitions of largest spread are merged, the fullest
 windows of one on the emptiest of the other, until one partition is left: ``k`` nearly equal windows. If a window
 exceeds the capacity, ``k`` rises by what is too much and the block starts again.
@@ -24,7 +24,7 @@ from .words import pieces, utf8
 
 CAPACITY = 1024
 #: Documents in a block; more makes windows more nearly equal, at a cost that grows with its square.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +66,10 @@ def equal_windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
     k = max(1, -(-int(sizes.sum()) // capacity))
     while True:
         window, load = differencing(sizes, k)
-        over = int(np.maximum(load - capacity, 0).sum())
+        over = int((load > capacity).sum())
         if not over:
             return window
-        k = min(len(sizes), k + max(1, over // capacity))
+        k = min(len(sizes), k + max(1, min(over // 2, k * (int(load[0]) - capacity) // capacity)))
 
 
 def _cut(path: str, capacity: int, end_id: int):
@@ -85,8 +85,9 @@ def _cut(path: str, capacity: int, end_id: int):
                 for i, (a, b) in enumerate(zip(ends - count, ends)):
                     own = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
                     raw = memoryview(own.tobytes())
-                    for s in range(0, len(own), capacity):
-                        size = min(capacity, len(own) - s)
+                    full, half = len(own) // capacity * capacity, capacity // 2
+                    edge = [*range(0, full + 1, capacity), *([full + half] if len(own) - full > half else []), *([len(own)] if len(own) > full else [])]
+                    for s, size in zip(edge, np.diff(edge).tolist()):
                         rows.append((ids[i], ties[i], s, size, zlib.crc32(raw[4 * s : 4 * (s + size)]), len(own)))
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 

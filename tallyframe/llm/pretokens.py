@@ -3,12 +3,13 @@
 The tokenizer's own split pattern (contractions; letters, digits or other signs with one leading space; white
 space) is applied to whole batches with numpy; each distinct pre-token is then encoded once by the tokenizers
 library and its ids are reused. Texts with characters whose Unicode class is not stable since Unicode 3.2, where
-libraries may disagree, are encoded whole by the library instead.
+libraries may disagree, or with the tokenizer's special tokens are encoded whole by the library instead.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from functools import cache
 
@@ -72,6 +73,7 @@ class PreTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -106,7 +108,10 @@ class PreTokens:
         lo = lead[start]
         hi = np.append(lo[1:], len(buf))
         text = np.searchsorted(off, lo, "right") - 1
-        whole = np.unique(np.searchsorted(edge, np.flatnonzero(cls == _UNSURE), "right") - 1)
+        whole = np.searchsorted(edge, np.flatnonzero(cls == _UNSURE), "right") - 1
+        raw_bytes = buf.tobytes()
+        hits = [m.start() for s in self.special if s in raw_bytes for m in re.finditer(re.escape(s), raw_bytes)]
+        whole = np.unique(np.concatenate([whole, np.searchsorted(off, hits, "right") - 1])).astype(np.int64)
         split = ~np.isin(text, whole)
         lo, hi, text = lo[split], hi[split], text[split]
         h, where, back = np.unique(FIRST.of_bytes(buf, lo, hi), return_index=True, return_inverse=True)
@@ -125,8 +130,7 @@ class PreTokens:
         if len(whole):
             begin = np.concatenate([[0], np.cumsum(count)])
             each = [flat[a:b] for a, b in zip(begin[:-1], begin[1:])]
-            raw = buf.tobytes()
-            for i, ids in zip(whole, self._encode([raw[off[i] : off[i + 1]].decode() for i in whole])):
+            for i, ids in zip(whole, self._encode([raw_bytes[off[i] : off[i + 1]].decode() for i in whole])):
                 each[i] = np.array(ids, np.uint32)
             count = np.array([len(x) for x in each])
             flat = np.concatenate(each)

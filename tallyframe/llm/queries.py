@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +18,40 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    out = substring_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_fold
+
+    return language_fold(_documents(spark, sf_dir))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import sanitise
+
+    out = sanitise(_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_language_id": op5_language_id,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_pii": op7_pii,
+    "op10_packing": op10_packing,
 }
 
 OP6_SQL = r"""
@@ -40,6 +73,24 @@ SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id
 FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id JOIN m ON m.doc_id = d.doc_id
 """
 
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 19), ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 19, 0) + 1)) AS i FROM w)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM dup),
+g AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM gone GROUP BY doc_id),
+k AS (
+  SELECT x.doc_id, string_agg(x.v, ' ' ORDER BY x.j) AS kept
+  FROM (SELECT doc_id, unnest(ws) AS v, unnest(range(1, len(ws) + 1)) AS j FROM w) x
+  LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.j = x.j
+  WHERE gone.j IS NULL GROUP BY x.doc_id)
+SELECT w.doc_id, len(w.ws) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN g ON g.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
 }

@@ -53,6 +53,8 @@ def _later(h: np.ndarray, g: np.ndarray, ident: np.ndarray, tie: np.ndarray, sta
 
 def _spans(ident: np.ndarray, tie: np.ndarray, start: np.ndarray, k: int):
     """Word intervals covered by windows, joined where they touch within one document."""
+    if not len(start):
+        return ident, tie, start, start
     order = np.lexsort((start, tie, ident))
     ident, tie, start = ident[order], tie[order], start[order]
     new = np.ones(len(start), bool)
