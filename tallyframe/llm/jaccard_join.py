@@ -35,6 +35,8 @@ from .words import Words, mix, pieces, shingles, utf8
 
 SKETCH = 1 << 22
 _PARTS = 64
+#: Bits of the filter that keeps unwanted texts out of a shuffle.
+_BITS = 1 << 23
 _U = np.uint64
 
 
@@ -49,9 +51,16 @@ def _class(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.sha1(h.tobytes()).digest()[:8], "little", signed=True)
 
 
+def _signature(h: np.ndarray) -> bytes:
+    """Parities of how many shingles fall into each of 2**b bins, about as many bins as shingles."""
+    bits = 1 << max(6, int(len(h) - 1).bit_length())
+    odd = np.bincount((h >> _U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
 def _describe(k: int):
     """For each document its class and size; for each task its part of the count sketch."""
-    schema = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         counts = np.zeros(SKETCH, np.uint32)
@@ -61,12 +70,13 @@ def _describe(k: int):
                 slot, times = np.unique((h >> _U(42)).astype(np.int64), return_counts=True)
                 counts[slot] += times.astype(np.uint32)
                 cls = [_class(h[a:b]) if b > a else None for a, b in zip(off[:-1], off[1:])]
+                sig = [_signature(h[a:b]) if b > a else None for a, b in zip(off[:-1], off[1:])]
                 none = pa.nulls(len(ids))
-                yield pa.record_batch([pa.array(ids), pa.array(cls, pa.int64()), pa.array(n), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                yield pa.record_batch([pa.array(ids), pa.array(cls, pa.int64()), pa.array(n), pa.array(sig, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if counts.any():
             parts = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in counts.reshape(_PARTS, -1)]
             none = pa.nulls(_PARTS).cast(pa.int64())
-            yield pa.record_batch([none, none, none, pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+            yield pa.record_batch([none, none, none, pa.nulls(_PARTS).cast(pa.binary()), pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
@@ -151,13 +161,6 @@ def _compare(batches):
             yield pa.record_batch([part.column(part.schema.get_field_index("x")), part.column(part.schema.get_field_index("y")), pa.array(both.astype(np.int64))], names=["x", "y", "both"])
 
 
-def _signature(h: np.ndarray) -> bytes:
-    """Parities of how many shingles fall into each of 2**b bins, about as many bins as shingles."""
-    bits = 1 << max(6, int(len(h) - 1).bit_length())
-    odd = np.bincount((h >> _U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
-
-
 def _bound(t: Fraction):
     """Least distance of each pair ``(x, y, na, nb, a, b)`` and whether it may link, from the signatures.
 
@@ -185,22 +188,55 @@ def _bound(t: Fraction):
     return run
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, t: Fraction, scratch: Scratch) -> DataFrame:
-    """``(x, y, low, high, linked)``: signatures bound every pair, sets travel only for pairs that may link.
+def _side(table: DataFrame, side: int, *what: str) -> DataFrame:
+    """A table of classes as one side of pairs: x, na, a or y, nb, b."""
+    names = {"cls": "xy"[side], "n": ("na", "nb")[side]}
+    return table.select("cls", *what).select(*[F.col(c).alias(names.get(c, "ab"[side])) for c in ("cls", *what)])
 
-    The joins are of direct exchanges, which AQE can split at a class that is in many pairs.
-    """
-    one = lambda side, what: sets.select(F.col("cls").alias("xy"[side]), F.col("n").alias(("na", "nb")[side]), F.col(what).alias("ab"[side]))
-    signed = pairs.join(one(0, "sig"), "x").join(one(1, "sig"), "y")
-    bounded = scratch.write(signed.mapInArrow(_bound(t), "x long, y long, low double, may boolean"))
-    some = bounded.filter("may").select("x", "y")
-    full = scratch.write(some.join(one(0, "h").drop("na"), "x"))
-    exact = scratch.write(full.join(one(1, "h").drop("nb"), "y").mapInArrow(_compare, "x long, y long, both long"))
-    scratch.drop(full)
-    sized = exact.join(sets.select(F.col("cls").alias("x"), F.col("n").alias("na")), "x").join(sets.select(F.col("cls").alias("y"), F.col("n").alias("nb")), "y")
-    union = F.col("na") + F.col("nb") - F.col("both")
-    known = sized.select("x", "y", (1 - F.col("both") / union).alias("d"), (F.col("both") * t.denominator >= union * t.numerator).alias("linked"))
-    return scratch.write(bounded.join(known, ["x", "y"], "left").select("x", "y", F.coalesce("d", "low").alias("low"), F.col("d").alias("high"), F.coalesce("linked", F.lit(False)).alias("linked")))
+
+class _Corpus:
+    """The classes and the texts behind them; joins are of direct exchanges, so AQE can split a class in many pairs."""
+
+    def __init__(self, source: DataFrame, classes: DataFrame, words: int, t: Fraction, scratch: Scratch):
+        self.source, self.classes, self.words, self.t, self.scratch = source, classes, words, t, scratch
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """``(x, y, low, may)``: a lower bound of each pair's distance and whether it may link."""
+        signed = pairs.join(_side(self.classes, 0, "n", "sig"), "x").join(_side(self.classes, 1, "n", "sig"), "y")
+        return self.scratch.write(signed.mapInArrow(_bound(self.t), "x long, y long, low double, may boolean"))
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """``(cls, h, n)`` of the classes ``wanted (cls)``, from the text of each one's first document.
+
+        A bitmap of fixed size, made of hashes of these documents' ids, keeps other texts out of the shuffle.
+        """
+        reps = self.scratch.write(wanted.distinct().join(self.classes.select("cls", F.col("rep").alias("id")), "cls"))
+        slot = F.pmod(F.xxhash64("id"), F.lit(_BITS))
+        bits = reps.select(F.bitmap_bucket_number(slot + 1).alias("bucket"), F.bitmap_bit_position(slot + 1).alias("at"))
+        table = np.zeros(_BITS // 8 + 4096, np.uint8)
+        for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect():  # at most _BITS bits
+            table[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+        shared = self.source.sparkSession.sparkContext.broadcast(table.tobytes())
+
+        def wanted_slot(at: pa.Array) -> pa.Array:
+            at = np.asarray(at)
+            return pa.array((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool))
+
+        some = self.source.withColumn("slot", slot).filter(F.arrow_udf(wanted_slot, "boolean")("slot"))
+        texts = some.join(reps.hint("shuffle_merge"), "id").select("id", "text", "cls")
+        return self.scratch.write(texts.mapInArrow(_store(self.words), "cls long, h binary, n long").dropDuplicates(["cls"]))
+
+    def exact(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """``(x, y, d, linked)`` by the whole sets."""
+        both = pairs.select("x", "y").join(_side(sets, 0, "h"), "x").join(_side(sets, 1, "h"), "y")
+        found = self.scratch.write(both.mapInArrow(_compare, "x long, y long, both long"))
+        sized = found.join(_side(self.classes, 0, "n"), "x").join(_side(self.classes, 1, "n"), "y")
+        union = F.col("na") + F.col("nb") - F.col("both")
+        linked = F.col("both") * self.t.denominator >= union * self.t.numerator
+        return self.scratch.write(sized.select("x", "y", (1 - F.col("both") / union).alias("d"), linked.alias("linked")))
+
+    def reached(self, links: DataFrame) -> DataFrame:
+        return components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), self.scratch).select(F.col("node").alias("cls"), "component")
 
 
 def _feasible(t: Fraction, na: str, pa_: str, nb: str, pb: str):
@@ -219,15 +255,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark, t = docs.sparkSession, threshold
     scratch = Scratch(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = scratch.write(source.mapInArrow(_describe(words), "id long, cls long, n long, part int, counts binary"))
-    rows = described.filter("part is null").select("id", "cls", "n")
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    described = scratch.write(source.mapInArrow(_describe(words), "id long, cls long, n long, sig binary, part int, counts binary"))
+    rows = described.filter("part is null").select("id", "cls", "n", "sig")
     level = described.filter("part is not null").select("part", "counts").groupBy("part").applyInPandas(_add_counts, "part int, level binary")
     levels = np.zeros((_PARTS, SKETCH // _PARTS), np.uint8)
     for r in level.collect():  # fixed size: one byte for each of the sketch's slots
         levels[r["part"]] = np.frombuffer(r["level"], np.uint8)
     shared = spark.sparkContext.broadcast(levels.tobytes())
-    classes = scratch.write(rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
+    classes = scratch.write(rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     def by_sketch():
         table = np.frombuffer(shared.value, np.uint8)
@@ -242,10 +278,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     buckets = _buckets(spark, rows.agg(F.sum("n")).first()[0] or 0, 4_000_000)
     found = scratch.write(_live(source, by_sketch, t, buckets, from_texts))
-    involved = found.select("cls").distinct().join(classes, "cls")
-    texts = source.join(involved.select(F.col("rep").alias("id"), "cls").hint("shuffle_merge"), "id")
-    sets = scratch.write(texts.select("id", "text", "cls").mapInArrow(_store(words), "cls long, h binary, n long, sig binary").dropDuplicates(["cls"]))
-    links = _join(found, sets, t, region, scratch, spark, 0)
+    links = _join(found, _Corpus(source, classes, words, t, scratch), region, 0)
     named = links.join(classes.select(F.col("cls").alias("x"), F.col("rep").alias("u")), "x").join(classes.select(F.col("cls").alias("y"), F.col("rep").alias("v")), "y")
     reached = components(named.select("u", "v"), scratch)
     final = scratch.write(classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component_id")))
@@ -266,8 +299,8 @@ def _store(k: int):
             for piece in pieces(batch, "text"):
                 _, n, off, _, h = _sets(piece, k)
                 want = piece.column(2).to_pylist()
-                got = [(c, h[a:b].tobytes(), b - a, _signature(h[a:b])) for c, a, b in zip(want, off[:-1], off[1:]) if b > a and _class(h[a:b]) == c]
-                yield pa.record_batch([pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["cls", "h", "n", "sig"])
+                got = [(c, h[a:b].tobytes(), b - a) for c, a, b in zip(want, off[:-1], off[1:]) if b > a and _class(h[a:b]) == c]
+                yield pa.record_batch([pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.int64()))], names=["cls", "h", "n"])
 
     return run
 
@@ -277,36 +310,50 @@ def _live(source: DataFrame, rank_of, t: Fraction, buckets: int, sets_of) -> Dat
     return packed.groupBy("bucket").applyInPandas(_regions, _REGION)
 
 
-def _join(found: DataFrame, sets: DataFrame, t: Fraction, region: int, scratch: Scratch, spark: SparkSession, depth: int) -> DataFrame:
+def _apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components so far."""
+    a, b = (reached.select(F.col("cls").alias(c), F.col("component").alias(f"c{c}")) for c in "xy")
+    named = pairs.join(a, "x", "left").join(b, "y", "left")
+    return named.filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).drop("cx", "cy")
+
+
+def _join(found: DataFrame, corpus: _Corpus, region: int, depth: int) -> DataFrame:
     """Links ``(x, y)`` that connect everything which the pairs within the regions connect."""
+    t, scratch = corpus.t, corpus.scratch
     eps = float(1 - t) + 1e-9
     star = found.filter("cls <> pivot").filter(_feasible(t, "n", "pos", "pivot_n", "pivot_pos")).select(F.col("cls").alias("x"), F.col("pivot").alias("y")).distinct()
-    near = _distances(star, sets, t, scratch)
+    bounded = corpus.bounded(star)
+    may = bounded.filter("may").select("x", "y")
+    sets = corpus.sets(may.select(F.col("x").alias("cls")).union(may.select(F.col("y").alias("cls"))))
+    near = corpus.exact(may.groupBy("x").agg(F.min("y").alias("y")), sets)
     links = near.filter("linked").select("x", "y")
-    reached = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
-    named = scratch.write(found.join(reached.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
-    mixed = named.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).filter("a <> b").select("region", "members")
-    mixed = scratch.write(mixed)
-    open_rows = scratch.write(named.join(mixed, "region").join(near.select(F.col("x").alias("cls"), F.col("y").alias("pivot"), "low", "high"), ["cls", "pivot"], "left").drop("size"))
+    left = scratch.write(_apart(may.join(near, ["x", "y"], "left_anti"), corpus.reached(links)))
+    if not left.isEmpty():
+        near = near.unionByName(corpus.exact(left, sets))
+        links = near.filter("linked").select("x", "y")
+    reached = corpus.reached(links)
+    named = scratch.write(found.join(reached, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    mixed = scratch.write(named.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).filter("a <> b").select("region", "members"))
+    known = bounded.join(near.select("x", "y", "d"), ["x", "y"], "left").select(F.col("x").alias("cls"), F.col("y").alias("pivot"), F.coalesce("d", "low").alias("low"), F.col("d").alias("high"))
+    open_rows = scratch.write(named.join(mixed, "region").join(known, ["cls", "pivot"], "left").drop("size"))
     if depth < 3:
-        wide = open_rows.filter(F.col("members") > region).select("cls").distinct()
-        wide = scratch.write(wide)
+        wide = scratch.write(open_rows.filter(F.col("members") > region).select("cls").distinct())
         if not wide.isEmpty():
-            again = scratch.write(_recount(sets.join(wide, "cls"), t, spark, scratch))
-            links = links.unionByName(_join(again, sets, t, region, scratch, spark, depth + 1))
+            again = scratch.write(_recount(corpus.sets(wide), t, scratch))
+            links = links.unionByName(_join(again, corpus, region, depth + 1))
             open_rows = open_rows.filter(F.col("members") <= region)
     a, b = (open_rows.select("region", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "pos", "n", "pivot", "component", "low", "high")]) for s in "ab")
     pairs = a.join(b, "region").filter("component_a <> component_b and cls_a < cls_b and cls_a <> pivot_a and cls_b <> pivot_b")
     pairs = pairs.filter(f"not (coalesce(low_a - high_b > {eps}, false) or coalesce(low_b - high_a > {eps}, false))").filter(_feasible(t, "n_a", "pos_a", "n_b", "pos_b"))
-    pairs = pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")).distinct()
-    rest = _distances(pairs, sets, t, scratch).filter("linked").select("x", "y")
-    return scratch.write(links.unionByName(rest))
+    rest = corpus.bounded(pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")).distinct()).filter("may").select("x", "y")
+    if not rest.isEmpty():
+        sets = corpus.sets(rest.select(F.col("x").alias("cls")).union(rest.select(F.col("y").alias("cls"))))
+        links = links.unionByName(corpus.exact(rest, sets).filter("linked").select("x", "y"))
+    return scratch.write(links)
 
 
-def _recount(sets: DataFrame, t: Fraction, spark: SparkSession, scratch: Scratch) -> DataFrame:
+def _recount(sets: DataFrame, t: Fraction, scratch: Scratch) -> DataFrame:
     """Prefixes of these sets under exact counts within them alone."""
-    sets = scratch.write(sets.select("cls", "h", "n"))
-
     def explode(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
