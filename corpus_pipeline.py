@@ -16,8 +16,9 @@ from tallyframe.llm.pii import sanitise
 from tallyframe.llm.substring_dedup import substring_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document below this cosine with every language's prototype is in none of them.
-LEAST_SCORE = 0.1
+#: A text of at least LEAST_CHARS whose cosine with every language's prototype is below LEAST_SCORE is in none of
+#: them; shorter texts have few trigrams and so low cosines in any language.
+LEAST_SCORE, LEAST_CHARS = 0.3, 200
 
 
 def _retexted(docs: DataFrame, text) -> DataFrame:
@@ -26,9 +27,9 @@ def _retexted(docs: DataFrame, text) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: no text, no letter, or no prototype that is at all alike."""
+    """Drops documents whose language can't be told: no text, no letter, or a long text unlike every prototype."""
     known = language_id(docs.select(*COLUMNS), docs)
-    return known.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return known.filter((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_SCORE) | (F.char_length("text") < LEAST_CHARS))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
