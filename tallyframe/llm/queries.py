@@ -54,6 +54,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark, URL_RULES))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .chat import chat_digest
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    return chat_digest(rows.unionByName(more), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_pii": op7_pii,
     "op8_url_filter": op8_url_filter,
+    "op9_chat": op9_chat,
     "op10_packing": op10_packing,
 }
 
@@ -122,8 +133,26 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM u LEFT JOIN f ON f.page_id = u.page_id AND f.n = 1
 """
 
+OP9_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, length(role) + length(text)
+    + length(regexp_replace(role || chr(0) || text, '\\|<\||</?s>|\[/?INST\]', '\0+', 'g')) - length(role) - length(text) - 1
+    + length('<|role|><|text|><|end|>') AS chars
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op8_url_filter": OP8_SQL,
+    "op9_chat": OP9_SQL,
 }
