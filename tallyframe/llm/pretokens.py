@@ -96,6 +96,20 @@ class PreTokens:
         self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
         self.ids = np.concatenate([self.ids, flat])
 
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of known hashes and which are new; makes room for these."""
+        slot = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
+        new = self.known[slot] != h if len(self.known) else np.ones(len(h), bool)
+        if len(self.known) and len(self.known) + new.sum() > _CACHE_WORDS:
+            self._forget()
+            new = np.ones(len(h), bool)
+        return slot, new
+
+    def _gather(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids at these places one after the other, and how many each has."""
+        at, size = self.at[slot], self.size[slot]
+        return self.ids[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other and the number of ids of each text; ``buf`` has the UTF-8 of all texts."""
         lead = np.flatnonzero((buf & 0xC0) != 0x80)
@@ -115,18 +129,13 @@ class PreTokens:
         split = ~np.isin(text, whole)
         lo, hi, text = lo[split], hi[split], text[split]
         h, where, back = np.unique(FIRST.of_bytes(buf, lo, hi), return_index=True, return_inverse=True)
-        slot = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
-        new = self.known[slot] != h if len(self.known) else np.ones(len(h), bool)
+        slot, new = self._find(h)
         if new.any():
-            if len(self.known) + new.sum() > _CACHE_WORDS and len(self.known):
-                self._forget()
-                new = np.ones(len(h), bool)
             raw = memoryview(buf)
             self._add(h[new], self._encode([str(raw[a:b], "utf-8") for a, b in zip(lo[where[new]].tolist(), hi[where[new]].tolist())]))
             slot = np.searchsorted(self.known, h)
-        at, size = self.at[slot][back], self.size[slot][back]
+        flat, size = self._gather(slot[back])
         count = np.bincount(text, weights=size, minlength=len(off) - 1).astype(np.int64)
-        flat = self.ids[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         if len(whole):
             begin = np.concatenate([[0], np.cumsum(count)])
             each = [flat[a:b] for a, b in zip(begin[:-1], begin[1:])]
