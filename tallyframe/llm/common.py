@@ -19,10 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: Arrow batches of 1,024 rows keep a worker's and its executor's buffers to a few MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+
+
 class Scratch:
     """Tables written to the shared folder, so that later steps reread them and lost executors cost nothing."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/tallyframe-{uuid.uuid4().hex}"
         self.made = 0

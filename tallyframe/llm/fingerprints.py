@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID
+from .common import NO_ID, small_batches
 from .words import FIRST, SECOND, Words, mix, utf8
 
 BINS, BITS, WORDS = 512, 4, 5
@@ -134,6 +134,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Ids are cut into ranges at quantiles that are ids themselves. The greatest id of each range is also dealt to
     the range above, where it follows the smallest, so one shuffle brings every text to its next one.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = 4 * parts

@@ -65,7 +65,7 @@ def _describe(k: int):
     def run(batches):
         counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            for piece in pieces(batch, batch.schema.names[1]):
+            for piece in pieces(batch, batch.schema.names[1], 1 << 20):
                 ids, n, off, _, h = _sets(piece, k)
                 slot, times = np.unique((h >> _U(42)).astype(np.int64), return_counts=True)
                 counts[slot] += times.astype(np.uint32)
@@ -271,7 +271,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def from_texts(batches):
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 22):
+            for piece in pieces(batch, "text", 1 << 20):
                 _, n, off, text, h = _sets(piece, words)
                 cls = np.array([_class(h[a:b]) if b > a else 0 for a, b in zip(off[:-1], off[1:])], np.int64)
                 yield cls, n, text, h

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SAMPLE_ROWS = 40_000
 _SYMBOLS = 64
 
@@ -128,6 +130,7 @@ def language_id(docs: DataFrame, train: DataFrame, text_col: str = "text", label
     equal cosines go to the label first in order. A text that is null or has no letter gets ``und`` and 0, as do
     all texts if nothing was learnt. Columns of ``docs`` with the names of the results are replaced.
     """
+    small_batches(docs.sparkSession)
     train = train.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter("text is not null and label is not null")
     n = train.count()
     if n > sample_rows:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID
+from .common import NO_ID, small_batches
 from .pretokens import pre_tokens
 from .words import pieces, utf8
 
@@ -124,6 +124,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     and no sequence is longer than ``capacity``. Every row is a document of its own, repeated rows too; a null id
     is returned as null. ``ids_crc32`` is that of the piece's ids as little-endian unsigned 32-bit numbers.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(id_col, text_col).alias("tie"), F.col(text_col).alias("text"))
     blocks = max(1, -(-docs.count() // block))
     cut = source.mapInArrow(_cut(path, capacity, end_id), "doc_id long, tie long, start long, length long, ids_crc32 long, doc_tokens long")

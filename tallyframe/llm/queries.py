@@ -32,6 +32,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_documents(spark, sf_dir))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_dedup
+
+    return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -83,6 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_fingerprints": op2_fingerprints,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_jaccard_join": op6_jaccard_join,
@@ -111,6 +118,23 @@ SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id
 FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id JOIN m ON m.doc_id = d.doc_id
 """
 
+OP3_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(vec_id, reached) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+m AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id)
+SELECT m.vec_id, coalesce(n.n, 0) AS n_links, m.component_id, m.vec_id = m.component_id AS kept
+FROM m LEFT JOIN n ON n.a = m.vec_id
+"""
+
 OP4_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (
@@ -160,6 +184,7 @@ FROM e GROUP BY conv_id
 """
 
 ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op8_url_filter": OP8_SQL,

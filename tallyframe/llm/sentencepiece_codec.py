@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .pretokens import PreTokens
 from .words import FIRST, pieces, utf8
 
@@ -283,6 +284,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     ``(doc_id, n_tokens, ids_crc32, decoded_sha256, lossless, parity)``: the checksum is that of the ids as little-endian
     unsigned 32-bit numbers; ``lossless`` tells whether the decoded text is the text; null texts are empty.
     """
+    small_batches(docs.sparkSession)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
 
     def run(batches):
