@@ -51,8 +51,8 @@ class Scratch:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, component)`` for every endpoint of ``edges (u long, v long)``: the smallest node it reaches.
 
-    Every round maps each node to the smallest of itself and its neighbours, contracts the edges by that map
-    and writes both; a component loses at least half of its nodes that still have edges, so the rounds are
+    Every round maps each node to the smallest of itself and its neighbours, follows that map once more, contracts the
+    edges by it and writes both; a component loses at least half of its nodes that still have edges, so the rounds are
     logarithmic. Minima combine before the shuffle and the joins may be split by AQE, so that a node with very
     many edges does not land in one task. The maps are then followed from the last round back to the first.
     Empty input gives an empty result.
@@ -60,18 +60,34 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.write(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     maps: list[DataFrame] = []
     while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.write(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("low")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        low = both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("low"))
+        low = scratch.write(low)
+        once = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
+        low = scratch.write(low.join(once, "low").select("node", F.col("lower").alias("low")))
         maps.append(low)
         joined = edges.join(low.select(F.col("node").alias("u"), F.col("low").alias("a")), "u")
         joined = joined.join(low.select(F.col("node").alias("v"), F.col("low").alias("b")), "v")
-        left = scratch.write(joined.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-        scratch.drop(edges)
-        edges = left
+        edges = scratch.write(joined.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     if not maps:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     found = maps[-1].select("node", F.col("low").alias("component"))
     for low in reversed(maps[:-1]):
         step = found.select(F.col("node").alias("low"), "component")
         found = low.join(step, "low", "left").select("node", F.coalesce("component", "low").alias("component"))
-    return scratch.write(found)
+    return scratch.write(found) if len(maps) > 1 else found
+
+
+def joined_components(known: DataFrame | None, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components ``(node, component)`` of all edges behind ``known`` and of ``edges``; only the new ones are contracted."""
+    if known is None:
+        return components(edges, scratch)
+    if edges.isEmpty():
+        return known
+    u, v = (known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "uv")
+    lifted = edges.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"), F.col("u").alias("a"), F.col("v").alias("b"))
+    lifted = scratch.write(lifted)
+    new = components(lifted.select("u", "v"), scratch)
+    every = known.unionByName(lifted.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("u").alias("component")), F.struct(F.col("b").alias("node"), F.col("v").alias("component")))).alias("e")).select("e.*")).distinct()
+    out = every.join(new.select(F.col("node").alias("component"), F.col("component").alias("lower")), "component", "left")
+    return scratch.write(out.select("node", F.coalesce("lower", "component").alias("component")))

@@ -12,8 +12,8 @@ The Jaccard distance ``d = 1 - |x & y| / |x | y|`` is a metric, and documents li
    are never compared with each other.
 4. Regions whose classes lie in different components are joined again, with the triangle inequality as window:
    a pair with ``|d(x, pivot) - d(y, pivot)| > eps`` cannot link; neither can one whose sizes, positions in the
-   order or parity signatures leave too little overlap. What is left is compared exactly. Regions that still hold more than
-   ``region`` classes are first joined recursively: their shingles are counted exactly within those regions only,
+   order or parity signatures leave too little overlap. What is left is compared exactly. Regions with more pairs
+   across components than ``region`` classes have are first joined recursively: their shingles are counted exactly within those regions only,
    which makes the shared passage that brought them together frequent, and new prefixes and pivots are drawn.
 
 Shingles are identified by 64-bit hashes of their words' bytes.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Scratch, components
+from .common import NO_ID, Scratch, joined_components
 from .words import Words, mix, pieces, shingles, utf8
 
 SKETCH = 1 << 22
@@ -235,9 +235,6 @@ class _Corpus:
         linked = F.col("both") * self.t.denominator >= union * self.t.numerator
         return self.scratch.write(sized.select("x", "y", (1 - F.col("both") / union).alias("d"), linked.alias("linked")))
 
-    def reached(self, links: DataFrame) -> DataFrame:
-        return components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), self.scratch).select(F.col("node").alias("cls"), "component")
-
 
 def _feasible(t: Fraction, na: str, pa_: str, nb: str, pb: str):
     """Whether sizes and positions leave enough overlap: both >= t/(1+t) (na+nb) for what follows the shared shingle."""
@@ -278,10 +275,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     buckets = _buckets(spark, rows.agg(F.sum("n")).first()[0] or 0, 4_000_000)
     found = scratch.write(_live(source, by_sketch, t, buckets, from_texts))
-    links = _join(found, _Corpus(source, classes, words, t, scratch), region, 0)
-    named = links.join(classes.select(F.col("cls").alias("x"), F.col("rep").alias("u")), "x").join(classes.select(F.col("cls").alias("y"), F.col("rep").alias("v")), "y")
-    reached = components(named.select("u", "v"), scratch)
-    final = scratch.write(classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component_id")))
+    reached = _join(found, _Corpus(source, classes, words, t, scratch), region, 0, None).select(F.col("node").alias("cls"), "component")
+    named = classes.select("cls", "rep").join(reached, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    final = scratch.write(named.join(least, "component").select("cls", "component_id"))
     out = rows.join(final, "cls", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("id").alias(id_col), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"))
@@ -311,45 +308,60 @@ def _live(source: DataFrame, rank_of, t: Fraction, buckets: int, sets_of) -> Dat
 
 
 def _apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components so far."""
-    a, b = (reached.select(F.col("cls").alias(c), F.col("component").alias(f"c{c}")) for c in "xy")
+    """Pairs whose ends are not known to lie in one component."""
+    a, b = (reached.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "xy")
     named = pairs.join(a, "x", "left").join(b, "y", "left")
     return named.filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).drop("cx", "cy")
 
 
-def _join(found: DataFrame, corpus: _Corpus, region: int, depth: int) -> DataFrame:
-    """Links ``(x, y)`` that connect everything which the pairs within the regions connect."""
+def _edges(measured: DataFrame) -> DataFrame:
+    return measured.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+
+def _join(found: DataFrame, corpus: _Corpus, region: int, depth: int, reached: DataFrame | None) -> DataFrame:
+    """Components ``(node, component)`` of everything which the pairs within the regions connect, and of ``reached``."""
     t, scratch = corpus.t, corpus.scratch
-    eps = float(1 - t) + 1e-9
+    eps, most = float(1 - t) + 1e-9, region * region // 2
     star = found.filter("cls <> pivot").filter(_feasible(t, "n", "pos", "pivot_n", "pivot_pos")).select(F.col("cls").alias("x"), F.col("pivot").alias("y")).distinct()
     bounded = corpus.bounded(star)
     may = bounded.filter("may").select("x", "y")
-    sets = corpus.sets(may.select(F.col("x").alias("cls")).union(may.select(F.col("y").alias("cls"))))
-    near = corpus.exact(may.groupBy("x").agg(F.min("y").alias("y")), sets)
-    links = near.filter("linked").select("x", "y")
-    left = scratch.write(_apart(may.join(near, ["x", "y"], "left_anti"), corpus.reached(links)))
-    if not left.isEmpty():
-        near = near.unionByName(corpus.exact(left, sets))
-        links = near.filter("linked").select("x", "y")
-    reached = corpus.reached(links)
-    named = scratch.write(found.join(reached, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
-    mixed = scratch.write(named.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).filter("a <> b").select("region", "members"))
-    known = bounded.join(near.select("x", "y", "d"), ["x", "y"], "left").select(F.col("x").alias("cls"), F.col("y").alias("pivot"), F.coalesce("d", "low").alias("low"), F.col("d").alias("high"))
+    may = may if reached is None else scratch.write(_apart(may, reached))
+    near = None
+    if not may.isEmpty():
+        sets = corpus.sets(may.select(F.explode(F.array("x", "y")).alias("cls")))
+        near = corpus.exact(may.groupBy("x").agg(F.min("y").alias("y")), sets)
+        up = near.filter("linked").select(F.col("x").alias("node"), F.col("y").alias("component"))
+        left = scratch.write(_apart(may.join(near, ["x", "y"], "left_anti"), up))
+        if not left.isEmpty():
+            near = near.unionByName(corpus.exact(left, sets))
+        reached = joined_components(reached, _edges(near), scratch)
+    if reached is None:
+        return bounded.limit(0).select(F.col("x").alias("node"), F.col("y").alias("component"))
+    named = scratch.write(found.join(reached.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    inside = named.groupBy("region", "component").agg(F.count("*").alias("n"))
+    sizes = inside.groupBy("region").agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts"))
+    mixed = sizes.filter("parts > 1").select("region", ((F.col("members") * F.col("members") - F.col("same")) / 2).alias("pairs"))
+    known = bounded.select(F.col("x").alias("cls"), F.col("y").alias("pivot"), "low")
+    if near is not None:
+        high = near.select(F.col("x").alias("cls"), F.col("y").alias("pivot"), F.col("d").alias("high"))
+        known = known.join(high, ["cls", "pivot"], "left").withColumn("low", F.coalesce("high", "low"))
+    else:
+        known = known.withColumn("high", F.lit(None).cast("double"))
     open_rows = scratch.write(named.join(mixed, "region").join(known, ["cls", "pivot"], "left").drop("size"))
     if depth < 3:
-        wide = scratch.write(open_rows.filter(F.col("members") > region).select("cls").distinct())
+        wide = scratch.write(open_rows.filter(F.col("pairs") > most).select("cls").distinct())
         if not wide.isEmpty():
             again = scratch.write(_recount(corpus.sets(wide), t, scratch))
-            links = links.unionByName(_join(again, corpus, region, depth + 1))
-            open_rows = open_rows.filter(F.col("members") <= region)
+            reached = _join(again, corpus, region, depth + 1, reached)
+            open_rows = open_rows.filter(F.col("pairs") <= most)
     a, b = (open_rows.select("region", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "pos", "n", "pivot", "component", "low", "high")]) for s in "ab")
     pairs = a.join(b, "region").filter("component_a <> component_b and cls_a < cls_b and cls_a <> pivot_a and cls_b <> pivot_b")
     pairs = pairs.filter(f"not (coalesce(low_a - high_b > {eps}, false) or coalesce(low_b - high_a > {eps}, false))").filter(_feasible(t, "n_a", "pos_a", "n_b", "pos_b"))
     rest = corpus.bounded(pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")).distinct()).filter("may").select("x", "y")
     if not rest.isEmpty():
-        sets = corpus.sets(rest.select(F.col("x").alias("cls")).union(rest.select(F.col("y").alias("cls"))))
-        links = links.unionByName(corpus.exact(rest, sets).filter("linked").select("x", "y"))
-    return scratch.write(links)
+        sets = corpus.sets(rest.select(F.explode(F.array("x", "y")).alias("cls")))
+        reached = joined_components(reached, _edges(corpus.exact(rest, sets)), scratch)
+    return reached
 
 
 def _recount(sets: DataFrame, t: Fraction, scratch: Scratch) -> DataFrame:

@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, Scratch
-from .words import FIRST, SECOND, THIRD, Rolling, Words, mix, pieces, utf8
+from .words import FIRST, SECOND, THIRD, Rolling, Words, mix, pieces, trim, utf8
 
 _U = np.uint64
-_GRAM = 5
+_GRAM = 3
+#: Bytes of super-k-mers that a task holds before it sends blocks, and bytes of them in a bucket.
+_HELD, _BUCKET = 32_000_000, 16_000_000
+_CODEC = pa.Codec("zstd", compression_level=3)
 _OTHER = Rolling(101)
-_HEAD = np.dtype([("id", "<i8"), ("tie", "<i8"), ("start", "<i4"), ("size", "<i4")])
+_HEAD = np.dtype([("id", "<i8"), ("tie", "<i4"), ("start", "<i4"), ("size", "<i4")])
 
 
 def _window_hashes(words: Words, k: int):
@@ -77,13 +80,34 @@ def _minimisers(words: Words, first: np.ndarray, a: np.ndarray, k: int) -> np.nd
     return low[a]
 
 
+class _Blocks:
+    """Packed super-k-mers of one task, by bucket, until there are enough to make large blocks of them."""
+
+    def __init__(self):
+        self.parts: dict[int, list] = {}
+        self.size = 0
+
+    def add(self, bucket: int, rows: np.ndarray, texts: bytes) -> None:
+        self.parts.setdefault(bucket, []).append((rows, texts))
+        self.size += len(texts) + rows.nbytes
+
+    def flush(self):
+        for bucket, parts in self.parts.items():
+            rows = np.concatenate([r for r, _ in parts])
+            body = rows.tobytes() + b"".join(t for _, t in parts)
+            yield bucket, 0, np.array([len(rows), len(body)], "<i8").tobytes() + _CODEC.compress(body, asbytes=True)
+        self.__init__()
+
+
 def _travel(k: int, buckets: int):
     """Blocks for the buckets: packed super-k-mers, and intervals that this task has marked itself."""
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
+    record = lambda out: pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     def run(batches):
+        blocks = _Blocks()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 1 << 20):
                 ids, ties = np.asarray(piece.column(0)), np.asarray(piece.column(1))
                 words = Words(*utf8(piece.column(2)))
                 a, text, first, h, g = _window_hashes(words, k)
@@ -91,34 +115,34 @@ def _travel(k: int, buckets: int):
                     continue
                 start = (a - words.first[text]).astype(np.int64)
                 later = _later(h, g, ids[text], ties[text], start)
-                out = []
                 if later.any():
                     i, t, s, e = _spans(ids[text[later]], ties[text[later]], start[later], k)
                     rows = np.empty(len(i), _HEAD)
                     rows["id"], rows["tie"], rows["start"], rows["size"] = i, t, s, e - s
                     to = (mix(i.view(_U)) % _U(buckets)).astype(np.int32)
-                    out += [(int(b), 1, rows[to == b].tobytes()) for b in np.unique(to)]
+                    yield record([(int(b), 1, rows[to == b].tobytes()) for b in np.unique(to)])
                 low = _minimisers(words, first, a, k)[~later]
                 a, text, start = a[~later], text[~later], start[~later]
-                if len(a):
-                    cut = np.ones(len(a), bool)
-                    cut[1:] = (a[1:] != a[:-1] + 1) | (text[1:] != text[:-1]) | (low[1:] != low[:-1])
-                    at = np.flatnonzero(cut)
-                    last = a[np.append(at[1:], len(a)) - 1] + k - 1
-                    to = (mix(low[at]) % _U(buckets)).astype(np.int32)
-                    order = np.argsort(to, kind="stable")
-                    at, last, to = at[order], last[order], to[order]
-                    lo, hi = words.start[a[at]], words.end[last]
-                    rows = np.empty(len(at), _HEAD)
-                    rows["id"], rows["tie"], rows["start"], rows["size"] = ids[text[at]], ties[text[at]], start[at], hi - lo
-                    raw = memoryview(words.buf)
-                    edge = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
-                    for x, y in zip(edge[:-1], edge[1:]):
-                        body = rows[x:y].tobytes() + b"".join([raw[p:q] for p, q in zip(lo[x:y].tolist(), hi[x:y].tolist())])
-                        head = np.array([y - x, len(body)], "<i8").tobytes()
-                        out.append((int(to[x]), 0, head + pa.compress(body, "zstd", asbytes=True)))
-                if out:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                if not len(a):
+                    continue
+                cut = np.ones(len(a), bool)
+                cut[1:] = (a[1:] != a[:-1] + 1) | (text[1:] != text[:-1]) | (low[1:] != low[:-1])
+                at = np.flatnonzero(cut)
+                last = a[np.append(at[1:], len(a)) - 1] + k - 1
+                to = (mix(low[at]) % _U(buckets)).astype(np.int32)
+                order = np.argsort(to, kind="stable")
+                at, last, to = at[order], last[order], to[order]
+                lo, hi = words.start[a[at]], words.end[last]
+                rows = np.empty(len(at), _HEAD)
+                rows["id"], rows["tie"], rows["start"], rows["size"] = ids[text[at]], ties[text[at]], start[at], hi - lo
+                raw = memoryview(words.buf)
+                edge = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
+                for x, y in zip(edge[:-1], edge[1:]):
+                    blocks.add(int(to[x]), rows[x:y], b"".join([raw[p:q] for p, q in zip(lo[x:y].tolist(), hi[x:y].tolist())]))
+            if blocks.size > _HELD:
+                yield from (record([b]) for b in blocks.flush())
+        yield from (record([b]) for b in blocks.flush())
+        trim()
 
     return run
 
@@ -135,7 +159,7 @@ def _count(k: int):
             body = pa.decompress(block[16:], decompressed_size=int(size), codec="zstd", asbytes=True)
             rows, buf = np.frombuffer(body, _HEAD, int(n)), np.frombuffer(body, np.uint8, offset=int(n) * _HEAD.itemsize)
             off = np.concatenate([[0], np.cumsum(rows["size"], dtype=np.int64)])
-            edge = [0, *(np.flatnonzero(np.diff(off[:-1] // (1 << 21))) + 1), len(rows)]
+            edge = [0, *(np.flatnonzero(np.diff(off[:-1] // (1 << 20))) + 1), len(rows)]
             for x, y in zip(edge[:-1], edge[1:]):
                 words = Words(buf[off[x] : off[y]], off[x : y + 1] - off[x])
                 a, text, _, h, g = _window_hashes(words, k)
@@ -145,6 +169,8 @@ def _count(k: int):
             h, g, ident, tie, start = (np.concatenate(c) for c in zip(*parts))
             later = _later(h, g, ident, tie, start)
             done.append(_spans(ident[later], tie[later], start[later], k))
+        parts = h = g = ident = tie = start = None
+        trim()
         cols = [np.concatenate(c) for c in zip(*done)] if done else [np.empty(0, np.int64)] * 4
         return pd.DataFrame(dict(zip(("id", "tie", "s", "e"), cols)))
 
@@ -178,12 +204,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     come in the order of a hash of the text. Columns of ``docs`` with the names of the results are replaced.
     """
     scratch = Scratch(docs.sparkSession)
-    key = {"_tf_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tf_tie": F.xxhash64(text_col)}
+    key = {"_tf_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tf_tie": F.hash(text_col).cast("long")}
     docs = docs.withColumns(key)
     source = docs.select("_tf_id", "_tf_tie", F.col(text_col).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * least, size * 3 // 8_000_000 + 1)
+    buckets = max(2 * least, size * 3 // _BUCKET + 1)
     packed = source.mapInArrow(_travel(window, buckets), "bucket int, kind int, block binary")
     marked = packed.groupBy("bucket").applyInPandas(_count(window), "id long, tie long, s long, e long")
     marked = scratch.write(marked)

@@ -7,6 +7,8 @@ contiguous byte buffer for many texts, so the cost per text is a few numpy passe
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +96,13 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = 1 << 21) -> Iterator[p
             yield batch.slice(a, b - a)
 
 
+def trim() -> None:
+    """Give freed memory back, so that idle workers of an executor stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Words:
     """Word spans of many texts: ``start``, ``end`` in ``buf`` and ``first``: each text's range of words."""
 
