@@ -157,7 +157,7 @@ def chat_tree(rows: DataFrame, path: str, paths: int = 256) -> tuple[DataFrame,
     scratch = Scratch(rows.sparkSession)
     rows = rows.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    whole = scratch.write(whole.withColumn("nodes", F.arrow_udf(_digests, "array<string>")("turns")).withColumn("leaf", F.element_at("nodes", -1)))
+    whole = scratch.write(whole.withColumn("nodes", F.arrow_udf(_digests, "array<string>")("turns")).withColumn("leaf", F.element_at("nodes", -1)), narrow=False)
     reps = whole.groupBy("leaf").agg(F.min("conv_id").alias("conv_id"))
     distinct = whole.join(reps.select("conv_id"), "conv_id", "left_semi")
     total = reps.count()
@@ -168,7 +168,7 @@ def chat_tree(rows: DataFrame, path: str, paths: int = 256) -> tuple[DataFrame,
     child = F.coalesce(F.try_element_at("nodes", F.coalesce("hot.depth", F.lit(-1)) + 2), "leaf")
     name = F.concat_ws(":", F.coalesce("hot.node", F.lit("")), F.pmod(F.xxhash64(child), bins(F.coalesce("hot.paths", F.lit(total)))))
     dealt = distinct.join(deepest, "leaf", "left").select(name.alias("pack"), "nodes", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    packs = scratch.write(dealt.groupBy("pack").applyInPandas(_emit(path), _PACK))
+    packs = scratch.write(dealt.groupBy("pack").applyInPandas(_emit(path), _PACK), narrow=False)
     return packs, whole.select("conv_id", "leaf")
 
 

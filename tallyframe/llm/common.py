@@ -33,7 +33,10 @@ class Scratch:
         self.folder = f"{shared_folder(spark)}/tallyframe-{uuid.uuid4().hex}"
         self.made = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, narrow: bool = True) -> DataFrame:
+        """Write and reread; ``narrow`` tables (a few numbers a row) go to four files a core at most, as tiny files cost more than they hold."""
+        if narrow:
+            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         self.made += 1
         path = f"{self.folder}/{self.made}"
         df.write.option("compression", "zstd").parquet(path)

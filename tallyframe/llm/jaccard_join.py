@@ -224,7 +224,7 @@ class _Corpus:
 
         some = self.source.withColumn("slot", slot).filter(F.arrow_udf(wanted_slot, "boolean")("slot"))
         texts = some.join(reps.hint("shuffle_merge"), "id").select("id", "text", "cls")
-        return self.scratch.write(texts.mapInArrow(_store(self.words), "cls long, h binary, n long").dropDuplicates(["cls"]))
+        return self.scratch.write(texts.mapInArrow(_store(self.words), "cls long, h binary, n long").dropDuplicates(["cls"]), narrow=False)
 
     def exact(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """``(x, y, d, linked)`` by the whole sets."""
@@ -253,7 +253,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark, t = docs.sparkSession, threshold
     scratch = Scratch(spark)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    described = scratch.write(source.mapInArrow(_describe(words), "id long, cls long, n long, sig binary, part int, counts binary"))
+    described = scratch.write(source.mapInArrow(_describe(words), "id long, cls long, n long, sig binary, part int, counts binary"), narrow=False)
     rows = described.filter("part is null").select("id", "cls", "n", "sig")
     level = described.filter("part is not null").select("part", "counts").groupBy("part").applyInPandas(_add_counts, "part int, level binary")
     levels = np.zeros((_PARTS, SKETCH // _PARTS), np.uint8)
@@ -274,7 +274,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield cls, n, text, h
 
     buckets = _buckets(spark, rows.agg(F.sum("n")).first()[0] or 0, 4_000_000)
-    found = scratch.write(_live(source, by_sketch, t, buckets, from_texts))
+    found = scratch.write(_live(source, by_sketch, t, buckets, from_texts), narrow=False)
     reached = _join(found, _Corpus(source, classes, words, t, scratch), region, 0, None).select(F.col("node").alias("cls"), "component")
     named = classes.select("cls", "rep").join(reached, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -212,7 +212,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(2 * least, size * 3 // _BUCKET + 1)
     packed = source.mapInArrow(_travel(window, buckets), "bucket int, kind int, block binary")
     marked = packed.groupBy("bucket").applyInPandas(_count(window), "id long, tie long, s long, e long")
-    marked = scratch.write(marked)
+    marked = scratch.write(marked, narrow=False)
     spans = marked.groupBy(F.col("id").alias("_tf_id"), F.col("tie").alias("_tf_tie")).agg(F.collect_list(F.struct("s", "e")).alias("_tf_spans"))
     cut = F.arrow_udf(_cut, "n_words long, n_removed long, kept string")
     joined = docs.join(spans, ["_tf_id", "_tf_tie"], "left").withColumn("_tf_out", cut(F.col(text_col), F.col("_tf_spans")))
