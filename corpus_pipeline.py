@@ -73,5 +73,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir))
+        docs = scratch.write(stage(spark, docs, sf_dir), narrow=False)
     return STAGES[-1][1](spark, docs, sf_dir)
