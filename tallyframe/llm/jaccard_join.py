@@ -275,7 +275,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     buckets = _buckets(spark, rows.agg(F.sum("n")).first()[0] or 0, 4_000_000)
     found = scratch.write(_live(source, by_sketch, t, buckets, from_texts), narrow=False)
-    reached = _join(found, _Corpus(source, classes, words, t, scratch), region, 0, None).select(F.col("node").alias("cls"), "component")
+    reached = _join(found, _Corpus(source, classes, words, t, scratch), region, None).select(F.col("node").alias("cls"), "component")
     named = classes.select("cls", "rep").join(reached, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = scratch.write(named.join(least, "component").select("cls", "component_id"))
@@ -318,8 +318,12 @@ def _edges(measured: DataFrame) -> DataFrame:
     return measured.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
-def _join(found: DataFrame, corpus: _Corpus, region: int, depth: int, reached: DataFrame | None) -> DataFrame:
-    """Components ``(node, component)`` of everything which the pairs within the regions connect, and of ``reached``."""
+def _join(found: DataFrame, corpus: _Corpus, region: int, reached: DataFrame | None, stored: DataFrame | None = None, held: int | None = None) -> DataFrame:
+    """Components ``(node, component)`` of everything which the pairs within the regions connect, and of ``reached``.
+
+    Within a recursion ``stored`` has the sets of its ``held`` classes; it goes on while large regions keep at most half of them.
+    """
+    sets_of = corpus.sets if stored is None else lambda wanted: stored
     t, scratch = corpus.t, corpus.scratch
     eps, most = float(1 - t) + 1e-9, region * region // 2
     star = found.filter("cls <> pivot").filter(_feasible(t, "n", "pos", "pivot_n", "pivot_pos")).select(F.col("cls").alias("x"), F.col("pivot").alias("y")).distinct()
@@ -328,7 +332,7 @@ def _join(found: DataFrame, corpus: _Corpus, region: int, depth: int, reached: D
     may = may if reached is None else scratch.write(_apart(may, reached))
     near = None
     if not may.isEmpty():
-        sets = corpus.sets(may.select(F.explode(F.array("x", "y")).alias("cls")))
+        sets = sets_of(may.select(F.explode(F.array("x", "y")).alias("cls")))
         near = corpus.exact(may.groupBy("x").agg(F.min("y").alias("y")), sets)
         up = near.filter("linked").select(F.col("x").alias("node"), F.col("y").alias("component"))
         left = scratch.write(_apart(may.join(near, ["x", "y"], "left_anti"), up))
@@ -348,18 +352,19 @@ def _join(found: DataFrame, corpus: _Corpus, region: int, depth: int, reached: D
     else:
         known = known.withColumn("high", F.lit(None).cast("double"))
     open_rows = scratch.write(named.join(mixed, "region").join(known, ["cls", "pivot"], "left").drop("size"))
-    if depth < 3:
-        wide = scratch.write(open_rows.filter(F.col("pairs") > most).select("cls").distinct())
-        if not wide.isEmpty():
-            again = scratch.write(_recount(corpus.sets(wide), t, scratch))
-            reached = _join(again, corpus, region, depth + 1, reached)
+    wide = scratch.write(open_rows.filter(F.col("pairs") > most).select("cls").distinct())
+    if n := wide.count():
+        if held is None or 2 * n <= held:
+            inner = corpus.sets(wide) if stored is None else scratch.write(stored.join(wide, "cls"), narrow=False)
+            again = scratch.write(_recount(inner, t, scratch))
+            reached = _join(again, corpus, region, reached, inner, n)
             open_rows = open_rows.filter(F.col("pairs") <= most)
     a, b = (open_rows.select("region", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "pos", "n", "pivot", "component", "low", "high")]) for s in "ab")
     pairs = a.join(b, "region").filter("component_a <> component_b and cls_a < cls_b and cls_a <> pivot_a and cls_b <> pivot_b")
     pairs = pairs.filter(f"not (coalesce(low_a - high_b > {eps}, false) or coalesce(low_b - high_a > {eps}, false))").filter(_feasible(t, "n_a", "pos_a", "n_b", "pos_b"))
     rest = corpus.bounded(pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")).distinct()).filter("may").select("x", "y")
     if not rest.isEmpty():
-        sets = corpus.sets(rest.select(F.explode(F.array("x", "y")).alias("cls")))
+        sets = sets_of(rest.select(F.explode(F.array("x", "y")).alias("cls")))
         reached = joined_components(reached, _edges(corpus.exact(rest, sets)), scratch)
     return reached
 
