@@ -9,10 +9,12 @@
 4. Every class is searched in every part of its shards: a greedy beam search from the medoid over the united lists, then
    range expansion, in which the neighbours of every vector in range are visited until no new one is found. Each pair
    is counted in one shard only, and kept if its cosine in double precision reaches the threshold.
+   Two classes that share neither shard are compared exactly, in blocks (``_across``): a class goes to every block with a
+   centroid whose cell the threshold's angle round it may reach, so no pair is lost between shards.
 5. In each part the classes whose id is divisible by 20 are also searched exhaustively. If that audit finds a
    recall below ``RECALL``, the whole part is compared in blocks instead.
 
-Only counts and, for each class, the smallest class it met leave a part, never all pairs of a group.
+Only counts and, for each class, the smallest class of its component within the part leave a part, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import Scratch, components
 DEGREE, CANDIDATES, RANDOM_EDGES, ALPHA, BEAM, RECALL = 24, 64, 4, 1.2, 24, 0.98
 #: Rows of the sample that centroids are fitted on, and classes for each centroid.
 SAMPLE_ROWS, SHARD = 20_000, 400
+#: Classes of a block, within which classes of different shards are compared.
+BLOCK = 32_768
 
 
 def _unit(rows) -> np.ndarray:
@@ -149,6 +153,48 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cid": ids, "shard": pdf["shard"], "part": pdf["part"], "near": [ids[v] for v in lists]})
 
 
+def _merge(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component after the edges ``a``-``b`` join ``low``."""
+    while ((la := low[a]) != (lb := low[b])).any():
+        least = np.minimum(la, lb)
+        np.minimum.at(low, la, least)
+        np.minimum.at(low, lb, least)
+        while ((lower := low[low]) != low).any():
+            low = lower
+    return low
+
+
+def _across(least: float):
+    """Pairs of a block and the classes asked of it that share no shard, each in both directions."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        base, asked = (pdf[pdf["indexed"] == i].sort_values("cid", ignore_index=True) for i in (True, False))
+        if base.empty or asked.empty:
+            return pd.DataFrame({c: np.empty(0, np.int64) for c in ("cid", "low", "links", "audited", "missed")})
+        x, y = _unit(base["vector"]), _unit(asked["vector"])
+        small, slack = x.astype(np.float32), 1e-6 + 2e-7 * x.shape[1]
+        ids = np.unique(np.concatenate([base["cid"], asked["cid"]]))
+        at, to = np.searchsorted(ids, base["cid"]), np.searchsorted(ids, asked["cid"])
+        pairs = [np.array([[h[0], h[-1]] for h in side["shards"]]) for side in (base, asked)]
+        homes, weights = [side["home"].to_numpy() for side in (base, asked)], [side["size"].to_numpy() for side in (base, asked)]
+        low, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        for lo in range(0, len(y), 128):
+            rows, cols = np.nonzero(y[lo : lo + 128].astype(np.float32) @ small.T >= least - slack)
+            for cut in range(0, len(rows), 200_000):
+                row, col = rows[cut : cut + 200_000] + lo, cols[cut : cut + 200_000]
+                apart = (homes[0][col] < homes[1][row]) & ~(pairs[0][col][:, :, None] == pairs[1][row][:, None, :]).any((1, 2))
+                row, col = row[apart], col[apart]
+                true = np.einsum("ij,ij->i", y[row], x[col]) >= least
+                row, col = row[true], col[true]
+                np.add.at(links, to[row], weights[0][col])
+                np.add.at(links, at[col], weights[1][row])
+                low = _merge(low, to[row], at[col])
+        met = links > 0
+        return pd.DataFrame({"cid": ids[met], "low": ids[low[met]], "links": links[met], "audited": 0, "missed": 0})
+
+    return run
+
+
 def _search(least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         base = pdf[pdf["indexed"]].sort_values("cid", ignore_index=True)
@@ -163,7 +209,8 @@ def _search(least: float):
         here = ids[at] == np.concatenate(near)
         lists = [v[k] for v, k in zip(*(np.split(z, np.cumsum([len(v) for v in near])[:-1]) for z in (at, here)))]
         weight, home = base["size"].to_numpy(), [np.array([h[0] for h in base["shards"]]), np.array([h[-1] for h in base["shards"]])]
-        out, audit = [], [0, 0]
+        every = np.unique(np.concatenate([ids, asked["cid"]]))
+        out, audit, lowest = [], [0, 0], np.arange(len(every))
         blocks = [asked.iloc[lo : lo + 256] for lo in range(0, len(asked), 256)]
         queries = [_unit(b["vector"]) for b in blocks]
         found = [range_search(x, lists, q, least - slack) for q in queries]
@@ -182,9 +229,12 @@ def _search(least: float):
             keep = (mine != theirs) & (both == shard)
             row, col, mine, theirs = row[keep], col[keep], mine[keep], theirs[keep]
             keep = np.einsum("ij,ij->i", q[row], x[col]) >= least
-            got = pd.DataFrame({"cid": mine[keep], "low": theirs[keep], "links": weight[col[keep]]})
-            out.append(got.groupby("cid", as_index=False).agg({"low": "min", "links": "sum"}))
+            got = pd.DataFrame({"cid": mine[keep], "links": weight[col[keep]]})
+            lowest = _merge(lowest, np.searchsorted(every, mine[keep]), np.searchsorted(every, theirs[keep]))
+            out.append(got.groupby("cid", as_index=False).agg({"links": "sum"}))
         out = pd.concat(out, ignore_index=True).assign(audited=0, missed=0)
+        # the asked class and what it met are in one component, whose smallest class may be of either side
+        out.insert(1, "low", every[lowest[np.searchsorted(every, out["cid"].to_numpy(np.int64))]])
         if len(out):
             out.loc[0, ["audited", "missed"]] = audit
         return out
@@ -192,7 +242,7 @@ def _search(least: float):
     return run
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, shard: int = SHARD, cap: int = 1024) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, shard: int = SHARD, cap: int = 1024, block: int = BLOCK) -> DataFrame:
     """``(id_col, n_links, component_id, kept)`` for every row of ``vectors``.
 
     Rows link when their labels are equal and not null and their cosine, in double precision, is at least ``threshold``.
@@ -208,7 +258,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.withColumn("key", F.when(F.col("good"), F.struct(F.xxhash64("label", "vector").alias("a"), F.xxhash64(F.lit(1), "vector", "label").alias("b"))))
     classes = rows.filter("good").groupBy("key").agg(F.min("id").alias("cid"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = scratch.write(classes, narrow=False)
-    links = _links(classes.select("cid", "size", "label", "vector"), scratch, threshold, shard, cap)
+    links = _links(classes.select("cid", "size", "label", "vector"), scratch, threshold, shard, cap, block)
     counted = links.groupBy("cid").agg(F.sum("links").alias("links"))
     reached = components(links.select(F.col("cid").alias("u"), F.col("low").alias("v")), scratch)
     named = classes.join(counted, "cid", "left").join(reached.withColumnRenamed("node", "cid"), "cid", "left")
@@ -218,8 +268,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def _links(classes: DataFrame, scratch: Scratch, least: float, shard: int, cap: int) -> DataFrame:
-    """``(cid, low, links, audited, missed)``: for each class and part the smallest class it links with and how many rows it links to."""
+def _links(classes: DataFrame, scratch: Scratch, least: float, shard: int, cap: int, block: int) -> DataFrame:
+    """``(cid, low, links, audited, missed)``: for each class and part the smallest class of its component and how many rows it links to."""
     sizes = {r["label"]: r["n"] for r in classes.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     sample: dict[str, list] = {}
@@ -232,22 +282,36 @@ def _links(classes: DataFrame, scratch: Scratch, least: float, shard: int, cap:
         centres[label] = (first, c)
         first += len(c)
 
+    sine, per = np.sqrt(1 - least * least) if 0 < least < 1 else 2.0 if least <= 0 else 0.0, max(1, block // shard)
+
     def route(pdf: pd.DataFrame) -> pd.DataFrame:
-        shards = [None] * len(pdf)
+        shards, asks, home = [None] * len(pdf), [None] * len(pdf), np.full(len(pdf), -1)
         for label, at in pdf.groupby("label").indices.items():
             start, c = centres.get(label, (-1, None))
-            x = _unit([pdf["vector"].iloc[i] for i in at])
-            near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :2] + start if c is not None else np.full((len(at), 1), -1)
-            for i, s in zip(at, near):
-                shards[i] = np.sort(s)
-        return pdf.assign(shards=shards)
+            if c is None:
+                for i in at:
+                    shards[i], asks[i] = np.array([-1]), np.empty(0, np.int64)
+                continue
+            sims = (x := _unit([pdf["vector"].iloc[i] for i in at])) @ c.T
+            near = np.argsort(-sims, axis=1, kind="stable")[:, :2]
+            first_, home[at] = near[:, 0], near[:, 0]
+            # a vector within the angle may lie in the cell of a centroid only if its edge (a plane through the origin) is within the angle
+            gap = np.sqrt(np.maximum(2 - 2 * (c[first_] @ c.T), 0))
+            far = (np.take_along_axis(sims, near[:, :1], 1) - sims <= sine * gap + 1e-7) & (np.arange(len(c)) < first_[:, None])
+            np.put_along_axis(far, near, False, 1)
+            far = np.logical_or.reduceat(far, np.arange(0, len(c), per), axis=1)
+            for i, s, f in zip(at, near + start, far):
+                shards[i], asks[i] = np.sort(s), np.flatnonzero(f)
+            home[at] += start
+        start = pdf["label"].map(lambda v: centres.get(v, (-1, None))[0]).to_numpy()
+        return pdf.assign(shards=shards, home=home, block=(home - start) // per, asks=asks)
 
     def routed(batches):
         for pdf in batches:
             if len(pdf):
                 yield route(pdf)
 
-    named = classes.mapInPandas(routed, "cid long, size long, label string, vector array<double>, shards array<int>")
+    named = classes.mapInPandas(routed, "cid long, size long, label string, vector array<double>, shards array<int>, home int, block int, asks array<int>")
     members = scratch.write(named.withColumn("shard", F.explode("shards")), narrow=False)
     parts = members.groupBy("label", "shard").agg(F.count("*").alias("n")).select("label", "shard", F.ceil(F.col("n") / cap).cast("int").alias("parts"))
     members = scratch.write(members.join(parts, ["label", "shard"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")), narrow=False)
@@ -259,4 +323,19 @@ def _links(classes: DataFrame, scratch: Scratch, least: float, shard: int, cap:
     names = ["label", "shard", "part", "ask", "cid", "size", "vector", "shards", "near", "indexed"]
     units = base.select(names).unionByName(asked.select(names))
     searched = units.groupBy("label", "shard", "part", "ask").applyInPandas(_search(least), "cid long, low long, links long, audited long, missed long")
-    return scratch.write(searched, narrow=False)
+    return scratch.write(searched.unionByName(_apart(members, scratch, least, block)), narrow=False)
+
+
+def _apart(members: DataFrame, scratch: Scratch, least: float, block: int) -> DataFrame:
+    """What ``_across`` finds: every block against the classes that ask for it, both dealt into parts of ``block`` classes."""
+    own = members.filter("shard = home").select("label", "block", "cid", "size", "vector", "shards", "home", "asks")
+    parts = scratch.write(own.groupBy("label", "block").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    own = own.join(parts, ["label", "block"]).withColumn("sub", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts")).cast("int")).drop("parts")
+    key = ["label", "block", "sub", "ask_block", "ask_sub"]
+    asked = own.withColumnsRenamed({"block": "ask_block", "sub": "ask_sub"}).withColumn("block", F.explode("asks")).join(parts, ["label", "block"])
+    asked = asked.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    names = [*key, "cid", "size", "vector", "shards", "home"]
+    units = scratch.write(asked.select(key).distinct())
+    base = own.join(units, ["label", "block", "sub"]).select(*names, F.lit(True).alias("indexed"))
+    both = base.unionByName(asked.select(*names, F.lit(False).alias("indexed")))
+    return both.groupBy(key).applyInPandas(_across(least), "cid long, low long, links long, audited long, missed long")

@@ -131,6 +131,25 @@ def test_embedding_dedup_many_shards_and_parts(spark):
     assert sum(out.values()) >= 0.9 * sum(true.values()) and all(out[i] <= true[i] for i in true)
 
 
+def test_embedding_dedup_finds_pairs_across_shards(spark):
+    """Planted pairs at 0.93 to 0.95 with many centroids a label: all are found, whichever shards their ends are in."""
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a = unit(rng.normal(size=(1200, 16)))
+    b = rng.normal(size=a.shape)
+    b = unit(b - (b * a).sum(1, keepdims=True) * a)
+    c = rng.uniform(0.9301, 0.95, (len(a), 1))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([a, c * a + np.sqrt(1 - c * c) * b]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = embedding_dedup.embedding_dedup(df, shard=20, block=400).collect()
+    assert sorted(tuple(r) for r in out) == brute_links(rows)
+
+
+def test_embedding_components_keep_chains():
+    """A chain 1-5-6-2: no end of its middle link has the other as smallest neighbour."""
+    assert embedding_dedup._merge(np.arange(7), np.array([1, 5, 6, 5, 6, 2]), np.array([5, 6, 2, 1, 5, 6])).tolist() == [0, 1, 1, 3, 4, 1, 1]
+
+
 def test_range_search_finds_dense_groups():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(700, 32))
