@@ -118,15 +118,15 @@ def _document_counts(slots: bytes):
         wanted = np.frombuffer(slots, bool)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                words = Words(*utf8(piece.column(0)), lower=False)
+                folded = pa.array([(x or "").lower() for x in piece.column(0).to_pylist()], pa.large_string())
+                words = Words(*utf8(folded), lower=False)
                 raw, start, end = words.buf, words.start.copy(), words.end.copy()
                 while len(start) and (more := (start < end) & strip[raw[np.minimum(start, len(raw) - 1)]]).any():
                     start += more
                 while len(start) and (more := (start < end) & strip[raw[end - 1]]).any():
                     end -= more
                 doc, keep = words.owner(), start < end
-                low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-                h = FIRST.of_bytes(low, start[keep], end[keep])
+                h = FIRST.of_bytes(raw, start[keep], end[keep])
                 doc = doc[keep]
                 maybe = wanted[(h >> np.uint64(44)).astype(np.int64)]
                 h, doc = h[maybe].view(np.int64), doc[maybe]
@@ -141,10 +141,6 @@ def _document_counts(slots: bytes):
     return run
 
 
-def _ascii_lower(text: str) -> str:
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-
-
 def revealing_terms(source: DataFrame, scratch: Scratch, near: int, support: int, disclosure: float) -> DataFrame:
     """``(id, tie, terms)``: for documents that hold an entity, the terms which reveal it."""
     seen = scratch.write(source.mapInArrow(_contexts(near), "id long, tie long, entity long, term string, context long"))
@@ -156,14 +152,14 @@ def revealing_terms(source: DataFrame, scratch: Scratch, near: int, support: int
         return empty
     joint = seen.join(contexts.select("entity", "term"), ["entity", "term"], "left_semi").select("entity", "term", "id", "tie").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     entities = holds.groupBy("entity").agg(F.count("*").alias("n_e"))
-    hashed = F.arrow_udf(lambda x: pa.array(_hash([_ascii_lower(v) for v in x.to_pylist()])), "long")
+    hashed = F.arrow_udf(lambda x: pa.array(_hash(x.to_pylist())), "long")
     joint = scratch.write(joint.withColumn("h", hashed("term")))
     slots = np.zeros(_SLOTS, bool)
     for r in joint.select(F.shiftrightunsigned("h", 44).alias("slot")).distinct().collect():  # at most the fixed number of slots
         slots[r["slot"]] = True
     total = source.count()
     single = source.select("text").mapInArrow(_document_counts(slots.tobytes()), "h long, n long").groupBy("h").agg(F.sum("n").alias("n_t"))
-    known = joint.join(single, "h").join(entities, "entity")
+    known = joint.join(single, "h", "left").join(entities, "entity")
     ic, pmi = F.log2(F.lit(float(total)) / F.col("n_e")), F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
     bad = scratch.write(known.filter((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term"))
     if bad.isEmpty():

@@ -203,6 +203,13 @@ def test_sanitise(spark, edges, nothing):
     assert pii.sanitise(nothing).count() == 0
 
 
+def test_sanitise_folds_every_alphabet(spark):
+    """Names with a capital outside ASCII are counted in all documents, whatever their case."""
+    rows = [(i, f"word{i} meet Иван Élodie Über at z.v@mail.com item{i}") for i in range(5)] + [(i, f"meet Über at word{i} home") for i in range(5, 60)] + [(60, "über")]
+    out = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == "word0 meet   Über at [EMAIL] item0" and all(out[i] == text for i, text in rows[5:])
+
+
 def test_fingerprints_follow_the_contract(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"] or "") for r in docs.orderBy(F.desc("doc_id")).collect()]
