@@ -40,7 +40,7 @@ def _luhn(digits: str) -> bool:
 
 
 def find_entities(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind number) of the formal patterns, each kind leftmost and without overlap, by start and kind.
+    """(start, end, kind number) of the formal patterns, each kind leftmost and without overlap, by start, end and kind.
 
     The scans are linear in the text, also for endless runs of digits or letters.
     """
@@ -181,7 +181,8 @@ def _mark(text: pa.Array, terms: pa.Array) -> pa.Array:
                 at = m.start() + m[0].find(word)
                 if word.lower() in hidden and not any(s < at + len(word) and at < e for s, e, _ in base):
                     extra.append((at, at + len(word), "term"))
-        every = sorted(spans + extra, key=lambda s: (s[0], (*KINDS, "term").index(s[2])))
+        order = lambda s: (s[0], (*KINDS, "term").index(s[2]))
+        spans, every = sorted(spans, key=order), sorted(spans + extra, key=order)
         n = [sum(k == i for _, _, k in base) for i in range(4)]
         join = lambda rows: ",".join(f"{k}:{s}:{e}" for s, e, k in rows)
         clean, at = [], 0

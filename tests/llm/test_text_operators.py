@@ -210,6 +210,13 @@ def test_sanitise_folds_every_alphabet(spark):
     assert out[0] == "word0 meet   Über at [EMAIL] item0" and all(out[i] == text for i, text in rows[5:])
 
 
+def test_base_spans_are_by_start_and_kind(spark):
+    texts = ["10.0.0.1@host.com", "4539148803436467@host.com"]
+    out = pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    expected = ["email:0:17,ip:0:8", "email:0:25,card:0:16"]
+    assert [r["base_spans"] for r in out] == [r["spans"] for r in out] == expected and [r["sanitised"] for r in out] == ["[EMAIL]"] * 2
+
+
 def test_fingerprints_follow_the_contract(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"] or "") for r in docs.orderBy(F.desc("doc_id")).collect()]
