@@ -2,9 +2,9 @@
 
 Formal patterns find protected entities (email, ip, card, phone). Co-occurrence over the whole corpus then tells
 which other terms give an entity away: with ``N`` documents, entity ``e`` in ``n_e`` of them, term ``t`` in ``n_t``
-and both close together in ``n_et``, the term reveals ``PMI = log2(N n_et / (n_e n_t))`` bits of the entity's
-``IC = log2(N / n_e)``. A term that is seen near the entity in at least ``support`` different contexts (copies of one
-passage are one context) and whose PMI is at least ``disclosure`` of IC is a span too, in the documents that hold the
+and both anywhere in ``n_et``, the term reveals ``PMI = log2(N n_et / (n_e n_t))`` bits of the entity's
+``IC = log2(N / n_e)``. A term that is seen with the entity in at least ``support`` different contexts (the words round the
+entity where the term is among them, else those round the term; copies of one passage are one context) and whose PMI is at least ``disclosure`` of IC is a span too, in the documents that hold the
 entity. Entities are generalised to their kind and revealing terms are removed in the sanitised text.
 """
 
@@ -109,6 +109,44 @@ def _contexts(near: int):
     return run
 
 
+def _document_terms(near: int, slots: bytes):
+    """One row for each distinct term of the documents with an entity in ``slots``: document, term, its hash and that of the words round it."""
+
+    def run(batches):
+        wanted = np.frombuffer(slots, bool)
+        for batch in batches:
+            for i, t, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+                text = text.as_py() or ""
+                spans = find_entities(text)
+                if not spans or not wanted[_hash([f"{KINDS[k]}:{text[s:e].lower()}" for s, e, k in spans]).view(np.uint64) >> np.uint64(44)].any():
+                    continue
+                words = [(m.start(), m[0]) for m in _WORD.finditer(text)]
+                starts = np.array([w[0] for w in words])
+                covered = np.zeros(len(words), bool)
+                for s, e, _ in spans:
+                    covered[np.searchsorted(starts, s, "right") - 1 : np.searchsorted(starts, e, "left")] = True
+                free, first = [w for (_, w), hidden in zip(words, covered) if not hidden], {}
+                for j, w in enumerate(free):
+                    if x := w.strip(_EDGE).lower():
+                        first.setdefault(x, j)
+                if first:
+                    terms = list(first)
+                    around = _hash([" ".join(free[max(0, j - near) : j + near + 1]) for j in first.values()])
+                    yield pa.record_batch([pa.array([i.as_py()] * len(terms), pa.int64()), pa.array([t.as_py()] * len(terms), pa.int64()), pa.array(terms, pa.string()), pa.array(_hash(terms)), pa.array(around)], names=["id", "tie", "term", "h", "context"])
+
+    return run
+
+
+def _slots(hashes: DataFrame) -> bytes:
+    """Which of the filter's slots the hashes ``h`` fall in."""
+    at = F.shiftrightunsigned("h", 44) + 1
+    bits = hashes.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("at"))
+    slots = np.zeros(_SLOTS, bool)
+    for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect():  # at most _SLOTS bits
+        slots[(r["bucket"] - 1) * 32768 : r["bucket"] * 32768] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+    return slots.tobytes()
+
+
 def _document_counts(slots: bytes):
     """How many documents of a part of the texts hold each word that may be a candidate."""
     strip = np.zeros(256, bool)
@@ -144,21 +182,32 @@ def _document_counts(slots: bytes):
 def revealing_terms(source: DataFrame, scratch: Scratch, near: int, support: int, disclosure: float) -> DataFrame:
     """``(id, tie, terms)``: for documents that hold an entity, the terms which reveal it."""
     seen = scratch.write(source.mapInArrow(_contexts(near), "id long, tie long, entity long, term string, context long"))
-    holds = seen.select("entity", "id", "tie").distinct()
-    contexts = seen.filter("term is not null").select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
-    contexts = scratch.write(contexts)
     empty = seen.select("id", "tie", F.array("term").alias("terms")).limit(0)
-    if contexts.isEmpty():
+    holds = scratch.write(seen.select("entity", "id", "tie").distinct())
+    if holds.isEmpty():
         return empty
-    joint = seen.join(contexts.select("entity", "term"), ["entity", "term"], "left_semi").select("entity", "term", "id", "tie").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    entities = holds.groupBy("entity").agg(F.count("*").alias("n_e"))
+    total = source.count()
+    entities = scratch.write(holds.groupBy("entity").agg(F.count("*").alias("n_e")))
+    shared = entities.filter(F.col("n_e") >= min(2, support))  # in one document a distant term has one context only
+    whole = scratch.write(source.mapInArrow(_document_terms(near, _slots(shared.select(F.col("entity").alias("h")))), "id long, tie long, term string, h long, context long"), narrow=False)
     hashed = F.arrow_udf(lambda x: pa.array(_hash(x.to_pylist())), "long")
+    close = seen.filter("term is not null").select("entity", "term", "id", "tie", "context")
+    often = close.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+    slots = _slots(whole.select("h").unionByName(often.select("term").distinct().select(hashed("term").alias("h"))))
+    single = scratch.write(source.select("text").mapInArrow(_document_counts(slots), "h long, n long").groupBy("h").agg(F.sum("n").alias("n_t")))
+    # as n_et <= n_e, no term of more documents than this bound reaches the disclosure
+    bound = F.pow(F.lit(float(total)), F.lit(1 - disclosure)) * F.pow("n_e", F.lit(disclosure)) * (1 + 1e-9)
+    held = holds.join(shared, "entity").withColumn("bound", bound)
+    rare = whole.join(single, "h", "left").join(held.groupBy("id", "tie").agg(F.max("bound").alias("most")), ["id", "tie"]).filter("coalesce(n_t, 1) <= most")
+    far = rare.join(held, ["id", "tie"]).filter("coalesce(n_t, 1) <= bound").select("entity", "term", "id", "tie", "context")
+    far = far.join(close.select("entity", "term", "id", "tie").distinct(), ["entity", "term", "id", "tie"], "left_anti")
+    every = scratch.write(close.unionByName(far).distinct())
+    contexts = every.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
+    contexts = scratch.write(contexts)
+    if contexts.isEmpty():
+        return empty
+    joint = every.join(contexts.select("entity", "term"), ["entity", "term"], "left_semi").select("entity", "term", "id", "tie").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     joint = scratch.write(joint.withColumn("h", hashed("term")))
-    slots = np.zeros(_SLOTS, bool)
-    for r in joint.select(F.shiftrightunsigned("h", 44).alias("slot")).distinct().collect():  # at most the fixed number of slots
-        slots[r["slot"]] = True
-    total = source.count()
-    single = source.select("text").mapInArrow(_document_counts(slots.tobytes()), "h long, n long").groupBy("h").agg(F.sum("n").alias("n_t"))
     known = joint.join(single, "h", "left").join(entities, "entity")
     ic, pmi = F.log2(F.lit(float(total)) / F.col("n_e")), F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
     bad = scratch.write(known.filter((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term"))

@@ -217,6 +217,17 @@ def test_base_spans_are_by_start_and_kind(spark):
     assert [r["base_spans"] for r in out] == [r["spans"] for r in out] == expected and [r["sanitised"] for r in out] == ["[EMAIL]"] * 2
 
 
+def test_sanitise_counts_whole_documents(spark):
+    """A name in the greeting gives away the address in the signature; copies of one passage do not."""
+    fill = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    rows = [(i, f"hello zorro {fill(i)} yours z.v@mail.com") for i in range(4)] + [(4, f"zorro z.v@mail.com {fill(4)}")]
+    rows += [(i, f"one two three four five six seven eight nine ten copied eleven twelve thirteen fourteen fifteen c.d@mail.com {fill(i)}") for i in range(5, 10)]
+    rows += [(i, f"hello {fill(i)} yours") for i in range(10, 90)]
+    out = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == f"hello  {fill(i)} yours [EMAIL]" for i in range(4)) and out[4] == f" [EMAIL] {fill(4)}"
+    assert all("copied" in out[i] and "[EMAIL]" in out[i] for i in range(5, 10)) and all(out[i] == text for i, text in rows[10:])
+
+
 def test_fingerprints_follow_the_contract(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"] or "") for r in docs.orderBy(F.desc("doc_id")).collect()]
