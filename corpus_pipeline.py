@@ -33,11 +33,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each component (repeated rows of one id: one); documents without words stay."""
-    found = jaccard_join(docs)
-    keep = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    one = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*COLUMNS)
-    return one.dropDuplicates(["doc_id"])
+    """Keeps the document of smallest id (then of smallest hash) of each component; documents without words stay.
+
+    Rows of a null id, or of one id with different texts, are documents of their own; only rows equal in id and text are one.
+    """
+    key = F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text").alias("key")
+    keyed = docs.select(key, *COLUMNS)
+    found = jaccard_join(keyed.select("key", "text"), id_col="key").distinct().join(keyed.select("key", "doc_id").distinct(), "key")
+    least = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select("least.key")
+    keep = found.filter("n_shingles = 0").select("key").unionByName(least).distinct()
+    one = keyed.join(keep, "key", "left_semi").groupBy("key", "doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    return one.select("doc_id", "text", "rest.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
