@@ -340,7 +340,7 @@ def _join(found: DataFrame, corpus: _Corpus, region: int, reached: DataFrame | N
             near = near.unionByName(corpus.exact(left, sets))
         reached = joined_components(reached, _edges(near), scratch)
     if reached is None:
-        return bounded.limit(0).select(F.col("x").alias("node"), F.col("y").alias("component"))
+        reached = scratch.write(bounded.limit(0).select(F.col("x").alias("node"), F.col("y").alias("component")))
     named = scratch.write(found.join(reached.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     inside = named.groupBy("region", "component").agg(F.count("*").alias("n"))
     sizes = inside.groupBy("region").agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts"))

@@ -114,6 +114,25 @@ def test_jaccard_join_at_the_threshold(spark):
     assert link(Fraction(11, 13)) == 1 and link(Fraction(111, 130)) == 2
 
 
+def test_jaccard_join_without_a_link_to_any_pivot(spark):
+    """The only linked pair meets in regions whose pivot, a short text, links with nothing."""
+    import pyarrow as pa
+
+    from tallyframe.llm.jaccard_join import _class, _sets
+
+    def cls(text):
+        return _class(_sets(pa.record_batch([pa.array([0]), pa.array([text])], names=["id", "text"]), 5)[4])
+
+    for salt in range(10_000):
+        w = [f"s{salt}w{i}" for i in range(10)]
+        rows = [(i, " ".join(w[i : i + 5])) for i in range(6)] + [(6, " ".join([*w, "b"])), (7, " ".join([*w, "c"]))]
+        order = [cls(t) for _, t in rows]
+        if max(order[:6]) < min(order[6:]):
+            break
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_join(df).collect()) == sorted(brute_components(rows))
+
+
 def test_jaccard_join_large_groups(spark):
     """Hundreds of near copies and of documents that share a long passage, joined in small regions."""
     rng = np.random.default_rng(8)
@@ -228,6 +247,18 @@ def test_sanitise_counts_whole_documents(spark):
     assert all("copied" in out[i] and "[EMAIL]" in out[i] for i in range(5, 10)) and all(out[i] == text for i, text in rows[10:])
 
 
+def test_pipeline_keeps_unrelated_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    text = [words(40) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[3]), (9, text[3] + " end"), (None, None), (3, ""), (4, text[4]), (4, text[4])]
+    docs = spark.createDataFrame([(i, x, "en", "a", len(x or "")) for i, x in rows], DOCS)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    expected = [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (None, None), (3, ""), (4, text[4])]
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=repr) == sorted(expected, key=repr)
+
+
 def test_fingerprints_follow_the_contract(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"] or "") for r in docs.orderBy(F.desc("doc_id")).collect()]
