@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,6 @@ _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SLICE = 1 << 17
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -32,17 +32,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=_U)
+_STEP = _U(0xD6E8FEB86659FD93)
+#: Longer spans are hashed one by one.
+_LONG = 256
+
+
+def hash_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of every byte span.
+
+    Spans of up to eight bytes are one number, which is mixed bijectively; of longer ones, eight bytes at a time go through two
+    different chains of mixing, which are joined at the end. Spans of more than ``_LONG`` bytes are hashed with BLAKE2. There
+    is no sum of powers here: modulo 2**64 such sums agree for some long words whatever the base is.
+    """
+    size = end - start
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
+    own = mix(np.array([seed * _GOLD & (2**64 - 1), (seed + 1) * _GOLD & (2**64 - 1)], _U))
+    head = eight[start] & _MASK[np.minimum(size, 8)]
+    out = mix(head ^ own[0])
+    more = np.flatnonzero((size > 8) & (size <= _LONG))
+    if len(more):
+        a, b = out[more], mix(head[more] * _STEP + own[1])
+        at, left, live = start[more] + 8, size[more] - 8, np.arange(len(more))
+        while len(live):
+            part = eight[at[live]] & _MASK[np.minimum(left[live], 8)]
+            a[live], b[live] = mix(a[live] ^ part), mix(b[live] * _STEP + part)
+            at[live] += 8
+            left[live] -= 8
+            live = live[left[live] > 0]
+        out[more] = a + mix(b ^ own[0])
+    for i in np.flatnonzero(size > _LONG):
+        key = seed.to_bytes(8, "little")
+        out[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]].data, digest_size=8, key=key).digest(), "little")
+    return mix(out + size.astype(_U) * _U(_GOLD))
+
+
 class Rolling:
-    """Hashes of spans of a sequence as differences of prefix sums modulo 2**64.
+    """Hashes of short spans of a sequence of well mixed numbers as differences of prefix sums modulo 2**64.
 
     ``base`` is odd, so its powers have inverses and a span's hash does not depend on where it lies.
     """
 
     def __init__(self, seed: int):
         base = (int(mix(np.array([seed * _GOLD & (2**64 - 1)], dtype=_U))[0]) & ~7 | 5) & (2**64 - 1)
-        self.base, self.inverse = _U(base), _U(pow(base, -1, 2**64))
+        self.seed, self.base, self.inverse = seed, _U(base), _U(pow(base, -1, 2**64))
         self.up = self.down = np.ones(1, dtype=_U)
-        self.letters = mix(np.arange(1, 257, dtype=_U) * _U(_GOLD) + _U(seed))
 
     def _powers(self, n: int) -> None:
         if len(self.up) <= n:
@@ -61,14 +96,7 @@ class Rolling:
         return mix((total[end] - total[start]) * self.down[start] + (end - start).astype(_U) * _U(_GOLD))
 
     def of_bytes(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of ascending byte spans, in slices that fit the processor's cache."""
-        out = np.empty(len(start), _U)
-        edge = np.searchsorted(start, np.arange(0, len(buf) + _SLICE, _SLICE))
-        for i, j in zip(edge[:-1], edge[1:]):
-            if j > i:
-                a, b = start[i], end[j - 1]
-                out[i:j] = self.spans(self.letters[buf[a:b]], start[i:j] - a, end[i:j] - a)
-        return out
+        return hash_bytes(buf, start, end, self.seed)
 
 
 FIRST, SECOND, THIRD = Rolling(11), Rolling(23), Rolling(47)
