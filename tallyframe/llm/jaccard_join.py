@@ -6,15 +6,19 @@ The Jaccard distance ``d = 1 - |x & y| / |x | y|`` is a metric, and documents li
    documents orders shingles from rare to frequent; any fixed order is exact, rarity only makes regions small.
 2. Two linked sets must share one of their first ``n - ceil(t n) + 1`` shingles in that order, so each such
    shingle names a *region* and a class is replicated to the regions of its prefix. Prefixes travel packed: one
-   binary block for each task and bucket, from which the bucket keeps regions of two classes or more.
-3. The first class of a region is its *pivot*. Every other class is compared with the pivot: within ``eps`` it
-   is in the pivot's Voronoi cell and linked. A cell is one component whatever its size, so its members
-   are never compared with each other.
-4. Regions whose classes lie in different components are joined again, with the triangle inequality as window:
-   a pair with ``|d(x, pivot) - d(y, pivot)| > eps`` cannot link; neither can one whose sizes, positions in the
-   order or parity signatures leave too little overlap. What is left is compared exactly. Regions with more pairs
-   across components than ``region`` classes have are first joined recursively: their shingles are counted exactly within those regions only,
-   which makes the shared passage that brought them together frequent, and new prefixes and pivots are drawn.
+   binary block for each task and bucket, from which the bucket keeps regions of two classes or more. A shingle of
+   very many documents is dealt over all buckets, and its region is put together by an aggregation.
+3. A region's *pivot* is the class in whose order its shingle comes first, as that class has the fewest shingles of its own and
+   so lies in the middle. Every class that may link with the pivot is compared with it; those within ``eps`` are its Voronoi
+   cell. Cells are contracted to components before any other pair is made.
+4. What is left are pairs of a region whose classes lie in different components. The smaller set of a pair must hold the
+   region's shingle early enough (*index* rows); the larger one asks for a window of sizes. In large regions
+   classes also fall into rings round the pivot: an index row is in one cell (ring, size band), and an asking row is
+   replicated to the cells which the triangle inequality leaves, ``|d(x, pivot) - d(y, pivot)| <= eps``. Parity signatures
+   bound the pairs of a cell before whole sets are compared exactly.
+5. If the cells of large regions still hold many pairs, the classes of these regions are joined again recursively: their
+   shingles are counted exactly among them alone, which makes the passage that brought them together frequent, and
+   new prefixes, regions and pivots are drawn. Recursion ends when it no longer halves the pairs.
 
 Shingles are identified by 64-bit hashes of their words' bytes.
 """
@@ -37,14 +41,18 @@ SKETCH = 1 << 22
 _PARTS = 64
 #: Bits of the filter that keeps unwanted texts out of a shuffle.
 _BITS = 1 << 23
+#: Classes that a task remembers, so that copies of a text send their prefix once.
+_SEEN = 500_000
+#: Parts of the sketch that one group adds up.
+_FAN = 256
 _U = np.uint64
 
 
-def _sets(batch: pa.RecordBatch, k: int):
-    """Ids, sizes, offsets and sorted shingle hashes of a small batch ``(id, text)``."""
-    text, h = shingles(Words(*utf8(batch.column(1)), lower=True), k)
+def _sets(batch: pa.RecordBatch, k: int, at: int = 1):
+    """First column, sizes, offsets and sorted shingle hashes of a small batch whose column ``at`` has texts."""
+    text, h = shingles(Words(*utf8(batch.column(at)), lower=True), k)
     n = np.bincount(text, minlength=batch.num_rows)
-    return np.asarray(batch.column(0).fill_null(NO_ID)), n, np.concatenate([[0], np.cumsum(n)]), text, h
+    return batch.column(0), n, np.concatenate([[0], np.cumsum(n)]), text, h
 
 
 def _class(h: np.ndarray) -> int:
@@ -60,7 +68,7 @@ def _signature(h: np.ndarray) -> bytes:
 
 def _describe(k: int):
     """For each document its class and size; for each task its part of the count sketch."""
-    schema = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         counts = np.zeros(SKETCH, np.uint32)
@@ -72,23 +80,47 @@ def _describe(k: int):
                 cls = [_class(h[a:b]) if b > a else None for a, b in zip(off[:-1], off[1:])]
                 sig = [_signature(h[a:b]) if b > a else None for a, b in zip(off[:-1], off[1:])]
                 none = pa.nulls(len(ids))
-                yield pa.record_batch([pa.array(ids), pa.array(cls, pa.int64()), pa.array(n), pa.array(sig, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                yield pa.record_batch([ids, piece.column(2), pa.array(cls, pa.int64()), pa.array(n), pa.array(sig, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if counts.any():
             parts = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in counts.reshape(_PARTS, -1)]
             none = pa.nulls(_PARTS).cast(pa.int64())
-            yield pa.record_batch([none, none, none, pa.nulls(_PARTS).cast(pa.binary()), pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+            yield pa.record_batch([none, none, none, none, pa.nulls(_PARTS).cast(pa.binary()), pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
 
+def _sum_counts(blocks) -> np.ndarray:
+    total = np.zeros(SKETCH // _PARTS, np.uint64)
+    for x in blocks:
+        total += np.frombuffer(pa.decompress(x, decompressed_size=4 * len(total), codec="zstd", asbytes=True), np.uint32)
+    return total
+
+
+def _partly(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sum of some tasks' counts of one part of the sketch."""
+    total = np.minimum(_sum_counts(pdf["counts"]), 2**32 - 1).astype(np.uint32)
+    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [pa.compress(total.tobytes(), "zstd", asbytes=True)]})
+
+
+def _level(counts):
+    return np.minimum(np.log2(counts + 1.0) * 4, 255).astype(np.uint8)
+
+
 def _add_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sum one part of the sketch and keep a coarse level: four steps for each doubling."""
-    size = SKETCH // _PARTS
-    total = np.zeros(size, np.uint64)
-    for x in pdf["counts"]:
-        total += np.frombuffer(pa.decompress(x, decompressed_size=4 * size, codec="zstd", asbytes=True), np.uint32)
-    level = np.minimum(np.log2(total + 1.0) * 4, 255).astype(np.uint8)
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "level": [level.tobytes()]})
+    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "level": [_level(_sum_counts(pdf["counts"])).tobytes()]})
+
+
+def _levels(parts: DataFrame) -> np.ndarray:
+    """Levels of all slots; the parts of many tasks are added as a tree, so that no group holds those of all tasks."""
+    tasks = parts.filter("part = 0").count()
+    while tasks > _FAN:
+        tasks = -(-tasks // _FAN)
+        parts = parts.groupBy("part", F.pmod(F.xxhash64("counts"), F.lit(tasks))).applyInPandas(_partly, "part int, counts binary")
+    out = np.zeros((_PARTS, SKETCH // _PARTS), np.uint8)
+    for r in parts.groupBy("part").applyInPandas(_add_counts, "part int, level binary").collect():  # fixed size: one byte for each slot
+        out[r["part"]] = np.frombuffer(r["level"], np.uint8)
+    return out.ravel()
 
 
 def _needed(n: np.ndarray, t: Fraction) -> np.ndarray:
@@ -96,22 +128,26 @@ def _needed(n: np.ndarray, t: Fraction) -> np.ndarray:
     return -((-n * t.numerator) // t.denominator)
 
 
-def _pack(rank_of, t: Fraction, buckets: int, sets_of):
-    """Prefix entries (shingle, class, position, size) packed into one block for each bucket."""
+_ENTRY = np.dtype([("h", "<u8"), ("c", "<i8"), ("p", "<i4"), ("n", "<i4")])
+
+
+def _pack(levels_of, hot: int, t: Fraction, buckets: int, sets_of):
+    """Prefix entries (shingle, class, position, size) packed into one block for each bucket; shingles of level ``hot`` go to all buckets."""
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
     def run(batches):
-        rank = rank_of()
+        levels = levels_of()
         for cls, n, text, h in sets_of(batches):
-            order = np.lexsort((h, rank(h), text))
-            h, start = h[order], np.cumsum(n) - n
+            level = levels[(h >> _U(42)).astype(np.int64)]
+            order = np.lexsort((h, level, text))
+            h, level, start = h[order], level[order], np.cumsum(n) - n
             at = np.arange(len(h)) - start[text]
             keep = at < (n - _needed(n, t) + 1)[text]
-            h, at, text = h[keep], at[keep], text[keep]
-            bucket = (mix(h) % _U(buckets)).astype(np.int32)
+            h, at, text, level = h[keep], at[keep], text[keep], level[keep]
+            bucket = (mix(np.where(level >= hot, h + cls.view(_U)[text], h)) % _U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             h, at, text, bucket = h[order], at[order], text[order], bucket[order]
-            row = np.empty(len(h), dtype=[("h", "<u8"), ("c", "<i8"), ("p", "<i4"), ("n", "<i4")])
+            row = np.empty(len(h), _ENTRY)
             row["h"], row["c"], row["p"], row["n"] = h, cls[text], at, n[text]
             edge = np.flatnonzero(np.diff(bucket, prepend=-1))
             blocks = [pa.compress(row[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(edge, [*edge[1:], len(row)])]
@@ -122,29 +158,40 @@ def _pack(rank_of, t: Fraction, buckets: int, sets_of):
     return run
 
 
-_REGION = "region long, cls long, pos long, n long, pivot long, pivot_n long, pivot_pos long, size long"
+_REGION = "region long, cls long, pos long, n long, pivot long, pivot_n long, pivot_pos long, size long, hot boolean"
 
 
-def _regions(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Regions of two classes or more in one bucket, with their pivot; an entry appears once for each class."""
-    kind = np.dtype([("h", "<u8"), ("c", "<i8"), ("p", "<i4"), ("n", "<i4")])
-    rows = [np.frombuffer(pa.decompress(x[4:], decompressed_size=kind.itemsize * int.from_bytes(x[:4], "little"), codec="zstd", asbytes=True), kind) for x in pdf["block"]]
-    rows = np.concatenate(rows) if rows else np.empty(0, kind)
-    order = np.lexsort((rows["c"], rows["h"]))
-    rows = rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["c"][1:] != rows["c"][:-1])
-    rows = rows[new]
-    first = np.flatnonzero(np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]])) if len(rows) else np.empty(0, int)
-    size = np.diff([*first, len(rows)])
-    first, size_of = np.repeat(first, size), np.repeat(size, size)
-    keep = size_of > 1
-    rows, pivot, size_of = rows[keep], rows[first[keep]], size_of[keep]
-    return pd.DataFrame({"region": rows["h"].view(np.int64), "cls": rows["c"], "pos": rows["p"].astype(np.int64), "n": rows["n"].astype(np.int64), "pivot": pivot["c"], "pivot_n": pivot["n"].astype(np.int64), "pivot_pos": pivot["p"].astype(np.int64), "size": size_of.astype(np.int64)})
+def _regions(levels_of, hot: int):
+    """Regions of two classes or more in one bucket, with their pivot; an entry appears once for each class. Of hot shingles all entries go on."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [np.frombuffer(pa.decompress(x[4:], decompressed_size=_ENTRY.itemsize * int.from_bytes(x[:4], "little"), codec="zstd", asbytes=True), _ENTRY) for x in pdf["block"]]
+        rows = np.concatenate(rows) if rows else np.empty(0, _ENTRY)
+        rows = rows[np.lexsort((rows["c"], rows["p"], rows["h"]))]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["c"][1:] != rows["c"][:-1])
+        rows = rows[new]
+        first = np.flatnonzero(np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]])) if len(rows) else np.empty(0, int)
+        size = np.diff([*first, len(rows)])
+        first, size = np.repeat(first, size), np.repeat(size, size)
+        often = levels_of()[(rows["h"] >> _U(42)).astype(np.int64)] >= hot
+        keep = (size > 1) | often
+        rows, pivot, size, often = rows[keep], rows[first[keep]], size[keep], often[keep]
+        long = lambda x: x.astype(np.int64)
+        return pd.DataFrame({"region": rows["h"].view(np.int64), "cls": rows["c"], "pos": long(rows["p"]), "n": long(rows["n"]), "pivot": pivot["c"], "pivot_n": long(pivot["n"]), "pivot_pos": long(pivot["p"]), "size": long(size), "hot": often})
+
+    return run
+
+
+def _with_pivots(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Entries ``(region, cls, pos, n)`` with their region's pivot and size; regions of one class are left out."""
+    first = rows.groupBy("region").agg(F.min(F.struct("pos", "cls", "n")).alias("p"), F.count("*").alias("size")).filter("size > 1")
+    first = scratch.write(first.select("region", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos"), "size"))
+    return rows.join(first, "region").select("region", "cls", "pos", "n", "pivot", "pivot_n", "pivot_pos", "size")
 
 
 def _compare(batches):
-    """Overlap of the two sets of each row ``(x, y, a, b)``, many pairs at once."""
+    """Overlap and union of the two sets of each row ``(x, y, a, b)``, many pairs at once."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
@@ -158,7 +205,9 @@ def _compare(batches):
             pair, h = pair[order], h[order]
             same = (pair[1:] == pair[:-1]) & (h[1:] == h[:-1])
             both = np.bincount(pair[1:][same], minlength=part.num_rows)
-            yield pa.record_batch([part.column(part.schema.get_field_index("x")), part.column(part.schema.get_field_index("y")), pa.array(both.astype(np.int64))], names=["x", "y", "both"])
+            size = [np.bincount(r[0], minlength=part.num_rows) for r in rows]
+            columns = [part.column(part.schema.get_field_index(c)) for c in "xy"] + [pa.array(c.astype(np.int64)) for c in (both, size[0] + size[1] - both)]
+            yield pa.record_batch(columns, names=["x", "y", "both", "union"])
 
 
 def _bound(t: Fraction):
@@ -208,11 +257,12 @@ class _Corpus:
     def sets(self, wanted: DataFrame) -> DataFrame:
         """``(cls, h, n)`` of the classes ``wanted (cls)``, from the text of each one's first document.
 
-        A bitmap of fixed size, made of hashes of these documents' ids, keeps other texts out of the shuffle.
+        A bitmap of fixed size, made of hashes of these documents' ids and texts, keeps other texts out; a task sends each set once.
         """
-        reps = self.scratch.write(wanted.distinct().join(self.classes.select("cls", F.col("rep").alias("id")), "cls"))
-        slot = F.pmod(F.xxhash64("id"), F.lit(_BITS))
-        bits = reps.select(F.bitmap_bucket_number(slot + 1).alias("bucket"), F.bitmap_bit_position(slot + 1).alias("at"))
+        reps = self.scratch.write(wanted.distinct().join(self.classes.select("cls", "rep"), "cls"))
+        slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(_BITS))
+        at = slot("rep.id", "rep.key") + 1
+        bits = reps.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("at"))
         table = np.zeros(_BITS // 8 + 4096, np.uint8)
         for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect():  # at most _BITS bits
             table[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
@@ -222,18 +272,16 @@ class _Corpus:
             at = np.asarray(at)
             return pa.array((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool))
 
-        some = self.source.withColumn("slot", slot).filter(F.arrow_udf(wanted_slot, "boolean")("slot"))
-        texts = some.join(reps.hint("shuffle_merge"), "id").select("id", "text", "cls")
-        return self.scratch.write(texts.mapInArrow(_store(self.words), "cls long, h binary, n long").dropDuplicates(["cls"]), narrow=False)
+        some = self.source.withColumn("slot", slot("id", "key")).filter(F.arrow_udf(wanted_slot, "boolean")("slot"))
+        stored = some.select("text").mapInArrow(_store(self.words), "cls long, h binary, n long").join(reps.select("cls"), "cls", "left_semi")
+        return self.scratch.write(stored.dropDuplicates(["cls"]), narrow=False)
 
     def exact(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """``(x, y, d, linked)`` by the whole sets."""
         both = pairs.select("x", "y").join(_side(sets, 0, "h"), "x").join(_side(sets, 1, "h"), "y")
-        found = self.scratch.write(both.mapInArrow(_compare, "x long, y long, both long"))
-        sized = found.join(_side(self.classes, 0, "n"), "x").join(_side(self.classes, 1, "n"), "y")
-        union = F.col("na") + F.col("nb") - F.col("both")
-        linked = F.col("both") * self.t.denominator >= union * self.t.numerator
-        return self.scratch.write(sized.select("x", "y", (1 - F.col("both") / union).alias("d"), linked.alias("linked")))
+        found = both.mapInArrow(_compare, "x long, y long, both long, union long")
+        linked = F.col("both") * self.t.denominator >= F.col("union") * self.t.numerator
+        return self.scratch.write(found.select("x", "y", (1 - F.col("both") / F.col("union")).alias("d"), linked.alias("linked")))
 
 
 def _feasible(t: Fraction, na: str, pa_: str, nb: str, pb: str):
@@ -242,44 +290,55 @@ def _feasible(t: Fraction, na: str, pa_: str, nb: str, pb: str):
     return most * (t.numerator + t.denominator) >= t.numerator * (F.col(na) + F.col(nb))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: Fraction = Fraction(3, 4), region: int = 256) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: Fraction = Fraction(3, 4), region: int = 256, hot: int = 1 << 21) -> DataFrame:
     """``(id_col, n_shingles, component_id)`` for every row of ``docs``.
 
     Words are runs of anything but space and 0x09-0x0D after lower-casing A-Z; a document's set has its distinct
     shingles of ``words`` words, or its whole word sequence if it has fewer. Null, empty and blank texts have an
     empty set, size 0, and their own id as component. Rows with equal texts, repeated rows included, share
-    a component. A null id counts as the smallest and is returned as null. Other columns are ignored.
+    a component. A null id counts as the smallest and is returned as null. Other columns are ignored. Regions of more
+    than ``region`` classes are cut into cells; shingles that ``hot`` documents or more may hold are dealt over all tasks. Neither changes
+    the result.
     """
     spark, t = docs.sparkSession, threshold
     scratch = Scratch(spark)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    described = scratch.write(source.mapInArrow(_describe(words), "id long, cls long, n long, sig binary, part int, counts binary"), narrow=False)
-    rows = described.filter("part is null").select("id", "cls", "n", "sig")
-    level = described.filter("part is not null").select("part", "counts").groupBy("part").applyInPandas(_add_counts, "part int, level binary")
-    levels = np.zeros((_PARTS, SKETCH // _PARTS), np.uint8)
-    for r in level.collect():  # fixed size: one byte for each of the sketch's slots
-        levels[r["part"]] = np.frombuffer(r["level"], np.uint8)
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    described = scratch.write(source.mapInArrow(_describe(words), "id long, key long, cls long, n long, sig binary, part int, counts binary"), narrow=False)
+    rows = described.filter("part is null").select("id", "key", "cls", "n", "sig")
+    levels = _levels(described.filter("part is not null").select("part", "counts"))
     shared = spark.sparkContext.broadcast(levels.tobytes())
-    classes = scratch.write(rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    hot_level = int(_level(np.array(hot)))
+    classes = scratch.write(rows.filter("n > 0").groupBy("cls").agg(F.min(F.struct("id", "key")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
-    def by_sketch():
-        table = np.frombuffer(shared.value, np.uint8)
-        return lambda h: table[(h >> _U(42)).astype(np.int64)]
+    def levels_of():
+        return np.frombuffer(shared.value, np.uint8)
 
     def from_texts(batches):
+        seen = set()
         for batch in batches:
             for piece in pieces(batch, "text", 1 << 20):
                 _, n, off, text, h = _sets(piece, words)
-                cls = np.array([_class(h[a:b]) if b > a else 0 for a, b in zip(off[:-1], off[1:])], np.int64)
-                yield cls, n, text, h
+                cls, fresh = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+                for i, (a, b) in enumerate(zip(off[:-1], off[1:])):
+                    if b > a and (c := _class(h[a:b])) not in seen:
+                        seen.add(c)
+                        cls[i], fresh[i] = c, True
+                if fresh.any():
+                    mine = fresh[text]
+                    yield cls[fresh], n[fresh], (np.cumsum(fresh) - 1)[text[mine]], h[mine]
+                if len(seen) > _SEEN:
+                    seen.clear()
 
     buckets = _buckets(spark, rows.agg(F.sum("n")).first()[0] or 0, 4_000_000)
-    found = scratch.write(_live(source, by_sketch, t, buckets, from_texts), narrow=False)
+    packed = source.mapInArrow(_pack(levels_of, hot_level, t, buckets, from_texts), "bucket int, block binary")
+    found = scratch.write(packed.groupBy("bucket").applyInPandas(_regions(levels_of, hot_level), _REGION), narrow=False)
+    if (levels >= hot_level).any():
+        found = found.filter("not hot").drop("hot").unionByName(scratch.write(_with_pivots(found.filter("hot").select("region", "cls", "pos", "n"), scratch)))
     reached = _join(found, _Corpus(source, classes, words, t, scratch), region, None).select(F.col("node").alias("cls"), "component")
-    named = classes.select("cls", "rep").join(reached, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = classes.select("cls", F.col("rep.id").alias("rep")).join(reached, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = scratch.write(named.join(least, "component").select("cls", "component_id"))
-    out = rows.join(final, "cls", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    out = rows.filter("n > 0").join(final, "cls").select("id", "n", "component_id").unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("id").alias(id_col), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"))
 
@@ -289,24 +348,25 @@ def _buckets(spark: SparkSession, entries: int, size: int) -> int:
 
 
 def _store(k: int):
-    """The stored set of each class; a text of another class under the same id is left out."""
+    """Class and set of each text; a task sends a class once."""
 
     def run(batches):
+        seen = set()
         for batch in batches:
             for piece in pieces(batch, "text"):
-                _, n, off, _, h = _sets(piece, k)
-                want = piece.column(2).to_pylist()
-                got = [(c, h[a:b].tobytes(), b - a) for c, a, b in zip(want, off[:-1], off[1:]) if b > a and _class(h[a:b]) == c]
+                _, n, off, _, h = _sets(piece, k, 0)
+                got = []
+                for a, b in zip(off[:-1], off[1:]):
+                    if b > a and (c := _class(h[a:b])) not in seen:
+                        seen.add(c)
+                        got.append((c, h[a:b].tobytes(), b - a))
                 yield pa.record_batch([pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.int64()))], names=["cls", "h", "n"])
+                if len(seen) > _SEEN:
+                    seen.clear()
 
     return run
 
 
-def _live(source: DataFrame, rank_of, t: Fraction, buckets: int, sets_of) -> DataFrame:
-    packed = source.mapInArrow(_pack(rank_of, t, buckets, sets_of), "bucket int, block binary")
-    return packed.groupBy("bucket").applyInPandas(_regions, _REGION)
-
-
 def _apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:
     """Pairs whose ends are not known to lie in one component."""
     a, b = (reached.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "xy")
@@ -318,51 +378,73 @@ def _edges(measured: DataFrame) -> DataFrame:
     return measured.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
+def _asks(t: Fraction):
+    """The sizes of smaller sets that a row may link with: those which its own size, and what follows the shared shingle, leave."""
+    p, q = t.numerator, t.denominator
+    return F.expr(f"bigint(ceil(n * {p} / {q}))"), F.expr(f"least(n, bigint(floor((n - pos) * {p + q} / {p})) - n)")
+
+
+def _cells(rows: DataFrame, t: Fraction, eps: float) -> tuple[DataFrame, DataFrame]:
+    """Asking and index rows of large regions with their cells ``(ring, band)``; index rows of unknown distance are in ring -1."""
+    band = lambda n: F.floor(F.log(n.cast("double")) * 8).cast("int")
+    ring = lambda d: F.floor(d / eps).cast("int")
+    least, most = _asks(t)
+    rings = F.concat(F.array(F.lit(-1)), F.sequence(ring(F.greatest(F.col("low") - eps, F.lit(0.0))), ring(F.col("high") + eps)))
+    asking = rows.filter(most >= least).withColumn("ring", F.explode(rings)).withColumn("band", F.explode(F.sequence(band(least), band(most))))
+    index = rows.filter(_index(t)).withColumns({"ring": F.when(F.col("low") == F.col("high"), ring(F.col("low"))).otherwise(-1), "band": band(F.col("n"))})
+    return asking, index
+
+
+def _index(t: Fraction):
+    """Whether a set as large or larger may link with this row by the region's shingle as the first that they share."""
+    return F.expr(f"(n - pos) * {t.numerator + t.denominator} >= {2 * t.numerator} * n")
+
+
+def _meet(asking: DataFrame, index: DataFrame, on: list[str], t: Fraction, eps: float) -> DataFrame:
+    """Pairs ``(x, y)``, larger set first, of different components which sizes, positions and the triangle inequality leave."""
+    a, b = (rows.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "pos", "n", "component", "low", "high")]) for s, rows in (("a", asking), ("b", index)))
+    pairs = a.join(b, on).filter("component_a <> component_b and (n_a > n_b or n_a = n_b and cls_a > cls_b)")
+    pairs = pairs.filter(f"low_a - high_b <= {eps} and low_b - high_a <= {eps}").filter(_feasible(t, "n_a", "pos_a", "n_b", "pos_b"))
+    return pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y"))
+
+
 def _join(found: DataFrame, corpus: _Corpus, region: int, reached: DataFrame | None, stored: DataFrame | None = None, held: int | None = None) -> DataFrame:
     """Components ``(node, component)`` of everything which the pairs within the regions connect, and of ``reached``.
 
-    Within a recursion ``stored`` has the sets of its ``held`` classes; it goes on while large regions keep at most half of them.
+    Within a recursion ``stored`` has the sets of its classes and ``held`` the number of pairs in the cells that it came from.
     """
     sets_of = corpus.sets if stored is None else lambda wanted: stored
     t, scratch = corpus.t, corpus.scratch
-    eps, most = float(1 - t) + 1e-9, region * region // 2
+    eps = float(1 - t) + 1e-9
     star = found.filter("cls <> pivot").filter(_feasible(t, "n", "pos", "pivot_n", "pivot_pos")).select(F.col("cls").alias("x"), F.col("pivot").alias("y")).distinct()
-    bounded = corpus.bounded(star)
-    may = bounded.filter("may").select("x", "y")
-    may = may if reached is None else scratch.write(_apart(may, reached))
-    near = None
-    if not may.isEmpty():
-        sets = sets_of(may.select(F.explode(F.array("x", "y")).alias("cls")))
-        near = corpus.exact(may.groupBy("x").agg(F.min("y").alias("y")), sets)
-        up = near.filter("linked").select(F.col("x").alias("node"), F.col("y").alias("component"))
-        left = scratch.write(_apart(may.join(near, ["x", "y"], "left_anti"), up))
-        if not left.isEmpty():
-            near = near.unionByName(corpus.exact(left, sets))
+    star = scratch.write(star if reached is None else _apart(star, reached))
+    near = star.select("x", "y", F.lit(None).cast("double").alias("d"))
+    if not star.isEmpty():
+        near = corpus.exact(star, sets_of(star.select(F.explode(F.array("x", "y")).alias("cls"))))
         reached = joined_components(reached, _edges(near), scratch)
     if reached is None:
-        reached = scratch.write(bounded.limit(0).select(F.col("x").alias("node"), F.col("y").alias("component")))
-    named = scratch.write(found.join(reached.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
-    inside = named.groupBy("region", "component").agg(F.count("*").alias("n"))
-    sizes = inside.groupBy("region").agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts"))
-    mixed = sizes.filter("parts > 1").select("region", ((F.col("members") * F.col("members") - F.col("same")) / 2).alias("pairs"))
-    known = bounded.select(F.col("x").alias("cls"), F.col("y").alias("pivot"), "low")
-    if near is not None:
-        high = near.select(F.col("x").alias("cls"), F.col("y").alias("pivot"), F.col("d").alias("high"))
-        known = known.join(high, ["cls", "pivot"], "left").withColumn("low", F.coalesce("high", "low"))
-    else:
-        known = known.withColumn("high", F.lit(None).cast("double"))
-    open_rows = scratch.write(named.join(mixed, "region").join(known, ["cls", "pivot"], "left").drop("size"))
-    wide = scratch.write(open_rows.filter(F.col("pairs") > most).select("cls").distinct())
-    if n := wide.count():
-        if held is None or 2 * n <= held:
+        reached = star.select(F.col("x").alias("node"), F.col("y").alias("component"))
+    more = found.filter("size > 2 and cls <> pivot").select("region", "cls", "pos", "n", "pivot", "size")
+    named = scratch.write(more.join(reached.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    mixed = named.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("region")
+    known = near.select(F.col("x").alias("cls"), F.col("y").alias("pivot"), "d")
+    rows = named.join(mixed, "region", "left_semi").join(known, ["cls", "pivot"], "left")
+    rows = scratch.write(rows.withColumns({"low": F.coalesce("d", F.lit(0.0)), "high": F.coalesce("d", F.lit(1.0))}).drop("d"))
+    small, large = rows.filter(F.col("size") <= region), rows.filter(F.col("size") > region)
+    pairs = _meet(small, small.filter(_index(t)), ["region"], t, eps)
+    asking, index = _cells(large, t, eps)
+    cell = ["region", "ring", "band"]
+    if (members := large.count()) > 0:
+        counts = asking.select(*cell, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(index.select(*cell, F.lit(0).alias("a"), F.lit(1).alias("b")))
+        counts = counts.groupBy(cell).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        inside = counts.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0
+        if inside > region * members and (held is None or 2 * inside <= held):
+            wide = scratch.write(large.select("cls").distinct())
             inner = corpus.sets(wide) if stored is None else scratch.write(stored.join(wide, "cls"), narrow=False)
-            again = scratch.write(_recount(inner, t, scratch))
-            reached = _join(again, corpus, region, reached, inner, n)
-            open_rows = open_rows.filter(F.col("pairs") <= most)
-    a, b = (open_rows.select("region", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "pos", "n", "pivot", "component", "low", "high")]) for s in "ab")
-    pairs = a.join(b, "region").filter("component_a <> component_b and cls_a < cls_b and cls_a <> pivot_a and cls_b <> pivot_b")
-    pairs = pairs.filter(f"not (coalesce(low_a - high_b > {eps}, false) or coalesce(low_b - high_a > {eps}, false))").filter(_feasible(t, "n_a", "pos_a", "n_b", "pos_b"))
-    rest = corpus.bounded(pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")).distinct()).filter("may").select("x", "y")
+            reached = _join(_recount(inner, t, scratch), corpus, region, reached, inner, int(inside))
+        else:
+            pairs = pairs.unionByName(_meet(asking, index, cell, t, eps))
+    rest = corpus.bounded(pairs.distinct()).filter("may").select("x", "y")
     if not rest.isEmpty():
         sets = sets_of(rest.select(F.explode(F.array("x", "y")).alias("cls")))
         reached = joined_components(reached, _edges(corpus.exact(rest, sets)), scratch)
@@ -386,6 +468,4 @@ def _recount(sets: DataFrame, t: Fraction, scratch: Scratch) -> DataFrame:
     length = F.expr(f"int(n - ceil(n * {t.numerator} / {t.denominator}) + 1)")
     prefix = listed.select("cls", "n", F.posexplode(F.slice("es", F.lit(1), length)).alias("pos", "e")).filter("e.df > 1")
     rows = scratch.write(prefix.select(F.col("e.s").alias("region"), "cls", F.col("pos").cast("long").alias("pos"), "n"))
-    first = rows.groupBy("region").agg(F.min(F.struct("cls", "n", "pos")).alias("p"), F.count("*").alias("size")).filter("size > 1")
-    first = scratch.write(first.select("region", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos"), "size"))
-    return rows.join(first, "region").select("region", "cls", "pos", "n", "pivot", "pivot_n", "pivot_pos", "size")
+    return _with_pivots(rows, scratch)
