@@ -72,6 +72,13 @@ def by_fiscal_year(reports: DataFrame) -> DataFrame:
     return reports.groupBy(year).agg(F.count("*").alias("reports"), F.min("period_start").alias("first_start"), F.max("period_end").alias("last_end")).orderBy(F.desc("fy"))
 
 
+def listed_by_fiscal_year(reports: DataFrame) -> DataFrame:
+    """Every report under its fiscal year: newest year first, within it by start; ``position`` counts within the year."""
+    place = Window.partitionBy("fy").orderBy("period_start", "period_end")
+    rows = reports.withColumn("fy", fiscal_year(F.col("period_start")))
+    return rows.select("fy", F.row_number().over(place).alias("position"), "report_id", "period_start", "period_end").orderBy(F.desc("fy"), "position")
+
+
 def history_meta(reports: DataFrame, target: int) -> DataFrame:
     """Company and place of the latest report, the first report's start, the latest end, count and trailing days."""
     order = F.struct(*LATEST)

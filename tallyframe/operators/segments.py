@@ -17,17 +17,17 @@ from ..functions.expressions import MOVEMENTS, PACES, TIERS, literal_frame
 from ..thresholds import Thresholds
 from .rollups import MONEY
 
-# What to do about each cell, by tier and pace.
+# The advice for each cell, by tier and movement.
 POLICIES = {
-    ("A", "fast_moving"): "Never run out; review weekly",
-    ("A", "slow_moving"): "Order less; negotiate returns",
-    ("A", "non_moving"): "Clear first; most money is stuck here",
-    ("B", "fast_moving"): "Keep a steady reorder point",
-    ("B", "slow_moving"): "Reduce the next order",
-    ("B", "non_moving"): "Return or discount",
-    ("C", "fast_moving"): "Order in bulk, seldom",
-    ("C", "slow_moving"): "Let it run down",
-    ("C", "non_moving"): "Delist",
+    ("A", "fast"): "Top priority — keep well stocked, review often.",
+    ("A", "slow"): "High value moving slowly — review before reordering; consider a smaller order quantity.",
+    ("A", "non_moving"): "High value tied up, not moving — review for return/markdown before it ages further.",
+    ("B", "fast"): "Standard reorder cadence, no special attention needed.",
+    ("B", "slow"): "Reduce reorder quantity; keep an eye on it.",
+    ("B", "non_moving"): "Worth a look — candidate for markdown or return.",
+    ("C", "fast"): "Low value, low risk — simplified reordering.",
+    ("C", "slow"): "Low-value long tail — reorder only on request, minimal review.",
+    ("C", "non_moving"): "Low-value dead stock — low priority, but a candidate to drop from the catalog.",
 }
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.expressions import literal_frame
+from ..sources.scratch import scratch_folder
 from .reports import dimension
 
 
@@ -71,8 +73,25 @@ def catalog_renames(old: DataFrame, new: DataFrame, after: int = 0) -> DataFrame
     product = F.when(said("p0") & said("p1") & (F.col("p0") != F.col("p1")), F.struct(F.lit(0).alias("kind"), F.col("p0").alias("old_name"), F.col("p1").alias("new_name")))
     long = F.when(said("l0") & said("l1") & (F.col("l0") != F.col("l1")) & ~F.col("l0").eqNullSafe(F.col("p0")), F.struct(F.lit(1).alias("kind"), F.col("l0").alias("old_name"), F.col("l1").alias("new_name")))
     found = both.select("code", F.explode(F.filter(F.array(product, long), lambda x: x.isNotNull())).alias("r")).select("code", "r.*")
-    number = F.row_number().over(Window.orderBy("code", "kind"))
-    return found.select((number + after).alias("seq"), "code", "old_name", "new_name")
+    return numbered(found, ["code", "kind"], after).select("seq", "code", "old_name", "new_name")
+
+
+def numbered(rows: DataFrame, order: list[str], after: int = 0) -> DataFrame:
+    """``rows`` with ``seq`` from ``after`` + 1 in the given order, without bringing all of them into one task.
+
+    Rows are cut into ranges and written once, so that the ranges stay what they are; the sizes of the ranges before a row's (a
+    number for each range) are added to its place in its own.
+    """
+    path = scratch_folder(rows.sparkSession)
+    rows.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()).write.parquet(path)
+    cut = rows.sparkSession.read.parquet(path)
+    before, total = [], after
+    for r in cut.groupBy("range_no").agg(F.count("*").alias("n")).orderBy("range_no").collect():
+        before.append((r["range_no"], total))
+        total += r["n"]
+    offsets = literal_frame(rows.sparkSession, {"range_no": "int", "before": "long"}, before or [(0, after)])
+    place = F.row_number().over(Window.partitionBy("range_no").orderBy(*order))
+    return cut.withColumn("place", place).join(offsets, "range_no").withColumn("seq", F.col("place") + F.col("before")).drop("range_no", "place", "before")
 
 
 def duplicate_codes(catalog: DataFrame) -> DataFrame:
@@ -80,51 +99,109 @@ def duplicate_codes(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("code").agg(F.count("*").alias("times")).filter("times > 1")
 
 
+def uploaded(current: DataFrame, upload: DataFrame) -> DataFrame:
+    """The catalog after an upload: the upload as a whole or, if any code occurs in it twice, what was there before."""
+    bad = duplicate_codes(upload).agg((F.count("*") > 0).alias("bad"))  # one row
+    names = current.columns
+    taken = upload.select(*names, F.lit(False).alias("keeps")).unionByName(current.select(*names, F.lit(True).alias("keeps")))
+    return taken.join(bad, F.col("keeps") == F.col("bad")).select(*names)
+
+
 def rollback(renames: DataFrame, watermark: int) -> DataFrame:
-    """Renames up to a watermark; the snapshot itself is read from its version."""
+    """Renames up to a watermark; the catalog itself comes from ``snapshot``."""
     return renames.filter(F.col("seq") <= watermark)
 
 
+def snapshot(versions: DataFrame, version: int) -> DataFrame:
+    """The catalog as of a version: ``versions`` keeps every import as rows of its own number."""
+    last = versions.filter(F.col("version") <= version).agg(F.max("version").alias("version"))  # one row
+    return versions.join(last, "version").drop("version")
+
+
+def catalog_meta(catalog: DataFrame) -> DataFrame:
+    """When the catalog came in and how many items it has; no row if it is empty."""
+    return catalog.agg(F.max("imported_at").alias("imported_at"), F.count("*").alias("item_count")).filter("item_count > 0")
+
+
+def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Imports of one store in order."""
+    pdf = pdf.sort_values("seq", kind="stable")
+    live, out = set(), []
+    for f in pdf.itertuples():
+        if pd.isna(f.period_start) or pd.isna(f.period_end):
+            out.append("no_period")
+        elif not f.n_rows:
+            out.append("no_rows")
+        elif (f.period_start, f.period_end) in live and not f.replace:
+            out.append("period_exists")
+        else:
+            out.append("accepted")
+            live = {p for p in live if p[0] > f.period_end or p[1] < f.period_start} | {(f.period_start, f.period_end)}
+    return pd.DataFrame({"store": pdf["store"], "seq": pdf["seq"], "outcome": out})
+
+
+def judge_imports(imports: DataFrame) -> DataFrame:
+    """``(store, seq, outcome)``: whether each import is accepted, or has no period, no rows, or a period that is live already and isn't to be replaced.
+
+    ``imports`` has ``store, seq, period_start, period_end, n_rows, replace``, one row for each file. What is live depends on
+    the imports before, so each store's rows (metadata only) are folded in order by one task.
+    """
+    return imports.groupBy("store").applyInPandas(_judge, "store string, seq long, outcome string")
+
+
 def incremental(known: DataFrame, history: DataFrame) -> DataFrame:
     """Known rows and those of the reports that are not known yet."""
-    fresh = history.join(F.broadcast(dimension(known).select("report_id")), "report_id", "left_anti")
+    fresh = history.join(dimension(known).select("report_id"), "report_id", "left_anti")
     return known.unionByName(fresh)
 
 
 def candidate_files(files: DataFrame) -> DataFrame:
     """Spreadsheets by relative path, without temporary and hidden ones."""
-    last = F.element_at(F.split("path", "/"), -1)
-    hidden = F.exists(F.split("path", "/"), lambda p: p.startswith("."))
-    return files.filter(F.lower("path").rlike(r"\.xlsx?$") & ~last.startswith("~$") & ~hidden).orderBy("path")
+    hidden = F.exists(F.split("path", "/"), lambda p: p.startswith(".") | p.startswith("~$"))
+    return files.filter(F.lower("path").rlike(r"\.xlsx?$") & ~hidden).orderBy("path")
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Files of one store in path order, each seeing what the ones before it did."""
+    """Files of one store in path order, each seeing what the ones before it did.
+
+    The ledger has each file's size and time and the report it stands for; reports are known by number, as one of the same period
+    may be another one.
+    """
     pdf = pdf.sort_values(["batch", "path"], kind="stable")
     ledger: dict[str, tuple] = {}
-    live: dict[tuple, str] = {}
-    out = []
+    live: dict[int, tuple] = {}
+    out, number = [], 0
     for f in pdf.itertuples():
-        key = (f.size, f.mtime)
-        period = None if pd.isna(f.period_start) or pd.isna(f.period_end) else (f.period_start, f.period_end)
-        seen = ledger.get(f.path)
+        key, seen = (f.size, f.mtime), ledger.get(f.path)
         if seen and seen[0] == key:
             out.append("unchanged")
             continue
-        held = seen[1] if seen and seen[1] in live and live[seen[1]] == f.path else None
-        if f.failed or period is None or f.n_rows == 0:
-            status = "error"
-        elif held and held != period and (held[0] > period[1] or held[1] < period[0]):
-            status = "filename_reused"
-        elif period in live and held != period:
-            status = "duplicate_period"
+        held = seen[1] if seen else None
+        if f.failed or pd.isna(f.period_start) or pd.isna(f.period_end) or f.n_rows == 0:
+            out.append("error")
+            ledger[f.path] = (key, None)
+            continue
+        period = (f.period_start, f.period_end)
+        meets = [n for n, p in live.items() if p[0] <= period[1] and p[1] >= period[0]]
+        same = next((n for n in meets if live[n] == period), None)
+        if held in live and held not in meets:
+            out.append("filename_reused")
+            ledger[f.path] = (key, held)
+        elif same is not None and same != held:
+            out.append("duplicate_period")
+            ledger[f.path] = (key, same)
         else:
-            status = "imported"
-            for other in [p for p in live if p[0] <= period[1] and p[1] >= period[0]]:
-                del live[other]
-            live[period] = f.path
-        ledger[f.path] = (key, period if status == "imported" else held)
-        out.append(status)
+            number += 1
+            for n in meets:
+                del live[n]
+                for path in [p for p, (_, at) in ledger.items() if at == n]:
+                    if n == same:
+                        ledger[path] = (ledger[path][0], None)
+                    else:
+                        del ledger[path]
+            live[number] = period
+            ledger[f.path] = (key, number)
+            out.append("imported")
     return pd.DataFrame({"store": pdf["store"], "batch": pdf["batch"], "path": pdf["path"], "status": out})
 
 

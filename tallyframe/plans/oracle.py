@@ -29,7 +29,7 @@ h AS (
     opening::DOUBLE AS opening_stock, (CASE WHEN pk % 6 < 4 THEN received ELSE 0 END)::DOUBLE AS purchase,
     (CASE WHEN pk % 6 = 4 THEN received ELSE 0 END)::DOUBLE AS purchase_free, (CASE WHEN pk % 6 = 5 THEN received ELSE 0 END)::DOUBLE AS other_receipt,
     (CASE WHEN pk % 103 = 1 AND month(period_start) = 7 THEN -1 ELSE sales END)::DOUBLE AS sales, sales_free::DOUBLE AS sales_free, other_issue::DOUBLE AS other_issue,
-    (CASE WHEN pk % 97 = 2 AND month(period_start) IN (6, 11) THEN -closing ELSE closing END)::DOUBLE AS closing_stock,
+    (CASE WHEN pk % 97 = 2 AND month(period_start) IN (6, 11) THEN 0 - closing ELSE closing END)::DOUBLE AS closing_stock,
     CASE WHEN pk % 101 = 3 THEN -worth ELSE worth END AS value
   FROM g3),
 dim AS (SELECT DISTINCT report_id, period_start, period_end, period_days, company, location FROM h),
@@ -71,7 +71,7 @@ tiers AS (
 seg AS (
   SELECT *, tier || '-' || movement AS segment FROM (
     SELECT en.sku, brand, closing_stock, en.value, status, days_of_cover, tier,
-      CASE status WHEN 'dead_stock' THEN 'non_moving' WHEN 'overstock' THEN 'slow_moving' WHEN 'low_stock' THEN 'fast_moving' WHEN 'healthy' THEN 'fast_moving' END AS movement
+      CASE status WHEN 'dead_stock' THEN 'non_moving' WHEN 'overstock' THEN 'slow' WHEN 'low_stock' THEN 'fast' WHEN 'healthy' THEN 'fast' END AS movement
     FROM en JOIN tiers USING (sku)) WHERE movement IS NOT NULL)"""
 
 _CATALOG = """,
@@ -123,21 +123,43 @@ _LIST = "sku, brand, closing_stock, value, trailing_purchase, trailing_sales, da
 _ROWS = "'report-' || report_id || '.xls' AS file"
 
 
+_HEALTH = f"""
+SELECT 'last_refresh' AS section, 1 AS rows
+UNION ALL SELECT 'missing_months', count(*) FROM (SELECT unnest(generate_series(date_trunc('month', min(period_start)), date_trunc('month', max(period_end)), INTERVAL 1 MONTH)) AS month FROM live) m
+  WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.period_start <= last_day(m.month) AND l.period_end >= m.month)
+UNION ALL SELECT 'coverage_gaps', count(*) FROM ({_GAPS.format(rows="live")})
+UNION ALL SELECT 'problem_files', least(count(*), 20) FROM ledger1 WHERE status <> 'imported'
+UNION ALL SELECT 'item_catalog', 1
+UNION ALL SELECT 'unmatched_skus', least(count(*), 100) FROM now_ WHERE trim(sku) NOT IN (SELECT name FROM names)
+UNION ALL SELECT 'new_skus', least(count(*), 50) FROM new0 WHERE sku NOT IN (SELECT new_name FROM pairs)
+UNION ALL SELECT 'vanished_skus', least(count(*), 50) FROM gone0 WHERE sku NOT IN (SELECT old_name FROM pairs)
+UNION ALL SELECT 'likely_renames', count(*) FROM pairs
+UNION ALL SELECT 'quality_issues', least(count(*), 100) FROM issues
+UNION ALL SELECT 'quality_totals', count(DISTINCT CASE WHEN issue LIKE 'stock does not balance%' THEN 'stock does not balance' ELSE issue END) FROM issues"""
+
+
 def _sql(body: str, *more: str) -> str:
     return "WITH " + _BASE.strip() + "".join(more) + "\n" + body.strip()
 
 
 _E, _C, _L = _ENRICHED, _CATALOG, _LOG
 _FIXED_STATUS = "(VALUES (0, 'out_of_stock'), (1, 'low_stock'), (2, 'dead_stock'), (3, 'overstock'), (4, 'healthy'), (5, 'returned')) AS f(position, status)"
-_POLICY = """(VALUES (0, 'A-fast_moving', 'Never run out; review weekly'), (1, 'A-slow_moving', 'Order less; negotiate returns'), (2, 'A-non_moving', 'Clear first; most money is stuck here'),
-  (3, 'B-fast_moving', 'Keep a steady reorder point'), (4, 'B-slow_moving', 'Reduce the next order'), (5, 'B-non_moving', 'Return or discount'),
-  (6, 'C-fast_moving', 'Order in bulk, seldom'), (7, 'C-slow_moving', 'Let it run down'), (8, 'C-non_moving', 'Delist')) AS f(position, segment, policy)"""
+_POLICY = """(VALUES (0, 'A-fast', 'Top priority — keep well stocked, review often.'),
+  (1, 'A-slow', 'High value moving slowly — review before reordering; consider a smaller order quantity.'),
+  (2, 'A-non_moving', 'High value tied up, not moving — review for return/markdown before it ages further.'),
+  (3, 'B-fast', 'Standard reorder cadence, no special attention needed.'),
+  (4, 'B-slow', 'Reduce reorder quantity; keep an eye on it.'),
+  (5, 'B-non_moving', 'Worth a look — candidate for markdown or return.'),
+  (6, 'C-fast', 'Low value, low risk — simplified reordering.'),
+  (7, 'C-slow', 'Low-value long tail — reorder only on request, minimal review.'),
+  (8, 'C-non_moving', 'Low-value dead stock — low priority, but a candidate to drop from the catalog.')) AS f(position, segment, policy)"""
 
 ORACLES: dict[str, str] = {
     "report_dimension": _sql("SELECT * FROM dim"),
     "trailing_window": _sql("SELECT report_id, days_before, days_before < 90 AS taken FROM win"),
     "period_labels": _sql(f"SELECT report_id, period_start, period_end, {_LABEL} AS label FROM dim"),
     "fy_rollup": _sql("SELECT strftime(period_start - INTERVAL 3 MONTH, '%y') || strftime(period_start + INTERVAL 9 MONTH, '%y') AS fy, count(*) AS reports, min(period_start) AS first_start, max(period_end) AS last_end FROM dim GROUP BY 1"),
+    "reports_by_fiscal_year": _sql("SELECT fy, row_number() OVER (PARTITION BY fy ORDER BY period_start, period_end)::INTEGER AS position, report_id, period_start, period_end FROM (SELECT *, strftime(period_start - INTERVAL 3 MONTH, '%y') || strftime(period_start + INTERVAL 9 MONTH, '%y') AS fy FROM dim)"),
     "history_meta": _sql("SELECT arg_max(company, (period_end, period_start)) AS company, arg_max(location, (period_end, period_start)) AS location, arg_min(period_start, (period_end, period_start)) AS earliest_period_start, max(period_end) AS latest_period_end, count(*) AS report_count, sum(CASE WHEN days_before < 90 THEN period_days END)::BIGINT AS trailing_days FROM win"),
     "coverage_gaps": _sql(_GAPS.format(rows="live"), _L),
     "trailing_gaps": _sql(_GAPS.format(rows="(SELECT * FROM win WHERE days_before < 90)")),
@@ -165,6 +187,7 @@ ORACLES: dict[str, str] = {
     "sku_churn_vanished": _sql("SELECT *, count(*) OVER () AS total FROM gone0 WHERE sku NOT IN (SELECT old_name FROM pairs) ORDER BY value DESC, sku LIMIT 50", _C),
     "rename_pairs": _sql("SELECT * FROM pairs", _C),
     "unmatched_skus": _sql("SELECT brand, sku, closing_stock, value FROM now_ WHERE trim(sku) NOT IN (SELECT name FROM names)", _C),
+    "unmatched_first": _sql("SELECT brand, sku, closing_stock, value, count(*) OVER () AS total FROM now_ WHERE trim(sku) NOT IN (SELECT name FROM names) ORDER BY value DESC, sku LIMIT 100", _C),
     "sku_search": _sql("SELECT sku, brand, closing_stock, value, status FROM en WHERE contains(lower(coalesce(brand, '')), 'ring 1') OR contains(lower(sku), 'ring 1') ORDER BY value DESC, sku LIMIT 50", _E),
     "sku_history": _sql("SELECT report_id, period_start, period_end, brand, sku, opening_stock, purchase, sales, closing_stock, value FROM h WHERE sku = 'small ring 0'"),
     "brand_history": _sql("SELECT report_id, period_start, period_end, sum(value)::DECIMAL(38,2) AS total_value, sum(sales) AS total_sales FROM h WHERE brand = 'Brand#2' GROUP BY 1, 2, 3"),
@@ -172,15 +195,19 @@ ORACLES: dict[str, str] = {
     "brand_detail": _sql("SELECT sku, brand, closing_stock, value, status FROM en WHERE brand = 'Brand#2'", _E),
     "brand_totals": _sql("SELECT count(*) AS sku_count, sum(value)::DECIMAL(38,2) AS total_value, sum(closing_stock) AS total_closing FROM en WHERE brand = 'Brand#2'", _E),
     "table_page": _sql("SELECT sku, brand, value, days_of_cover, status FROM en WHERE contains(lower(sku), 'widget') OR contains(lower(coalesce(brand, '')), 'widget') ORDER BY days_of_cover ASC NULLS LAST, sku LIMIT 300", _E),
-    "grid_to_tidy": _sql(f"SELECT {_ROWS}, sku, brand, {_NUM} FROM h WHERE report_id IN (10, 40, 71)"),
-    "grid_banner": _sql(f"SELECT {_ROWS}, company, location, period_start, period_end, period_days FROM dim WHERE report_id IN (10, 40, 71)"),
-    "header_check": _sql(f"SELECT {_ROWS}, 3 AS header_row, true AS ok FROM dim WHERE report_id IN (10, 40, 71) UNION ALL SELECT 'bad.xls', 3, false"),
-    "dedupe_entries": _sql(f"SELECT {_ROWS}, sku, brand, " + ", ".join(f"{c} * (CASE WHEN h.opening_stock > 20 THEN 2 ELSE 1 END) AS {c}" for c in ("opening_stock", "purchase", "purchase_free", "other_receipt", "sales", "sales_free", "other_issue", "closing_stock")) + ", value::DOUBLE * (CASE WHEN h.opening_stock > 20 THEN 2 ELSE 1 END) AS value FROM h WHERE report_id IN (10, 40, 71)"),
+    "grid_to_tidy": _sql(f"SELECT {_ROWS}, sku, brand, {_NUM} FROM h"),
+    "grid_banner": _sql(f"SELECT {_ROWS}, company, location, period_start, period_end, period_days FROM dim"),
+    "header_check": _sql(f"SELECT {_ROWS}, 3 AS header_row, true AS ok FROM dim UNION ALL SELECT 'bad.xls', 3, false"),
+    "dedupe_entries": _sql(f"SELECT {_ROWS}, sku, brand, " + ", ".join(f"{c} * (CASE WHEN h.opening_stock > 20 THEN 2 ELSE 1 END) AS {c}" for c in ("opening_stock", "purchase", "purchase_free", "other_receipt", "sales", "sales_free", "other_issue", "closing_stock")) + ", value::DOUBLE * (CASE WHEN h.opening_stock > 20 THEN 2 ELSE 1 END) AS value FROM h"),
     "item_list_to_tidy": _sql("SELECT 'items.xls' AS file, code, brand, product_name, '10''S' AS packing, '3004' AS hsn, long_name, mrp, NULL::DOUBLE AS by_rate, 12.0::DOUBLE AS tax_pct FROM cat WHERE v = 2", _C),
     "item_list_banner": _sql("SELECT 'items.xls' AS file, DATE '2026-08-09' AS as_of"),
     "catalog_renames": _sql("SELECT * FROM ren", _C),
     "catalog_rollback": _sql("SELECT * FROM ren WHERE seq <= 5", _C),
-    "duplicate_codes": _sql("SELECT code, count(*) AS times FROM cat WHERE v = 1 OR mrp > 1000 GROUP BY 1 HAVING count(*) > 1", _C),
+    "duplicate_codes": _sql("SELECT code, count(*) AS times FROM cat WHERE v = 2 OR substr(code, 2)::BIGINT % 13 = 3 GROUP BY 1 HAVING count(*) > 1", _C),
+    "catalog_upload": _sql("SELECT CASE v WHEN 2 THEN 'clean' ELSE 'repeated' END AS upload, code, product_name FROM cat", _C),
+    "catalog_snapshot": _sql("SELECT code, brand, product_name, long_name, mrp FROM cat WHERE v = 1", _C),
+    "catalog_meta": _sql("SELECT DATE '2026-08-02' AS imported_at, count(*) AS item_count FROM cat WHERE v = 2", _C),
+    "import_health": _sql(_HEALTH, _L, _C, _ISSUES),
     "alias_map": _sql("SELECT * FROM alias", _C),
     "catalog_names": _sql("SELECT * FROM names", _C),
     "live_reports": _sql("SELECT * FROM live", _L),
@@ -194,6 +221,6 @@ ORACLES: dict[str, str] = {
     "candidate_files": _sql("SELECT '2526/' || upper(filename) AS path FROM log WHERE event = 'import' AND seq % 4 = 3", _L),
     "incremental_equals_full": _sql("SELECT report_id, count(*) AS row_count, sum(value)::DECIMAL(38,2) AS total_value FROM h GROUP BY 1"),
     "json_edge": _sql("SELECT sku, brand, round(closing_stock)::BIGINT AS closing_stock, round(value::DOUBLE, 2) AS value, round(trailing_sales)::BIGINT AS trailing_sales, round(days_of_cover, 1) AS days_of_cover, status FROM en", _E),
-    "stream_ingest": _sql(f"SELECT {_ROWS}, sku, brand, {_NUM}, company, location, period_start, period_end, period_days FROM h WHERE report_id IN (10, 40, 71)"),
+    "stream_ingest": _sql(f"SELECT {_ROWS}, sku, brand, {_NUM}, company, location, period_start, period_end, period_days FROM h"),
     "stream_last_activity": _sql("SELECT sku, max(CASE WHEN purchase > 0 THEN period_end END) AS last_purchase, max(CASE WHEN sales > 0 OR sales_free > 0 THEN period_end END) AS last_sale FROM h GROUP BY 1"),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import finite
-from ..operators import diagnostics, enriched, ingest, lookup, reports, rollups, segments, store
+from ..operators import diagnostics, enriched, health, ingest, lookup, reports, rollups, segments, store
 from ..sources import derived, files
 from ..sources.scratch import scratch_folder
 from ..streaming import jobs
@@ -43,6 +43,12 @@ class Data:
     def renames(self) -> DataFrame:
         return store.catalog_renames(derived.catalog(self.spark, self.sf_dir, 1), derived.catalog(self.spark, self.sf_dir, 2))
 
+    @property
+    def versions(self) -> DataFrame:
+        """Both catalogs as versions of one, imported a day apart."""
+        one = lambda n: derived.catalog(self.spark, self.sf_dir, n).withColumns({"version": F.lit(n), "imported_at": F.lit(f"2026-08-0{n}").cast("date")})
+        return one(1).unionByName(one(2))
+
     @property
     def names(self) -> DataFrame:
         return diagnostics.catalog_names(derived.catalog(self.spark, self.sf_dir, 2))
@@ -127,6 +133,34 @@ def _repeated(d: Data) -> DataFrame:
     return rows.unionByName(again)
 
 
+def _upload_repeated(d: Data) -> DataFrame:
+    """The second catalog with some of the first one's items again."""
+    again = derived.catalog(d.spark, d.sf_dir, 1).filter(F.substring("code", 2, 20).cast("long") % 13 == 3)
+    return derived.catalog(d.spark, d.sf_dir, 2).unionByName(again)
+
+
+def _uploads(d: Data) -> DataFrame:
+    """What the catalog is after a clean upload and after one with repeated codes."""
+    old, new = (derived.catalog(d.spark, d.sf_dir, v) for v in (1, 2))
+    after = lambda name, upload: store.uploaded(old, upload).select(F.lit(name).alias("upload"), "code", "product_name")
+    return after("clean", new).unionByName(after("repeated", _upload_repeated(d)))
+
+
+def _imports(d: Data) -> DataFrame:
+    """Every report of the log for each of some stores, then again with and without leave to replace it, with faulty files between."""
+    log = d.log.filter("event = 'import'").select((F.col("seq") * 3).cast("long").alias("seq"), "period_start", "period_end")
+    shops = d.history.select((F.length("sku") % 5).cast("string").alias("store")).distinct()
+    first = log.withColumns({"n_rows": F.when(F.col("seq") % 11 == 0, 0).otherwise(7).cast("long"), "replace": F.lit(False)})
+    again = log.withColumns({"seq": F.col("seq") + 10_000, "n_rows": F.lit(7).cast("long"), "replace": F.col("seq") % 2 == 0})
+    again = again.withColumn("period_end", F.when(F.col("seq") % 5 != 0, F.col("period_end")))
+    return shops.join(first.unionByName(again))
+
+
+def _health(d: Data) -> DataFrame:
+    parts = health.import_health(d.history, d.live, d.ledger, d.versions.filter("version = 2").drop("version"), d.renames, LIMITS.trailing_days)
+    return health.overview(parts)
+
+
 def _lists(name: str) -> Callable[[Data], DataFrame]:
     return lambda d: _edge(rollups.action_list(d.enriched, name))
 
@@ -142,6 +176,7 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "trailing_window": lambda d: reports.trailing_window(d.reports, LIMITS.trailing_days).select("report_id", "days_before", "taken"),
     "period_labels": lambda d: reports.labels(d.reports),
     "fy_rollup": lambda d: reports.by_fiscal_year(d.reports),
+    "reports_by_fiscal_year": lambda d: reports.listed_by_fiscal_year(d.reports),
     "history_meta": lambda d: reports.history_meta(d.reports, LIMITS.trailing_days),
     "coverage_gaps": lambda d: reports.coverage_gaps(d.live),
     "missing_months": lambda d: reports.missing_months(d.live),
@@ -172,6 +207,7 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "sku_churn_vanished": lambda d: diagnostics.listed(diagnostics.churn(d.history, d.scope, d.pairs)[1]),
     "rename_pairs": lambda d: d.pairs,
     "unmatched_skus": lambda d: diagnostics.unmatched(enriched.current_snapshot(d.history, d.scope), d.names),
+    "unmatched_first": lambda d: diagnostics.listed(diagnostics.unmatched(enriched.current_snapshot(d.history, d.scope), d.names), 100),
     "sku_search": lambda d: lookup.sku_search(d.enriched, SEARCH),
     "sku_history": lambda d: lookup.sku_history(d.history, SKU),
     "brand_history": lambda d: lookup.brand_history(d.history, BRAND),
@@ -187,7 +223,12 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "item_list_banner": lambda d: ingest.item_banner(derived.item_grid(d.spark, d.sf_dir)),
     "catalog_renames": lambda d: d.renames,
     "catalog_rollback": lambda d: store.rollback(d.renames, 5),
-    "duplicate_codes": lambda d: store.duplicate_codes(derived.catalog(d.spark, d.sf_dir, 1).unionByName(derived.catalog(d.spark, d.sf_dir, 2).filter("mrp > 1000"))),
+    "duplicate_codes": lambda d: store.duplicate_codes(_upload_repeated(d)),
+    "catalog_upload": _uploads,
+    "catalog_snapshot": lambda d: store.snapshot(d.versions, 1).drop("imported_at"),
+    "catalog_meta": lambda d: store.catalog_meta(d.versions.filter("version = 2")),
+    "import_guards": lambda d: store.judge_imports(_imports(d)),
+    "import_health": _health,
     "alias_map": lambda d: diagnostics.alias_map(d.renames),
     "catalog_names": lambda d: d.names,
     "live_reports": lambda d: d.live,

@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.expressions import NUMERICS
+from .files import write_history
+from .scratch import scratch_folder
 
 COMPANY, LOCATION = "Acme Traders", "Central Store"
 #: Months without a report.
 DROPPED = ("1998-03-01", "2001-09-01")
-#: Reports whose grids are derived.
-GRID_REPORTS = (10, 40, 71)
 
 
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,20 +76,26 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((pk % 103 == 1) & (month == 7), -1.0).otherwise(F.col("sales")).alias("sales"),
         "sales_free",
         "other_issue",
-        F.when((pk % 97 == 2) & month.isin(6, 11), -F.col("closing")).otherwise(F.col("closing")).cast("double").alias("closing_stock"),
+        F.when((pk % 97 == 2) & month.isin(6, 11), 0 - F.col("closing")).otherwise(F.col("closing")).cast("double").alias("closing_stock"),
         F.when(pk % 101 == 3, -value).otherwise(value).cast("decimal(18,2)").alias("value"),
     )
 
 
-_KEPT: dict[tuple[str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str], tuple[str, StructType]] = {}
 
 
 def kept_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived history without ``pk``, kept by Spark between the queries of one session."""
+    """The derived history without ``pk``: Parquet by period end in the shared folder, written once for a session's queries.
+
+    Queries read what they need of it: a report or a lookback prunes periods, and only their columns are read.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _KEPT:
-        _KEPT[key] = history(spark, sf_dir).drop("pk").repartition("sku").persist()
-    return _KEPT[key]
+        made, path = history(spark, sf_dir).drop("pk"), scratch_folder(spark)
+        write_history(made, path)
+        _KEPT[key] = path, made.schema
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def catalog(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
@@ -100,29 +107,25 @@ def catalog(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
     return parts.select(F.concat(F.lit("C"), pk.cast("string")).alias("code"), F.col("p_brand").alias("brand"), name.alias("product_name"), F.when(pk % 5 != 0, F.concat(F.upper(name), F.lit(" LONG"))).alias("long_name"), F.col("p_retailprice").alias("mrp"))
 
 
-def statement_grid(spark: SparkSession, sf_dir: str, reports: tuple[int, ...] = GRID_REPORTS) -> DataFrame:
-    """Sheets of a few reports as ``(file, row_no, c0..c14)``: banner, header, brand rows, items and sub totals."""
-    rows = kept_history(spark, sf_dir).filter(F.col("report_id").isin(*reports))
-    file = F.concat(F.lit("report-"), F.col("report_id").cast("string"), F.lit(".xls"))
+def statement_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet ``(file, row_no, c0..c14)`` for every report: banner, header, brand rows, items and sub totals."""
+    rows = kept_history(spark, sf_dir)
+    file = F.concat(F.lit("report-"), F.col("report_id").cast("string"), F.lit(".xls")).alias("file")
     cells = [f"c{i}" for i in range(15)]
-    blank = {c: F.lit(None).cast("string") for c in cells}
-    place = dict(zip(NUMERICS, (5, 6, 7, 8, 9, 10, 11, 13, 14)))
-    number = {f"c{i}": F.col(n).cast("string") for n, i in place.items()}
-    brand = F.coalesce("brand", F.lit(""))
-    items = rows.select(file.alias("file"), brand.alias("g"), F.lit(1).alias("kind"), F.col("sku").alias("k"), *[({**blank, "c0": F.col("sku"), **number})[c].alias(c) for c in cells])
-    groups = rows.select(file.alias("file"), brand.alias("g")).distinct()
-    head = groups.filter("g <> ''").select("file", "g", F.lit(0).alias("kind"), F.lit("").alias("k"), *[({**blank, "c0": F.col("g")})[c].alias(c) for c in cells])
-    foot = groups.select("file", "g", F.lit(2).alias("kind"), F.lit("").alias("k"), *[({**blank, "c0": F.lit("Sub Total"), "c14": F.lit("1")})[c].alias(c) for c in cells])
+    line = lambda values: [values.get(c, F.lit(None)).cast("string").alias(c) for c in cells]
+    brand = F.coalesce("brand", F.lit("")).alias("g")
+    numbers = {f"c{i}": F.col(n) for n, i in zip(NUMERICS, (5, 6, 7, 8, 9, 10, 11, 13, 14))}
+    items = rows.select(file, brand, F.lit(1).alias("kind"), F.col("sku").alias("k"), *line({"c0": F.col("sku"), **numbers}))
+    groups = rows.select(file, brand).distinct().withColumn("kind", F.explode(F.when(F.col("g") == "", F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(2)))))
+    last = F.col("kind") == 2
+    groups = groups.select("file", "g", "kind", F.lit("").alias("k"), *line({"c0": F.when(last, "Sub Total").otherwise(F.col("g")), "c14": F.when(last, "1")}))
     names = {"c0": "Item", "c5": "Opening Stock", "c6": "Purchase", "c7": "Purchase Free", "c8": "Other Receipt", "c9": "Sales", "c10": "Sales Free", "c11": "Other Issue", "c13": "Closing Stock", "c14": "Value"}
-    top = rows.select(file.alias("file"), "company", "location", "period_start", "period_end").distinct()
     stated = F.concat(F.lit("Stock Statement from "), F.date_format("period_start", "dd/MMM/yyyy"), F.lit(" to "), F.date_format("period_end", "dd/MMM/yyyy"))
-    lines = [{"c0": F.col("company")}, {"c0": F.col("location")}, {"c0": stated}, {c: F.lit(v) for c, v in names.items()}]
-    body = items.unionByName(head).unionByName(foot)
-    numbered = body.withColumn("row_no", F.row_number().over(Window.partitionBy("file").orderBy("g", "kind", "k")) + len(lines) - 1)
-    out = numbered.select("file", "row_no", *cells)
-    for i, line in enumerate(lines):
-        out = out.unionByName(top.select("file", F.lit(i).alias("row_no"), *[({**blank, **line})[c].alias(c) for c in cells]))
-    return out
+    top = rows.select(file, "company", "location", "period_start", "period_end").distinct()
+    top = top.select("file", F.posexplode(F.array("company", "location", stated, F.lit(names["c0"]))).alias("row_no", "c0"))
+    heading = {c: F.when(F.col("row_no") == 3, v) for c, v in names.items() if c != "c0"}
+    body = items.unionByName(groups).withColumn("row_no", F.row_number().over(Window.partitionBy("file").orderBy("g", "kind", "k")) + 3)
+    return body.select("file", "row_no", *cells).unionByName(top.select("file", "row_no", *line({"c0": F.col("c0"), **heading})))
 
 
 def item_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,99 @@ def test_file_classification(spark):
     assert out == ["imported", "duplicate_period", "error", "unchanged", "filename_reused", "imported"]
 
 
+FILE = "store string, batch long, path string, size long, mtime long, failed boolean, n_rows long, period_start date, period_end date"
+
+
+class Folder:
+    """What a folder scan does to reports and their files, step by step and by search instead of by index."""
+
+    def __init__(self):
+        self.files, self.reports, self.made = [], [], 0
+
+    def scan(self, path, stamp, period):
+        known = next((f for f in self.files if f["path"] == path), None)
+        if known and known["stamp"] == stamp:
+            return "unchanged"
+
+        def note(report, status):
+            self.files[:] = [f for f in self.files if f["path"] != path] + [{"path": path, "stamp": stamp, "report": report}]
+            return status
+
+        if period is None:
+            return note(None, "error")
+        overlap = lambda r: r["period"][0] <= period[1] and period[0] <= r["period"][1]
+        own = next((r for r in self.reports if known and r["id"] == known["report"]), None)
+        if own and own["period"] != period and not overlap(own):
+            return note(own["id"], "filename_reused")
+        twin = next((r for r in self.reports if r["period"] == period), None)
+        if twin and not (own and own["id"] == twin["id"]):
+            return note(twin["id"], "duplicate_period")
+        for r in [r for r in self.reports if overlap(r)]:
+            self.reports.remove(r)
+            if r["period"] == period:
+                self.files[:] = [{**f, "report": None} if f["report"] == r["id"] else f for f in self.files]
+            else:
+                self.files[:] = [f for f in self.files if f["report"] != r["id"]]
+        self.made += 1
+        self.reports.append({"id": self.made, "period": period})
+        return note(self.made, "imported")
+
+
+def test_file_classification_in_every_order_of_four_events(spark):
+    from itertools import product
+
+    day = date.fromisoformat
+    may, june, part = (day("2026-05-01"), day("2026-05-31")), (day("2026-06-01"), day("2026-06-30")), (day("2026-06-10"), day("2026-07-05"))
+    events = [("a.xls", may), ("a.xls", june), ("a.xls", None), ("b.xls", may), ("b.xls", part), ("b.xls", None)]
+    rows, expected = [], {}
+    for n, order in enumerate(product(range(len(events)), repeat=4)):
+        folder = Folder()
+        for step, e in enumerate(order):
+            (path, period), stamp = events[e], step if step % 3 else 0
+            expected[f"s{n}", step] = folder.scan(path, (stamp, stamp), period)
+            rows.append((f"s{n}", step, path, stamp, stamp, period is None, 3, *(period or (None, None))))
+    out = store.classify_files(spark.createDataFrame(rows, FILE).repartition(8, "store")).collect()
+    assert {(r["store"], r["batch"]): r["status"] for r in out} == expected
+    assert set(expected.values()) == {"unchanged", "error", "filename_reused", "duplicate_period", "imported"}
+
+
+def test_import_guards(spark):
+    day = date.fromisoformat
+    june, part = (day("2026-06-01"), day("2026-06-30")), (day("2026-06-10"), day("2026-06-20"))
+    rows = [("s", 1, *june, 3, False), ("s", 2, *june, 3, False), ("s", 3, *june, 3, True), ("s", 4, *part, 0, False), ("s", 5, None, part[1], 3, False), ("s", 6, *part, 3, False), ("s", 7, *june, 3, False), ("t", 8, *june, 3, False)]
+    out = store.judge_imports(spark.createDataFrame(rows, "store string, seq long, period_start date, period_end date, n_rows long, replace boolean")).orderBy("seq").collect()
+    assert [r["outcome"] for r in out] == ["accepted", "period_exists", "accepted", "no_rows", "no_period", "accepted", "accepted", "accepted"]
+
+
+def test_uploads_with_repeated_codes_change_nothing(spark):
+    old, new = _catalog(spark, ("1", "a", None)), _catalog(spark, ("1", "b", None), ("2", "c", None))
+    assert sorted(r["product_name"] for r in store.uploaded(old, new).collect()) == ["b", "c"]
+    assert [r["product_name"] for r in store.uploaded(old, new.unionByName(_catalog(spark, ("2", "d", None)))).collect()] == ["a"]
+    assert not store.uploaded(old, new.limit(0)).collect()
+    versions = old.withColumn("version", F.lit(1)).unionByName(new.withColumn("version", F.lit(4)))
+    assert [store.snapshot(versions, v).count() for v in (0, 1, 3, 4, 9)] == [0, 1, 1, 2, 2]
+    assert not store.catalog_meta(old.withColumn("imported_at", F.lit("2026-01-01")).limit(0)).collect()
+
+
+def test_numbers_are_written_as_numbers(spark):
+    cells = ["1", " 2.5 ", "nan", "NaN", "2f", "2d", "1e3", "-.5", "x", "", None, "0x10", "+7.", "1,000"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c3 string")
+    out = [r["n"] for r in df.select("i", ingest._number("c3").alias("n")).orderBy("i").collect()]
+    assert out == [1, 2.5, None, None, None, None, 1000, -0.5, None, None, None, None, 7, None]
+
+
+def test_hidden_and_temporary_parts_are_no_candidates(spark):
+    paths = ["a.xls", "x/b.XLSX", "~$a.xls", "~$x/a.xls", ".x/a.xls", "x/.a.xls", "x/a.txt"]
+    out = store.candidate_files(spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert [r["path"] for r in out.collect()] == ["a.xls", "x/b.XLSX"]
+
+
+def test_numbering_across_ranges(spark):
+    rows = spark.range(500).select((F.col("id") * 7 % 500).alias("k"), F.lit("v").alias("v"))
+    out = {r["k"]: r["seq"] for r in store.numbered(rows, ["k"], 10).collect()}
+    assert out == {k: k + 11 for k in range(500)}
+
+
 def test_grid_from_text_and_lists_to_csv(spark, tmp_path):
     from tallyframe.sources import files
 
