@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id in internal keys; null ids sort first.
@@ -12,16 +12,30 @@ NO_ID = -(2**63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (a single machine) one under /tmp."""
+    """The folder of ``spark.checkpoint.dir``; only on a single machine, where that may be unset, one under /tmp."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return "/tmp/checkpoints"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts may be long: Arrow batches of 1,024 rows keep a worker's and its executor's buffers to a few MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    """Texts may be long: Arrow batches of 1,024 rows keep a worker's and its executor's buffers to a few MB; a setting of the user's own stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+
+
+def sample_bound(rows: int, total: int) -> int:
+    """Of ``total`` evenly spread signed 64-bit hashes about ``rows`` are below this number; it takes part of any total, however large."""
+    return min(-(2**63) + 2**64 * rows // max(total, 1), 2**63 - 1)
+
+
+def sampled(h: Column, rows: int, total: int) -> Column:
+    """Whether a row with the 64-bit hash ``h`` is among about ``rows`` of ``total``."""
+    return F.lit(True) if rows >= total else h < F.lit(sample_bound(rows, total)).cast("long")
 
 
 class Scratch:
@@ -31,6 +45,7 @@ class Scratch:
         small_batches(spark)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/tallyframe-{uuid.uuid4().hex}"
+        self.held: set[str] = set()
         self.made = 0
 
     def write(self, df: DataFrame, narrow: bool = True) -> DataFrame:
@@ -42,13 +57,16 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.scratch_path = path
+        self.held.add(path)
         return back
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables written so far but these, which are what the result is read from."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in self.held - {t.scratch_path for t in tables}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+            self.held.discard(name)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -35,16 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NO_ID, Scratch, joined_components
+from .sketch import SLOTS, level_of, levels, packed, slot
 from .words import Words, mix, pieces, shingles, utf8
 
-SKETCH = 1 << 22
-_PARTS = 64
 #: Bits of the filter that keeps unwanted texts out of a shuffle.
 _BITS = 1 << 23
 #: Classes that a task remembers, so that copies of a text send their prefix once.
 _SEEN = 500_000
-#: Parts of the sketch that one group adds up.
-_FAN = 256
 _U = np.uint64
 
 
@@ -71,58 +68,24 @@ def _describe(k: int):
     schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        counts = np.zeros(SKETCH, np.uint32)
+        counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             for piece in pieces(batch, batch.schema.names[1], 1 << 20):
                 ids, n, off, _, h = _sets(piece, k)
-                slot, times = np.unique((h >> _U(42)).astype(np.int64), return_counts=True)
-                counts[slot] += times.astype(np.uint32)
+                at, times = np.unique(slot(h), return_counts=True)
+                counts[at] += times.astype(np.uint32)
                 cls = [_class(h[a:b]) if b > a else None for a, b in zip(off[:-1], off[1:])]
                 sig = [_signature(h[a:b]) if b > a else None for a, b in zip(off[:-1], off[1:])]
                 none = pa.nulls(len(ids))
                 yield pa.record_batch([ids, piece.column(2), pa.array(cls, pa.int64()), pa.array(n), pa.array(sig, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if counts.any():
-            parts = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in counts.reshape(_PARTS, -1)]
-            none = pa.nulls(_PARTS).cast(pa.int64())
-            yield pa.record_batch([none, none, none, none, pa.nulls(_PARTS).cast(pa.binary()), pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+            part, block = packed(counts)
+            none = pa.nulls(len(part))
+            yield pa.record_batch([*[none.cast(pa.int64())] * 4, none.cast(pa.binary()), part, block], schema=schema)
 
     return run
 
 
-def _sum_counts(blocks) -> np.ndarray:
-    total = np.zeros(SKETCH // _PARTS, np.uint64)
-    for x in blocks:
-        total += np.frombuffer(pa.decompress(x, decompressed_size=4 * len(total), codec="zstd", asbytes=True), np.uint32)
-    return total
-
-
-def _partly(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sum of some tasks' counts of one part of the sketch."""
-    total = np.minimum(_sum_counts(pdf["counts"]), 2**32 - 1).astype(np.uint32)
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [pa.compress(total.tobytes(), "zstd", asbytes=True)]})
-
-
-def _level(counts):
-    return np.minimum(np.log2(counts + 1.0) * 4, 255).astype(np.uint8)
-
-
-def _add_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sum one part of the sketch and keep a coarse level: four steps for each doubling."""
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "level": [_level(_sum_counts(pdf["counts"])).tobytes()]})
-
-
-def _levels(parts: DataFrame) -> np.ndarray:
-    """Levels of all slots; the parts of many tasks are added as a tree, so that no group holds those of all tasks."""
-    tasks = parts.filter("part = 0").count()
-    while tasks > _FAN:
-        tasks = -(-tasks // _FAN)
-        parts = parts.groupBy("part", F.pmod(F.xxhash64("counts"), F.lit(tasks))).applyInPandas(_partly, "part int, counts binary")
-    out = np.zeros((_PARTS, SKETCH // _PARTS), np.uint8)
-    for r in parts.groupBy("part").applyInPandas(_add_counts, "part int, level binary").collect():  # fixed size: one byte for each slot
-        out[r["part"]] = np.frombuffer(r["level"], np.uint8)
-    return out.ravel()
-
-
 def _needed(n: np.ndarray, t: Fraction) -> np.ndarray:
     """The least overlap that a set of ``n`` needs with any other: ceil(t n)."""
     return -((-n * t.numerator) // t.denominator)
@@ -136,9 +99,9 @@ def _pack(levels_of, hot: int, t: Fraction, buckets: int, sets_of):
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
     def run(batches):
-        levels = levels_of()
+        table = levels_of()
         for cls, n, text, h in sets_of(batches):
-            level = levels[(h >> _U(42)).astype(np.int64)]
+            level = table[slot(h)]
             order = np.lexsort((h, level, text))
             h, level, start = h[order], level[order], np.cumsum(n) - n
             at = np.arange(len(h)) - start[text]
@@ -174,7 +137,7 @@ def _regions(levels_of, hot: int):
         first = np.flatnonzero(np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]])) if len(rows) else np.empty(0, int)
         size = np.diff([*first, len(rows)])
         first, size = np.repeat(first, size), np.repeat(size, size)
-        often = levels_of()[(rows["h"] >> _U(42)).astype(np.int64)] >= hot
+        often = levels_of()[slot(rows["h"])] >= hot
         keep = (size > 1) | often
         rows, pivot, size, often = rows[keep], rows[first[keep]], size[keep], often[keep]
         long = lambda x: x.astype(np.int64)
@@ -257,22 +220,15 @@ class _Corpus:
     def sets(self, wanted: DataFrame) -> DataFrame:
         """``(cls, h, n)`` of the classes ``wanted (cls)``, from the text of each one's first document.
 
-        A bitmap of fixed size, made of hashes of these documents' ids and texts, keeps other texts out; a task sends each set once.
+        A bitmap of fixed size (1 MB), made of hashes of these documents' ids and texts, keeps other texts out; a task sends each set once.
         """
         reps = self.scratch.write(wanted.distinct().join(self.classes.select("cls", "rep"), "cls"))
-        slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(_BITS))
-        at = slot("rep.id", "rep.key") + 1
-        bits = reps.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("at"))
-        table = np.zeros(_BITS // 8 + 4096, np.uint8)
-        for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect():  # at most _BITS bits
-            table[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-        shared = self.source.sparkSession.sparkContext.broadcast(table.tobytes())
-
-        def wanted_slot(at: pa.Array) -> pa.Array:
-            at = np.asarray(at)
-            return pa.array((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool))
-
-        some = self.source.withColumn("slot", slot("id", "key")).filter(F.arrow_udf(wanted_slot, "boolean")("slot"))
+        place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(_BITS))
+        at = place("rep.id", "rep.key") + 1
+        bits = reps.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+        bits = self.scratch.write(bits)  # at most _BITS bits
+        slot = self.source.withColumn("place", place("id", "key") + 1).withColumns({"bucket": F.bitmap_bucket_number("place"), "at": F.bitmap_bit_position("place")})
+        some = slot.join(F.broadcast(bits), "bucket").filter("getbit(bigint(conv(hex(substring(bits, int(at div 8) + 1, 1)), 16, 10)), int(at % 8)) = 1")
         stored = some.select("text").mapInArrow(_store(self.words), "cls long, h binary, n long").join(reps.select("cls"), "cls", "left_semi")
         return self.scratch.write(stored.dropDuplicates(["cls"]), narrow=False)
 
@@ -305,9 +261,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     described = scratch.write(source.mapInArrow(_describe(words), "id long, key long, cls long, n long, sig binary, part int, counts binary"), narrow=False)
     rows = described.filter("part is null").select("id", "key", "cls", "n", "sig")
-    levels = _levels(described.filter("part is not null").select("part", "counts"))
-    shared = spark.sparkContext.broadcast(levels.tobytes())
-    hot_level = int(_level(np.array(hot)))
+    table = levels(described.filter("part is not null").select("part", "counts"))
+    shared = spark.sparkContext.broadcast(table.tobytes())
+    hot_level = int(level_of(hot))
     classes = scratch.write(rows.filter("n > 0").groupBy("cls").agg(F.min(F.struct("id", "key")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     def levels_of():
@@ -330,14 +286,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     seen.clear()
 
     buckets = _buckets(spark, rows.agg(F.sum("n")).first()[0] or 0, 4_000_000)
-    packed = source.mapInArrow(_pack(levels_of, hot_level, t, buckets, from_texts), "bucket int, block binary")
-    found = scratch.write(packed.groupBy("bucket").applyInPandas(_regions(levels_of, hot_level), _REGION), narrow=False)
-    if (levels >= hot_level).any():
+    blocks = source.mapInArrow(_pack(levels_of, hot_level, t, buckets, from_texts), "bucket int, block binary")
+    found = scratch.write(blocks.groupBy("bucket").applyInPandas(_regions(levels_of, hot_level), _REGION), narrow=False)
+    if (table >= hot_level).any():
         found = found.filter("not hot").drop("hot").unionByName(scratch.write(_with_pivots(found.filter("hot").select("region", "cls", "pos", "n"), scratch)))
     reached = _join(found, _Corpus(source, classes, words, t, scratch), region, None).select(F.col("node").alias("cls"), "component")
     named = classes.select("cls", F.col("rep.id").alias("rep")).join(reached, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = scratch.write(named.join(least, "component").select("cls", "component_id"))
+    scratch.keep(described, final)
     out = rows.filter("n > 0").join(final, "cls").select("id", "n", "component_id").unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("id").alias(id_col), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"))
