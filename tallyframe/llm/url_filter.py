@@ -77,7 +77,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     begins = here.select("site", "salt", *at(start, 0, 1), rule.alias("opened"), F.lit(None).cast("struct<id:bigint,host:string,path:string>").alias("page"))
     ends = here.select("site", "salt", *at(F.concat(start, F.lit(b"\xff")), 2, -1), no_rule.alias("opened"), F.lit(None).cast("struct<id:bigint,host:string,path:string>").alias("page"))
     points = keyed.select("site", F.col("salt").cast("int").alias("salt"), *at(start, 1, 0), no_rule.alias("opened"), F.struct(F.col("id").cast("bigint").alias("id"), "host", "path").alias("page"))
-    events = begins.unionByName(points).unionByName(ends)
+    # without this exchange the join's by site alone would do for the windows, and a site's urls would be one task's
+    events = begins.unionByName(points).unionByName(ends).repartition("site", "salt")
 
     sweep = Window.partitionBy("site", "salt").orderBy("key", "at").rowsBetween(Window.unboundedPreceding, 0)
     stacked = events.withColumn("height", F.sum("step").over(sweep))
