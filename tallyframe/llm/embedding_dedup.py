@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, sampled
 
 DEGREE, CANDIDATES, RANDOM_EDGES, ALPHA, BEAM, RECALL = 24, 64, 4, 1.2, 24, 0.98
 #: Rows of the sample that centroids are fitted on, and classes for each centroid.
@@ -273,8 +273,7 @@ def _links(classes: DataFrame, scratch: Scratch, least: float, shard: int, cap:
     sizes = {r["label"]: r["n"] for r in classes.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     sample: dict[str, list] = {}
-    share = min(1.0, SAMPLE_ROWS / max(total, 1))
-    for r in classes.filter(F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < int(share * 1_000_000)).select("label", "vector").orderBy("label", F.xxhash64("vector")).collect():
+    for r in classes.filter(sampled(F.xxhash64("cid"), SAMPLE_ROWS, total)).select("label", "vector").orderBy("label", F.xxhash64("vector")).collect():
         sample.setdefault(r["label"], []).append(r["vector"])
     centres, first = {}, 0
     for label, found in sorted(sample.items()):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import sampled, small_batches
 
 SAMPLE_ROWS = 40_000
 _SYMBOLS = 64
@@ -126,15 +126,13 @@ def language_id(docs: DataFrame, train: DataFrame, text_col: str = "text", label
     """All rows and columns of ``docs`` with ``lang_pred`` and ``score``, predicted from the text alone.
 
     ``train`` has labelled rows (null labels and null texts are left out); if there are more than ``sample_rows``,
-    about so many are taken by a hash of the text. ``score`` is the cosine with the winning prototype, at least 0;
+    about so many are taken by a hash of the text; copies count once. ``score`` is the cosine with the winning prototype, at least 0;
     equal cosines go to the label first in order. A text that is null or has no letter gets ``und`` and 0, as do
     all texts if nothing was learnt. Columns of ``docs`` with the names of the results are replaced.
     """
     small_batches(docs.sparkSession)
     train = train.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter("text is not null and label is not null")
-    n = train.count()
-    if n > sample_rows:
-        train = train.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < sample_rows * 1_000_000 // n)
+    train = train.filter(sampled(F.xxhash64("text"), sample_rows, train.count())).dropDuplicates(["text", "label"])
     labels, vectors = learn(train, "text", "label", dims)
     to = vectors.T.astype(np.float32)
 
