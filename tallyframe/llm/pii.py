@@ -198,7 +198,8 @@ def revealing_terms(source: DataFrame, scratch: Scratch, near: int, support: int
     # as n_et <= n_e, no term of more documents than this bound reaches the disclosure
     bound = F.pow(F.lit(float(total)), F.lit(1 - disclosure)) * F.pow("n_e", F.lit(disclosure)) * (1 + 1e-9)
     held = holds.join(shared, "entity").withColumn("bound", bound)
-    rare = whole.join(single, "h", "left").join(held.groupBy("id", "tie").agg(F.max("bound").alias("most")), ["id", "tie"]).filter("coalesce(n_t, 1) <= most")
+    # far from the entity, a term of a single document has one context with it
+    rare = whole.join(single, "h", "left").filter(F.coalesce("n_t", F.lit(1)) >= min(2, support)).join(held.groupBy("id", "tie").agg(F.max("bound").alias("most")), ["id", "tie"]).filter("coalesce(n_t, 1) <= most")
     far = rare.join(held, ["id", "tie"]).filter("coalesce(n_t, 1) <= bound").select("entity", "term", "id", "tie", "context")
     far = far.join(close.select("entity", "term", "id", "tie").distinct(), ["entity", "term", "id", "tie"], "left_anti")
     every = scratch.write(close.unionByName(far).distinct())
@@ -213,7 +214,9 @@ def revealing_terms(source: DataFrame, scratch: Scratch, near: int, support: int
     bad = scratch.write(known.filter((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term"))
     if bad.isEmpty():
         return empty
-    return scratch.write(holds.join(bad, "entity").groupBy("id", "tie").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    out = scratch.write(holds.join(bad, "entity").groupBy("id", "tie").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    scratch.keep(out)
+    return out
 
 
 def _mark(text: pa.Array, terms: pa.Array) -> pa.Array:
@@ -224,11 +227,14 @@ def _mark(text: pa.Array, terms: pa.Array) -> pa.Array:
         spans = [(s, e, KINDS[k]) for s, e, k in base]
         extra = []
         if hidden and base:
-            hidden = set(hidden)
+            hidden, at_base, reached = set(hidden), 0, 0
             for m in _WORD.finditer(x):
                 word = m[0].strip(_EDGE)
                 at = m.start() + m[0].find(word)
-                if word.lower() in hidden and not any(s < at + len(word) and at < e for s, e, _ in base):
+                while at_base < len(base) and base[at_base][0] < at + len(word):
+                    reached = max(reached, base[at_base][1])
+                    at_base += 1
+                if reached <= at and word.lower() in hidden:
                     extra.append((at, at + len(word), "term"))
         order = lambda s: (s[0], (*KINDS, "term").index(s[2]))
         spans, every = sorted(spans, key=order), sorted(spans + extra, key=order)
