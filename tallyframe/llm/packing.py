@@ -1,8 +1,9 @@
 """Operator 10: packing by Karmarkar-Karp multiway differencing.
 
 A document's ids are cut into pieces of a full sequence and one remainder, which is cut once more if it is longer
-than half a sequence; full pieces are sequences of their own. Remainders are dealt at random into blocks of bounded size. In a block, every remainder starts as a partial
-partition of ``k`` windows with one of them filled. The two partitions of largest spread are merged, the fullest
+than half a sequence; full pieces are sequences of their own. A task deals the remainders of its documents, as they come, into blocks of
+``block`` documents (the last one may have fewer), so nothing is shuffled, no block grows with its rows' ids or texts, and a lost task
+packs the same again. In a block, every remainder starts as a partial partition of ``k`` windows with one of them filled. The two partitions of largest spread are merged, the fullest
 windows of one on the emptiest of the other, until one partition is left: ``k`` nearly equal windows. If a window
 exceeds the capacity, ``k`` rises by what is too much and the block starts again.
 """
@@ -13,12 +14,12 @@ import heapq
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, small_batches
+from .common import small_batches
 from .pretokens import pre_tokens
 from .words import pieces, utf8
 
@@ -72,46 +73,51 @@ def equal_windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
         k = min(len(sizes), k + max(1, min(over // 2, k * (int(load[0]) - capacity) // capacity)))
 
 
-def _cut(path: str, capacity: int, end_id: int):
-    names = ["doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens"]
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
+
+def deal(size: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window and offset of each piece of one block; windows count from 0."""
+    window, part, full = np.zeros(len(size), np.int64), np.flatnonzero(size < capacity), np.flatnonzero(size == capacity)
+    if len(part):
+        window[part] = equal_windows(size[part], capacity)
+    window[full] = np.arange(len(full)) + (window[part].max() + 1 if len(part) else 0)
+    order = np.argsort(window, kind="stable")
+    total = np.cumsum(size[order]) - size[order]
+    first = np.flatnonzero(np.diff(window[order], prepend=-1))
+    offset = np.empty(len(size), np.int64)
+    offset[order] = total - np.repeat(total[first], np.diff([*first, len(order)]))
+    return window, offset
+
+
+def _pack(path: str, capacity: int, block: int, end_id: int):
     def run(batches):
-        tokens = pre_tokens(path)
+        tokens, base, rows, docs = pre_tokens(path), TaskContext.get().partitionId() << 40, [], 0
+
+        def packed():
+            nonlocal base, rows, docs
+            columns = [list(c) for c in zip(*rows)]
+            window, offset = deal(np.array(columns[2]), capacity)
+            out = pa.record_batch([pa.array(c, pa.int64()) for c in (columns[0], columns[1], columns[2], columns[3], columns[4], window + base, offset)], names=_NAMES)
+            base, rows, docs = base + int(window.max()) + 1, [], 0
+            return out
+
         for batch in batches:
             for piece in pieces(batch, "text"):
-                flat, count = tokens.encode(*utf8(piece.column(2)))
+                flat, count = tokens.encode(*utf8(piece.column(1)))
                 ends = np.cumsum(count)
-                ids, ties, rows = piece.column(0).to_pylist(), piece.column(1).to_pylist(), []
-                for i, (a, b) in enumerate(zip(ends - count, ends)):
+                for i, a, b in zip(piece.column(0).to_pylist(), ends - count, ends):
                     own = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
                     raw = memoryview(own.tobytes())
                     full, half = len(own) // capacity * capacity, capacity // 2
                     edge = [*range(0, full + 1, capacity), *([full + half] if len(own) - full > half else []), *([len(own)] if len(own) > full else [])]
                     for s, size in zip(edge, np.diff(edge).tolist()):
-                        rows.append((ids[i], ties[i], s, size, zlib.crc32(raw[4 * s : 4 * (s + size)]), len(own)))
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
-
-    return run
-
-
-def _deal(capacity: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "tie", "start"], kind="stable", ignore_index=True)
-        size = pdf["length"].to_numpy()
-        window = np.zeros(len(pdf), np.int64)
-        part = np.flatnonzero(size < capacity)
-        if len(part):
-            window[part] = equal_windows(size[part], capacity)
-        full = np.flatnonzero(size == capacity)
-        window[full] = np.arange(len(full)) + (window[part].max() + 1 if len(part) else 0)
-        offset = size.copy()
-        order = np.argsort(window, kind="stable")
-        total = np.cumsum(size[order]) - size[order]
-        first = np.flatnonzero(np.diff(window[order], prepend=-1))
-        offset[order] = total - np.repeat(total[first], np.diff([*first, len(order)]))
-        pdf["sequence_id"] = (int(pdf["block"].iloc[0]) << 32) + window
-        pdf["offset"] = offset
-        return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+                        rows.append((i, s, size, zlib.crc32(raw[4 * s : 4 * (s + size)]), len(own)))
+                    docs += 1
+                    if docs == block or len(rows) >= 8 * block:  # a few very long texts may fill a block with full pieces
+                        yield packed()
+        if rows:
+            yield packed()
 
     return run
 
@@ -125,9 +131,5 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     is returned as null. ``ids_crc32`` is that of the piece's ids as little-endian unsigned 32-bit numbers.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(id_col, text_col).alias("tie"), F.col(text_col).alias("text"))
-    blocks = max(1, -(-docs.count() // block))
-    cut = source.mapInArrow(_cut(path, capacity, end_id), "doc_id long, tie long, start long, length long, ids_crc32 long, doc_tokens long")
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("tie", "doc_id"), F.lit(blocks)))
-    packed = dealt.groupBy("block").applyInPandas(_deal(capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return packed.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(_pack(path, capacity, block, end_id), ", ".join(f"{n} long" for n in _NAMES))
