@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -125,20 +126,24 @@ def _read(path: str):
     def run(batches):
         decoder = _decoder(path)
         text = lambda ids: decoder.decode(ids.tolist(), skip_special_tokens=False)
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
                 row = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
                 tokens, loss = (np.asarray(row[n].values.to_numpy(zero_copy_only=False)) for n in ("tokens", "loss"))
-                nodes = {n["node"]: n for n in row["nodes"].as_py()}
+                nodes = sorted(row["nodes"].as_py(), key=lambda n: n["start"])
+                # a node's tokens are decoded once; what a path says are its nodes' texts one after the other
+                spans = [(n["start"], n["end"]) for n in nodes]
+                said, learnt = [text(tokens[a:b]) for a, b in spans], [text(tokens[a:b][loss[a:b]]) for a, b in spans]
+                starts, named = [a for a, _ in spans], {n["node"]: n for n in nodes}
                 for leaf in row["leaves"].as_py():
-                    node = nodes[leaf]
-                    at = np.concatenate([np.arange(s["s"], s["e"]) for s in [*node["attends"], {"s": node["start"], "e": node["end"]}]])
-                    formatted, learnt = text(tokens[at]), unescape(text(tokens[at[loss[at]]]))
+                    node, on_path = named[leaf], []
+                    for s in [*node["attends"], {"s": node["start"], "e": node["end"]}]:
+                        on_path += range(bisect_left(starts, s["s"]), bisect_left(starts, s["e"]))
+                    formatted, loss_text = "".join(said[k] for k in on_path), unescape("".join(learnt[k] for k in on_path))
                     turns = parse(formatted)
-                    said = "".join(f"{r}\n{t}\n" for r, t in turns)
-                    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-                    out.append((leaf, len(turns), sha(said), len(learnt), sha(learnt), len(formatted)))
+                    out.append((leaf, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss_text), sha(loss_text), len(formatted)))
             if out:
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 names = ["leaf", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -169,6 +174,7 @@ def chat_tree(rows: DataFrame, path: str, paths: int = 256) -> tuple[DataFrame,
     name = F.concat_ws(":", F.coalesce("hot.node", F.lit("")), F.pmod(F.xxhash64(child), bins(F.coalesce("hot.paths", F.lit(total)))))
     dealt = distinct.join(deepest, "leaf", "left").select(name.alias("pack"), "nodes", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     packs = scratch.write(dealt.groupBy("pack").applyInPandas(_emit(path), _PACK), narrow=False)
+    scratch.keep(packs, whole)
     return packs, whole.select("conv_id", "leaf")
 
 
