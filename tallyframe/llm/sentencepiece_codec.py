@@ -168,7 +168,10 @@ class Codec(PreTokens):
         self.tokenizer = self.model.tokenizer(normalised=self.by_unit)
         self.whole = self.model.tokenizer()
         self.original = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.table = self.model.piece_bytes()
+        table = self.model.piece_bytes()
+        self.piece_bytes = np.frombuffer(b"".join(table), np.uint8)
+        self.piece_size = np.array([len(x) for x in table], np.int64)
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
         self.differ: set[int] = set()
         self._forget()
 
@@ -240,11 +243,19 @@ class Codec(PreTokens):
         return flat, count, same
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces joined, markers as spaces, bytes as UTF-8, without the marker put in front."""
-        raw = b"".join(map(self.table.__getitem__, ids))
-        if self.model.dummy_prefix and raw[:1] == b" ":
-            raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
+
+    def decode_all(self, flat: np.ndarray, count: np.ndarray) -> list[str]:
+        """The texts of ``count`` ids each: pieces joined, markers as spaces, bytes as UTF-8, without the marker put in front."""
+        size = self.piece_size[flat]
+        end = np.cumsum(size)
+        raw = self.piece_bytes[np.repeat(self.piece_start[flat] - (end - size), size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        edge = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])].tolist()
+        out = []
+        for a, b in zip(edge[:-1], edge[1:]):
+            a += self.model.dummy_prefix and raw[a : a + 1] == b" " and b > a
+            out.append(raw[a:b].decode("utf-8", "replace"))
+        return out
 
 
 @cache
@@ -273,7 +284,10 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     def run(batches):
         c = codec(path)
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([c.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
+            lists = batch.column(1)
+            count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            texts = c.decode_all(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), count)
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     return encoded.select(F.col(id_col), ids_col).mapInArrow(run, f"`{id_col}` long, text string")
 
@@ -293,10 +307,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             for piece in pieces(batch, "text"):
                 flat, count, same = c.encode_all(piece.column(1))
                 end, rows = np.cumsum(count), []
-                for i, a, b, text, equal in zip(piece.column(0).to_pylist(), end - count, end, piece.column(1), same.tolist()):
-                    ids = flat[a:b]
-                    back = c.decode(ids.tolist())
-                    rows.append((i, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == (text.as_py() or ""), equal))
+                raw = memoryview(flat.astype("<u4").tobytes())
+                for i, a, b, text, equal, back in zip(piece.column(0).to_pylist(), (end - count).tolist(), end.tolist(), piece.column(1), same.tolist(), c.decode_all(flat, count)):
+                    rows.append((i, b - a, zlib.crc32(raw[4 * a : 4 * b]), hashlib.sha256(back.encode()).hexdigest(), back == (text.as_py() or ""), equal))
                 if rows:
                     yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless", "parity"])
 
