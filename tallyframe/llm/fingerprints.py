@@ -10,13 +10,14 @@ likeness is the share of equal bins, corrected for bins that agree by chance: ``
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, small_batches
+from .common import NO_ID, sampled, small_batches
 from .words import FIRST, SECOND, Words, mix, utf8
 
 BINS, BITS, WORDS = 512, 4, 5
@@ -24,6 +25,8 @@ _U = np.uint64
 _SHIFT = _U(64 - BINS.bit_length() + 1)
 _EMPTY = _U(2**64 - 1)
 _TRIES = 256
+#: Bytes of text in a range, and rows of the sample that ranges are cut at.
+_RANGE, _SAMPLE = 16_000_000, 1_000_000
 
 
 def minhash_bins(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +54,8 @@ def minhash_bins(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
             bins = np.flatnonzero(full[i])
             here = row == i
             low[i, at[here]] = low[i, bins[np.searchsorted(bins, to[here]) % len(bins)]]
-    return (mix(low) & _U(2**BITS - 1)).astype(np.uint8), some
+    # mixed with the bin's number, so that bins which hold copies of one value agree by chance each on their own
+    return (mix(low + np.arange(BINS, dtype=_U) * _U(0x9E3779B97F4A7C15)) & _U(2**BITS - 1)).astype(np.uint8), some
 
 
 def likeness(a: np.ndarray, some_a: np.ndarray, b: np.ndarray, some_b: np.ndarray) -> np.ndarray:
@@ -131,26 +135,35 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     half (rounded down) of a text's code points replaced by as many first ones of the next text, or all it has. A null
     text is empty; a null id counts as the smallest and is returned as null. A single row is its own next.
 
-    Ids are cut into ranges at quantiles that are ids themselves. The greatest id of each range is also dealt to
-    the range above, where it follows the smallest, so one shuffle brings every text to its next one.
+    Documents in that order are cut into ranges of about ``_RANGE`` bytes at documents of a bounded sample; a range starts with the
+    document of its cut, which is also dealt to the end of the range before. So one shuffle brings every text to its next
+    one. Rows equal in id and text are in one range.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = 4 * parts
-    shares = [i / count for i in range(1, count)]
-    found = source.agg(F.percentile_approx("id", F.lit(shares), F.lit(100 * count)).alias("q"), F.max("id").alias("top")).first()
-    edges = np.unique(np.array([*(found["q"] or []), found["top"] if found["top"] is not None else 0], np.int64))
-
-    def ranges(ident: pa.Array) -> pa.Array:
-        """The range of an id and, for the greatest of a range, that where it is a guest; two values each, -1 for none."""
-        ident = np.asarray(ident)
-        own = np.searchsorted(edges, ident)
-        guest = np.where(edges[np.minimum(own, len(edges) - 1)] == ident, (own + 1) % len(edges), -1)
-        return pa.FixedSizeListArray.from_arrays(pa.array(np.stack([own, guest], 1).ravel()), 2).cast(pa.list_(pa.int64()))
-
-    dealt = source.withColumn("ranges", F.arrow_udf(ranges, "array<long>")("id")).select("id", "text", F.posexplode("ranges").alias("guest", "range")).filter("range >= 0")
-    dealt = dealt.select("range", (F.col("guest") > 0).alias("guest"), "id", "text", F.xxhash64("text").alias("tie"))
-    ordered = dealt.repartition(parts, "range").sortWithinPartitions("range", "guest", F.desc("id"), "tie").select("range", "guest", "id", "text")
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    total = source.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"), F.min(F.struct(-F.col("id").cast("decimal(20,0)"), F.col("tie"))).alias("first")).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total["bytes"] or 0) // _RANGE + 1)
+    # only where ranges begin depends on this sample, not what is in the result
+    some = source.filter(sampled(F.xxhash64(F.lit(3), "id", "tie"), min(40 * parts, _SAMPLE), total["rows"]))
+    keys = sorted((-r["id"], r["tie"], r["bytes"]) for r in some.groupBy("id", "tie").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("bytes")).collect())
+    share, reached, edges = sum(k[2] for k in keys) / parts, 0, [(int(total["first"][0]), total["first"][1])] if total["first"] else []
+    for negative, tie, size in keys:
+        if reached >= share and (negative, tie) > edges[-1]:
+            edges.append((negative, tie))
+            reached = 0
+        reached += size
+    shared = docs.sparkSession.sparkContext.broadcast(edges)
+
+    def ranges(ident: pa.Array, tie: pa.Array) -> pa.Array:
+        """The range of a document and, for the first of a range, that where it is a guest; two values each, -1 for none."""
+        cuts, out = shared.value, []
+        for key in zip((-x for x in ident.to_pylist()), tie.to_pylist()):
+            at = bisect_right(cuts, key) - 1
+            out += [at, (at - 1) % len(cuts) if cuts[at] == key else -1]
+        return pa.FixedSizeListArray.from_arrays(pa.array(out, pa.int64()), 2).cast(pa.list_(pa.int64()))
+
+    dealt = source.withColumn("ranges", F.arrow_udf(ranges, "array<long>")("id", "tie")).select("id", "text", "tie", F.posexplode("ranges").alias("guest", "range")).filter("range >= 0")
+    dealt = dealt.withColumn("guest", F.col("guest") > 0).repartitionById(max(len(edges), 1), F.col("range").cast("int"))
+    ordered = dealt.sortWithinPartitions("range", "guest", F.desc("id"), "tie").select("range", "guest", "id", "text")
     out = ordered.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
