@@ -89,10 +89,10 @@ def brute_components(rows):
     return [(rows[i][0], len(sets[i]), rows[find(i)][0]) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("region", [256, 2])
-def test_jaccard_join_equals_brute_force(documents, region):
+@pytest.mark.parametrize(("region", "hot"), [(256, 1 << 21), (2, 1 << 21), (256, 8), (2, 1)])
+def test_jaccard_join_equals_brute_force(documents, region, hot):
     rows = [(r["doc_id"], r["text"]) for r in documents.orderBy("doc_id").collect()]
-    out = sorted(tuple(r) for r in jaccard_join(documents, region=region).collect())
+    out = sorted(tuple(r) for r in jaccard_join(documents, region=region, hot=hot).collect())
     assert out == sorted(brute_components(rows))
 
 
@@ -161,9 +161,10 @@ def brute_removal(rows, k=20):
     return out
 
 
-def test_substring_dedup_equals_brute_force(documents):
+@pytest.mark.parametrize("hot", [substring_dedup.HOT, 100, 1])
+def test_substring_dedup_equals_brute_force(documents, hot):
     rows = [(r["doc_id"], r["text"]) for r in documents.orderBy("doc_id").collect()]
-    out = substring_dedup.substring_dedup(documents).orderBy("doc_id").select("n_words", "n_removed", "kept").collect()
+    out = substring_dedup.substring_dedup(documents, hot=hot).orderBy("doc_id").select("n_words", "n_removed", "kept").collect()
     assert [tuple(r) for r in out] == brute_removal(rows)
 
 
