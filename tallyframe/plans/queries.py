@@ -103,10 +103,8 @@ def _stream_activity(d: Data) -> DataFrame:
     folder = scratch_folder(d.spark)
     rows = d.history.select("report_id", "sku", "period_end", "purchase", "sales", "sales_free")
     rows.repartition(12, "report_id").write.parquet(f"{folder}/in")
-    query = jobs.activity_stream(d.spark, f"{folder}/in", rows.schema, f"{folder}/state", f"{folder}/checkpoint")
-    query.awaitTermination()
-    last = max(p["batchId"] for p in query.recentProgress)
-    return d.spark.read.parquet(f"{folder}/state/version={last}")
+    jobs.activity_stream(d.spark, f"{folder}/in", rows.schema, f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
+    return jobs.latest_activity(d.spark, f"{folder}/changes")
 
 
 def _incremental(d: Data) -> DataFrame:

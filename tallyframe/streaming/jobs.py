@@ -34,20 +34,26 @@ def activity(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sku").agg(F.max(F.when(F.col("purchase") > 0, F.col("period_end"))).alias("last_purchase"), F.max(F.when(sold, F.col("period_end"))).alias("last_sale"))
 
 
-def merged(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """The state with a batch: always the greater date, as late and backfilled periods are normal."""
-    return state.unionByName(activity(batch)).groupBy("sku").agg(F.max("last_purchase").alias("last_purchase"), F.max("last_sale").alias("last_sale"))
+def activity_stream(spark: SparkSession, rows: str, schema, out: str, checkpoint: str):
+    """History files as they arrive: the state store keeps every SKU's dates, and each batch writes the SKUs that it changed.
 
-
-def activity_stream(spark: SparkSession, rows: str, schema, state: str, checkpoint: str):
-    """History files as they arrive, merged into a state table; version ``n`` of the state is made by batch ``n``.
-
-    Removed reports can't be taken out of a maximum: rebuild with ``activity`` over the live history.
+    Late and backfilled periods are normal, and a maximum takes them in any order. Batch ``n`` goes to a folder of its own number and
+    replaces it, so a batch that is run again leaves no copies. Removed reports can't be taken out of a maximum: rebuild with
+    ``activity`` over the live history.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{state}/version={number - 1}") if number else spark.createDataFrame([], ENTRY_STATE)
-        merged(before, batch).write.mode("overwrite").parquet(f"{state}/version={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(rows)
-    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return activity(stream).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_activity(spark: SparkSession, out: str) -> DataFrame:
+    """The dates of every SKU after all batches in ``out``; no rows before the first one."""
+    empty = spark.createDataFrame([], ENTRY_STATE)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return empty
+    changes = spark.read.schema(empty.schema).parquet(f"{out}/batch=*")
+    return changes.groupBy("sku").agg(F.max("last_purchase").alias("last_purchase"), F.max("last_sale").alias("last_sale"))

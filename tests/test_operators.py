@@ -326,6 +326,23 @@ def test_grid_from_text_and_lists_to_csv(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "history")).count() == 1
 
 
+def test_activity_stream_takes_late_files_and_none(spark, tmp_path):
+    from tallyframe.streaming import jobs
+
+    rows = [row(2, "2026-06-01", "2026-06-30", sku="a", sales=1), row(3, "2026-07-01", "2026-07-31", sku="a", purchase=2), row(1, "2026-05-01", "2026-05-31", sku="a", sales=5), row(1, "2026-05-01", "2026-05-31", sku="b", sales_free=1)]
+    schema = history(spark, *rows).schema
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    (tmp_path / "in").mkdir()
+    run = lambda: jobs.activity_stream(spark, folder, schema, out, checkpoint).awaitTermination()
+    run()
+    assert jobs.latest_activity(spark, out).count() == 0
+    for r in rows:
+        history(spark, r).write.mode("append").parquet(folder)
+        run()
+    found = {r["sku"]: (r["last_purchase"], r["last_sale"]) for r in jobs.latest_activity(spark, out).collect()}
+    assert found == {"a": (date(2026, 7, 31), date(2026, 6, 30)), "b": (None, date(2026, 5, 31))}
+
+
 def test_settings_have_ranges():
     for bad in ({"low_stock_days": 0}, {"dead_stock_days": 3651}, {"tier_a_pct": 90, "tier_b_pct": 90}, {"tier_b_pct": 100}):
         with pytest.raises(ValueError):
