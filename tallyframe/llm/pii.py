@@ -30,8 +30,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?()[]{}\"'"
-#: Slots of the filter that keeps only words which may be candidate terms.
-_SLOTS = 1 << 20
+#: Bits of the filter that keeps only words which may be candidate terms, and counts that a task gathers before it sends them.
+_BITS, _GATHERED = 23, 1_000_000
 
 
 def _luhn(digits: str) -> bool:
@@ -113,12 +113,11 @@ def _document_terms(near: int, slots: bytes):
     """One row for each distinct term of the documents with an entity in ``slots``: document, term, its hash and that of the words round it."""
 
     def run(batches):
-        wanted = np.frombuffer(slots, bool)
         for batch in batches:
             for i, t, text in zip(batch.column(0), batch.column(1), batch.column(2)):
                 text = text.as_py() or ""
                 spans = find_entities(text)
-                if not spans or not wanted[_hash([f"{KINDS[k]}:{text[s:e].lower()}" for s, e, k in spans]).view(np.uint64) >> np.uint64(44)].any():
+                if not spans or not _in_slots(slots, _hash([f"{KINDS[k]}:{text[s:e].lower()}" for s, e, k in spans])).any():
                     continue
                 words = [(m.start(), m[0]) for m in _WORD.finditer(text)]
                 starts = np.array([w[0] for w in words])
@@ -138,22 +137,31 @@ def _document_terms(near: int, slots: bytes):
 
 
 def _slots(hashes: DataFrame) -> bytes:
-    """Which of the filter's slots the hashes ``h`` fall in."""
-    at = F.shiftrightunsigned("h", 44) + 1
+    """A bit for each of the filter's slots that the hashes ``h`` fall in."""
+    at = F.shiftrightunsigned("h", 64 - _BITS) + 1
     bits = hashes.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("at"))
-    slots = np.zeros(_SLOTS, bool)
-    for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect():  # at most _SLOTS bits
-        slots[(r["bucket"] - 1) * 32768 : r["bucket"] * 32768] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+    slots = np.zeros((1 << _BITS) // 8, np.uint8)
+    for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect():  # 2**_BITS bits in all
+        slots[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     return slots.tobytes()
 
 
+def _in_slots(slots: bytes, h: np.ndarray) -> np.ndarray:
+    at = (h.view(np.uint64) >> np.uint64(64 - _BITS)).astype(np.int64)
+    return (np.frombuffer(slots, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _document_counts(slots: bytes):
-    """How many documents of a part of the texts hold each word that may be a candidate."""
+    """How many documents of a task's texts hold each word that may be a candidate."""
     strip = np.zeros(256, bool)
     strip[[ord(c) for c in _EDGE]] = True
 
+    def added(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        value, back = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+        return value, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64)
+
     def run(batches):
-        wanted = np.frombuffer(slots, bool)
+        parts, size = [], 0
         for batch in batches:
             for piece in pieces(batch, "text"):
                 folded = pa.array([(x or "").lower() for x in piece.column(0).to_pylist()], pa.large_string())
@@ -164,17 +172,24 @@ def _document_counts(slots: bytes):
                 while len(start) and (more := (start < end) & strip[raw[end - 1]]).any():
                     end -= more
                 doc, keep = words.owner(), start < end
-                h = FIRST.of_bytes(raw, start[keep], end[keep])
-                doc = doc[keep]
-                maybe = wanted[(h >> np.uint64(44)).astype(np.int64)]
-                h, doc = h[maybe].view(np.int64), doc[maybe]
+                h, doc = FIRST.of_bytes(raw, start[keep], end[keep]).view(np.int64), doc[keep]
+                maybe = _in_slots(slots, h)
+                h, doc = h[maybe], doc[maybe]
                 if len(h):
                     order = np.lexsort((doc, h))
                     h, doc = h[order], doc[order]
                     new = np.ones(len(h), bool)
                     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                    value, n = np.unique(h[new], return_counts=True)
-                    yield pa.record_batch([pa.array(value), pa.array(n.astype(np.int64))], names=["h", "n"])
+                    parts.append(np.unique(h[new], return_counts=True))
+                    size += len(parts[-1][0])
+                    if size > _GATHERED:
+                        parts = [added(parts)]
+                        size = len(parts[0][0])
+                        if size > _GATHERED // 2:
+                            yield pa.record_batch(list(map(pa.array, parts[0])), names=["h", "n"])
+                            parts, size = [], 0
+        if parts:
+            yield pa.record_batch(list(map(pa.array, added(parts))), names=["h", "n"])
 
     return run
 
@@ -193,13 +208,16 @@ def revealing_terms(source: DataFrame, scratch: Scratch, near: int, support: int
     hashed = F.arrow_udf(lambda x: pa.array(_hash(x.to_pylist())), "long")
     close = seen.filter("term is not null").select("entity", "term", "id", "tie", "context")
     often = close.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
-    slots = _slots(whole.select("h").unionByName(often.select("term").distinct().select(hashed("term").alias("h"))))
-    single = scratch.write(source.select("text").mapInArrow(_document_counts(slots), "h long, n long").groupBy("h").agg(F.sum("n").alias("n_t")))
     # as n_et <= n_e, no term of more documents than this bound reaches the disclosure
     bound = F.pow(F.lit(float(total)), F.lit(1 - disclosure)) * F.pow("n_e", F.lit(disclosure)) * (1 + 1e-9)
+    # besides the terms that are often near, only those of two documents of one entity or more can have enough contexts
+    least = min(2, support)
+    most = entities.agg(F.max(bound)).first()[0]
+    several = scratch.write(whole.groupBy("h").agg(F.count("*").alias("n_w")).filter(F.col("n_w").between(least, most)).select("h"))
+    slots = _slots(several.unionByName(often.select("term").distinct().select(hashed("term").alias("h"))))
+    single = scratch.write(source.select("text").mapInArrow(_document_counts(slots), "h long, n long").groupBy("h").agg(F.sum("n").alias("n_t")))
     held = holds.join(shared, "entity").withColumn("bound", bound)
-    # far from the entity, a term of a single document has one context with it
-    rare = whole.join(single, "h", "left").filter(F.coalesce("n_t", F.lit(1)) >= min(2, support)).join(held.groupBy("id", "tie").agg(F.max("bound").alias("most")), ["id", "tie"]).filter("coalesce(n_t, 1) <= most")
+    rare = whole.join(several, "h", "left_semi").join(single, "h", "left").join(held.groupBy("id", "tie").agg(F.max("bound").alias("most")), ["id", "tie"]).filter("coalesce(n_t, 1) <= most")
     far = rare.join(held, ["id", "tie"]).filter("coalesce(n_t, 1) <= bound").select("entity", "term", "id", "tie", "context")
     far = far.join(close.select("entity", "term", "id", "tie").distinct(), ["entity", "term", "id", "tie"], "left_anti")
     every = scratch.write(close.unionByName(far).distinct())
