@@ -220,6 +220,8 @@ ORACLES: dict[str, str] = {
     "last_refresh": _sql("SELECT max(checked_at) AS last_refresh FROM ledger", _L),
     "candidate_files": _sql("SELECT '2526/' || upper(filename) AS path FROM log WHERE event = 'import' AND seq % 4 = 3", _L),
     "incremental_equals_full": _sql("SELECT report_id, count(*) AS row_count, sum(value)::DECIMAL(38,2) AS total_value FROM h GROUP BY 1"),
+    "export_lists": _sql(f"SELECT status AS list, {_LIST} FROM en WHERE status IN ('out_of_stock', 'low_stock', 'dead_stock', 'overstock')", _E),
+    "export_summary": _sql(f"SELECT f.position, f.status, count(en.sku) AS sku_count, coalesce(sum(value), 0)::DECIMAL(38,2) AS total_value FROM {_FIXED_STATUS} LEFT JOIN en USING (status) GROUP BY 1, 2", _E),
     "json_edge": _sql("SELECT sku, brand, round(closing_stock)::BIGINT AS closing_stock, round(value::DOUBLE, 2) AS value, round(trailing_sales)::BIGINT AS trailing_sales, round(days_of_cover, 1) AS days_of_cover, status FROM en", _E),
     "stream_ingest": _sql(f"SELECT {_ROWS}, sku, brand, {_NUM}, company, location, period_start, period_end, period_days FROM h"),
     "stream_last_activity": _sql("SELECT sku, max(CASE WHEN purchase > 0 THEN period_end END) AS last_purchase, max(CASE WHEN sales > 0 OR sales_free > 0 THEN period_end END) AS last_sale FROM h GROUP BY 1"),

@@ -163,6 +163,19 @@ def _lists(name: str) -> Callable[[Data], DataFrame]:
     return lambda d: _edge(rollups.action_list(d.enriched, name))
 
 
+def _exported(d: Data) -> DataFrame:
+    """The action lists written as CSV and read again."""
+    folder, days = scratch_folder(d.spark), d.scope.trailing_days
+    files.export_lists(d.enriched, days, folder)
+    return files.read_export(d.spark, folder, days)
+
+
+def _exported_summary(d: Data) -> DataFrame:
+    folder = scratch_folder(d.spark)
+    files.export_lists(d.enriched, d.scope.trailing_days, folder)
+    return d.spark.read.option("header", True).schema("position int, status string, sku_count long, total_value decimal(38,2)").csv(f"{folder}/summary")
+
+
 def _candidates(d: Data) -> DataFrame:
     log = d.log.filter("event = 'import'").select("seq", "filename")
     shape = F.when(F.col("seq") % 4 == 0, F.concat(F.lit("2526/~$"), "filename")).when(F.col("seq") % 4 == 1, F.concat(F.lit(".trash/"), "filename")).when(F.col("seq") % 4 == 2, F.concat(F.lit("notes/"), "filename", F.lit(".txt")))
@@ -240,6 +253,8 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "candidate_files": _candidates,
     "incremental_equals_full": _incremental,
     "json_edge": lambda d: files.json_edge(d.enriched),
+    "export_lists": _exported,
+    "export_summary": _exported_summary,
     "folder_classify": lambda d: store.classify_files(_files(d)),
     "stream_ingest": _stream_ingest,
     "stream_last_activity": _stream_activity,
