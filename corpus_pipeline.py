@@ -40,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text").alias("key")
     keyed = docs.select(key, *COLUMNS)
     found = jaccard_join(keyed.select("key", "text"), id_col="key").distinct().join(keyed.select("key", "doc_id").distinct(), "key")
+    found = Scratch(spark).write(found)
     least = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select("least.key")
     keep = found.filter("n_shingles = 0").select("key").unionByName(least).distinct()
     one = keyed.join(keep, "key", "left_semi").groupBy("key", "doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
@@ -80,4 +81,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), narrow=False)
+        scratch.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
