@@ -273,3 +273,37 @@ def test_large_group_of_near_copies(spark):
         for r in np.unique(root[linked]):
             root[root == r] = low
     assert out == {i: (int(size[i]), int(root[i])) for i in range(len(rows))}
+
+
+def test_fingerprints_across_many_ranges(spark, monkeypatch):
+    """Null and repeated ids, repeated rows and long texts, in ranges of a few documents each."""
+    from tallyframe.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "_RANGE", 1500)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = [(None, f"no id {i} " * (i + 1)) for i in range(12)] + [(5, f"again {i}") for i in range(8)] + [(7, "twice the same")] * 3 + [(8, None), (9, "")]
+    df = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    order = sorted(df.withColumn("tie", F.xxhash64("text")).collect(), key=lambda r: (-(r["doc_id"] if r["doc_id"] is not None else -(2**63)), r["tie"]))
+    expected = []
+    for i, r in enumerate(order):
+        text, after = r["text"] or "", order[(i + 1) % len(order)]["text"] or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        expected.append((r["doc_id"] or -1, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    out = fingerprints.edited_fingerprints(df).collect()
+    assert sorted((r["doc_id"] or -1, r["n_chars"], r["edited_sha256"]) for r in out) == sorted(expected)
+
+
+def test_urls_of_one_site_are_dealt_out(spark):
+    from tallyframe.llm.queries import URL_RULES
+    from tallyframe.llm.url_filter import rule_table, url_filter
+
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.example.net/en/"), F.col("id").cast("string")).alias("url"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = url_filter(pages, rule_table(spark, URL_RULES))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan and any("hashpartitioning(site" in line and "salt" in line for line in plan.splitlines())
+        assert {(r["rule"], r["verdict"]) for r in out.select("rule", "verdict").distinct().collect()} == {("example.net/en/", "allow")} and out.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
