@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
@@ -21,12 +22,12 @@ def dimension(history: DataFrame) -> DataFrame:
     return history.select(*REPORT).dropDuplicates(["report_id"])
 
 
-def trailing_window(reports: DataFrame, target: int) -> DataFrame:
+def trailing_window(reports: DataFrame, target: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Reports newest first with ``days_before`` and whether each is ``taken``: while the days before it are below the target.
 
-    The report that crosses the target is taken.
+    The report that crosses the target is taken. With ``keys`` every store has a window of its own.
     """
-    newest = Window.orderBy(*[F.desc(c) for c in LATEST])
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in LATEST])
     before = F.coalesce(F.sum("period_days").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return reports.withColumn("days_before", before).withColumn("taken", F.col("days_before") < target)
 
@@ -62,6 +63,24 @@ def scope(history: DataFrame, target: int) -> Scope | None:
     )
 
 
+def per_store(history: DataFrame, build: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ("company", "location")) -> DataFrame:
+    """What ``build`` makes of each store's history, with the store's ``keys`` before its columns.
+
+    For some tens of stores: their keys are collected, and the plan has a branch for each. Null keys are a store too.
+    """
+    out = None
+    for store in history.select(*keys).distinct().orderBy(*keys).collect():
+        own = history
+        for k in keys:
+            own = own.filter(F.col(k).eqNullSafe(F.lit(store[k])))
+        rows = build(own)
+        part = rows.select(*[F.lit(store[k]).cast("string").alias(k) for k in keys], *[c for c in rows.columns if c not in keys])
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("a history without rows has no stores")
+    return out
+
+
 def labels(reports: DataFrame) -> DataFrame:
     return reports.select("report_id", "period_start", "period_end", period_label(F.col("period_start"), F.col("period_end")).alias("label"))
 
@@ -93,12 +112,12 @@ def history_meta(reports: DataFrame, target: int) -> DataFrame:
     )
 
 
-def coverage_gaps(reports: DataFrame) -> DataFrame:
-    """Days between the furthest end so far and the next start."""
-    earlier = Window.orderBy("period_start", "period_end").rowsBetween(Window.unboundedPreceding, -1)
-    reached = reports.select("period_start", F.max("period_end").over(earlier).alias("reached"))
+def coverage_gaps(reports: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Days between the furthest end so far and the next start, of each store if there are ``keys``."""
+    earlier = Window.partitionBy(*keys).orderBy("period_start", "period_end").rowsBetween(Window.unboundedPreceding, -1)
+    reached = reports.select(*keys, "period_start", F.max("period_end").over(earlier).alias("reached"))
     gap = reached.filter(F.col("period_start") > F.date_add("reached", 1))
-    return gap.select(F.date_add("reached", 1).alias("gap_start"), F.date_sub("period_start", 1).alias("gap_end")).withColumn("days", F.datediff("gap_end", "gap_start") + 1)
+    return gap.select(*keys, F.date_add("reached", 1).alias("gap_start"), F.date_sub("period_start", 1).alias("gap_end")).withColumn("days", F.datediff("gap_end", "gap_start") + 1)
 
 
 def trailing_gaps(reports: DataFrame, target: int) -> DataFrame:

@@ -12,15 +12,18 @@ from ..sources.scratch import scratch_folder
 from .reports import dimension
 
 
-def live_reports(log: DataFrame) -> DataFrame:
-    """Imports that no later import overlaps and no later removal names; the newest wins.
+def live_reports(log: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Imports that no later import overlaps and no later removal names; the newest wins, within each store if there are ``keys``.
 
     The log has one row for each import or removal, so the range join is on a small table.
     """
-    later = log.select(F.col("seq").alias("s"), F.col("event").alias("e"), F.col("period_start").alias("a"), F.col("period_end").alias("b"))
+    later = log.select(*[F.col(k).alias(f"{k}_later") for k in keys], F.col("seq").alias("s"), F.col("event").alias("e"), F.col("period_start").alias("a"), F.col("period_end").alias("b"))
     overlap = (F.col("s") > F.col("seq")) & (F.col("e") == "import") & (F.col("a") <= F.col("period_end")) & (F.col("b") >= F.col("period_start"))
     removed = (F.col("s") > F.col("seq")) & (F.col("e") == "remove") & (F.col("a") == F.col("period_start")) & (F.col("b") == F.col("period_end"))
-    return log.filter("event = 'import'").join(later, overlap | removed, "left_anti").drop("event")
+    supersedes = overlap | removed
+    for k in keys:
+        supersedes = supersedes & F.col(k).eqNullSafe(F.col(f"{k}_later"))
+    return log.filter("event = 'import'").join(later, supersedes, "left_anti").drop("event")
 
 
 def overlaps(live: DataFrame, period_start: str, period_end: str) -> DataFrame:

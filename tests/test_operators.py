@@ -109,6 +109,21 @@ def test_gaps_and_missing_months(spark):
     assert not reports.missing_months(wide.limit(0)).collect() and not reports.coverage_gaps(wide.limit(0)).collect()
 
 
+def test_stores_are_apart(spark):
+    a, b = periods(spark, ("2026-01-01", "2026-01-31"), ("2026-03-01", "2026-03-31")), periods(spark, ("2026-02-01", "2026-02-28"))
+    both = a.withColumn("location", F.lit("a")).unionByName(b.withColumn("location", F.lit("b")))
+    gaps = [tuple(r) for r in reports.coverage_gaps(both, ("location",)).collect()]
+    assert gaps == [("a", date(2026, 2, 1), date(2026, 2, 28), 28)]
+    taken = {(r["location"], r["report_id"]): r["taken"] for r in reports.trailing_window(both, 30, ("location",)).collect()}
+    assert taken == {("a", 0): False, ("a", 1): True, ("b", 0): True}
+    log = _log(spark, ("import", "2026-06-01", "2026-06-30"), ("import", "2026-06-10", "2026-06-20"), ("import", "2026-06-15", "2026-06-16"))
+    log = log.withColumn("location", F.when(F.col("seq") == 1, "b").otherwise("a"))
+    assert sorted(r["seq"] for r in store.live_reports(log, ("location",)).collect()) == [1, 2]
+    h = history(spark, row(1, "2026-06-01", "2026-06-30", sku="x", closing_stock=3), row(2, "2026-05-01", "2026-05-31", sku="y", closing_stock=4)).withColumn("location", F.when(F.col("report_id") == 1, "l").otherwise(None))
+    out = reports.per_store(h, lambda own: enriched.current_snapshot(own, reports.scope(own, 90)))
+    assert sorted((r["location"] or "", r["sku"]) for r in out.collect()) == [("", "y"), ("l", "x")]
+
+
 def test_trailing_gaps(spark):
     assert reports.trailing_gaps(periods(spark, ("2026-05-01", "2026-05-31"), ("2026-06-10", "2026-06-30")), 60).first()["days"] == 9
     far = periods(spark, ("2026-01-01", "2026-01-31"), ("2026-03-01", "2026-03-31"), ("2026-06-01", "2026-06-30"))
