@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, Scratch
-from .pretokens import pre_tokens
+from .pretokens import byte_pieces, pre_tokens
 from .words import utf8
 
 _CONTROL = re.compile(r"\\|<\||</?s>|\[/?INST\]")
@@ -113,19 +112,12 @@ def _emit(path: str):
     return run
 
 
-@cache
-def _decoder(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 def _read(path: str):
     """What every path of a sequence says, from the sequence alone."""
 
     def run(batches):
-        decoder = _decoder(path)
-        text = lambda ids: decoder.decode(ids.tolist(), skip_special_tokens=False)
+        pieces = byte_pieces(path)
+        text = lambda x: x.tobytes().decode("utf-8", "replace")
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for batch in batches:
             out = []
@@ -134,8 +126,10 @@ def _read(path: str):
                 tokens, loss = (np.asarray(row[n].values.to_numpy(zero_copy_only=False)) for n in ("tokens", "loss"))
                 nodes = sorted(row["nodes"].as_py(), key=lambda n: n["start"])
                 # a node's tokens are decoded once; what a path says are its nodes' texts one after the other
-                spans = [(n["start"], n["end"]) for n in nodes]
-                said, learnt = [text(tokens[a:b]) for a, b in spans], [text(tokens[a:b][loss[a:b]]) for a, b in spans]
+                raw, edge = pieces.gather(tokens)
+                masked, spans = np.repeat(loss, np.diff(edge)), [(n["start"], n["end"]) for n in nodes]
+                said = [text(raw[edge[a] : edge[b]]) for a, b in spans]
+                learnt = [text(raw[edge[a] : edge[b]][masked[edge[a] : edge[b]]]) for a, b in spans]
                 starts, named = [a for a, _ in spans], {n["node"]: n for n in nodes}
                 for leaf in row["leaves"].as_py():
                     node, on_path = named[leaf], []

@@ -146,6 +146,35 @@ class PreTokens:
         return flat, count
 
 
+class PieceBytes:
+    """What each id stands for, as bytes, for decoding whole batches."""
+
+    def __init__(self, table: list[bytes]):
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.size = np.array([len(x) for x in table], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def gather(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids one after the other and where each id's end, from 0 on."""
+        size = self.size[ids]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.repeat(self.start[ids] - edge[:-1], size) + np.arange(edge[-1])], edge
+
+
+@cache
+def byte_pieces(path: str) -> PieceBytes:
+    """Those of a byte-level tokenizer: printable bytes stand for themselves, the others for characters from 256 on, in order."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    added = {i: t.content.encode() for i, t in tokenizer.get_added_tokens_decoder().items()}
+    names = {i: name for name, i in tokenizer.get_vocab().items()}
+    return PieceBytes([added[i] if i in added else bytes(byte_of[c] for c in names.get(i, "")) for i in range(max(names) + 1)])
+
+
 @cache
 def pre_tokens(path: str) -> PreTokens:
     """One for each worker process and file."""

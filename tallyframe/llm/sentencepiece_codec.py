@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .pretokens import PreTokens
+from .pretokens import PieceBytes, PreTokens
 from .words import FIRST, pieces, utf8
 
 _SPACE = "▁"
@@ -168,10 +168,7 @@ class Codec(PreTokens):
         self.tokenizer = self.model.tokenizer(normalised=self.by_unit)
         self.whole = self.model.tokenizer()
         self.original = sentencepiece.SentencePieceProcessor(model_file=path)
-        table = self.model.piece_bytes()
-        self.piece_bytes = np.frombuffer(b"".join(table), np.uint8)
-        self.piece_size = np.array([len(x) for x in table], np.int64)
-        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self.bytes = PieceBytes(self.model.piece_bytes())
         self.differ: set[int] = set()
         self._forget()
 
@@ -247,10 +244,8 @@ class Codec(PreTokens):
 
     def decode_all(self, flat: np.ndarray, count: np.ndarray) -> list[str]:
         """The texts of ``count`` ids each: pieces joined, markers as spaces, bytes as UTF-8, without the marker put in front."""
-        size = self.piece_size[flat]
-        end = np.cumsum(size)
-        raw = self.piece_bytes[np.repeat(self.piece_start[flat] - (end - size), size) + np.arange(end[-1] if len(end) else 0)].tobytes()
-        edge = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])].tolist()
+        raw, at = self.bytes.gather(flat)
+        raw, edge = raw.tobytes(), at[np.concatenate([[0], np.cumsum(count)])].tolist()
         out = []
         for a, b in zip(edge[:-1], edge[1:]):
             a += self.model.dummy_prefix and raw[a : a + 1] == b" " and b > a

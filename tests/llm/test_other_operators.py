@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tallyframe.llm import chat, embedding_dedup, sentencepiece_codec  # noqa: E402
-from tallyframe.llm.pretokens import PreTokens  # noqa: E402
+from tallyframe.llm.pretokens import PreTokens, byte_pieces  # noqa: E402
 from tallyframe.llm.queries import ORACLES, QUERIES, URL_RULES  # noqa: E402
 from tallyframe.llm.url_filter import rule_table, url_filter  # noqa: E402
 from tallyframe.llm.words import utf8  # noqa: E402
@@ -50,6 +50,15 @@ def test_pre_tokens_equal_the_library():
         assert flat[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_bytes_of_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    whole, pieces = Tokenizer.from_file(BPE), byte_pieces(BPE)
+    for text in [*odd_texts(7, list("ab 's\n\t1é²'.,  ½r evlmtd日😀")), "<|endoftext|> hi"]:
+        raw, edge = pieces.gather(np.array(whole.encode(text, add_special_tokens=False).ids, np.int64))
+        assert raw.tobytes().decode() == text and edge[-1] == len(raw)
+
+
 def test_sentencepiece_parity():
     import sentencepiece
 
