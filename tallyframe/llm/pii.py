@@ -207,18 +207,13 @@ def revealing_terms(source: DataFrame, scratch: Scratch, near: int, support: int
     whole = scratch.write(source.mapInArrow(_document_terms(near, _slots(shared.select(F.col("entity").alias("h")))), "id long, tie long, term string, h long, context long"), narrow=False)
     hashed = F.arrow_udf(lambda x: pa.array(_hash(x.to_pylist())), "long")
     close = seen.filter("term is not null").select("entity", "term", "id", "tie", "context")
-    often = close.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
-    # as n_et <= n_e, no term of more documents than this bound reaches the disclosure
+    # as n_et <= n_e, no term of more documents than this bound reaches the disclosure; n_w, its documents among those with an entity, is at most n_t
     bound = F.pow(F.lit(float(total)), F.lit(1 - disclosure)) * F.pow("n_e", F.lit(disclosure)) * (1 + 1e-9)
-    # besides the terms that are often near, only those of two documents of one entity or more can have enough contexts
-    least = min(2, support)
-    most = entities.agg(F.max(bound)).first()[0]
-    several = scratch.write(whole.groupBy("h").agg(F.count("*").alias("n_w")).filter(F.col("n_w").between(least, most)).select("h"))
-    slots = _slots(several.unionByName(often.select("term").distinct().select(hashed("term").alias("h"))))
-    single = scratch.write(source.select("text").mapInArrow(_document_counts(slots), "h long, n long").groupBy("h").agg(F.sum("n").alias("n_t")))
+    least, most = min(2, support), entities.agg(F.max(bound)).first()[0]
+    several = scratch.write(whole.groupBy("h").agg(F.count("*").alias("n_w")).filter(F.col("n_w").between(least, most)))
     held = holds.join(shared, "entity").withColumn("bound", bound)
-    rare = whole.join(several, "h", "left_semi").join(single, "h", "left").join(held.groupBy("id", "tie").agg(F.max("bound").alias("most")), ["id", "tie"]).filter("coalesce(n_t, 1) <= most")
-    far = rare.join(held, ["id", "tie"]).filter("coalesce(n_t, 1) <= bound").select("entity", "term", "id", "tie", "context")
+    rare = whole.join(several, "h").join(held.groupBy("id", "tie").agg(F.max("bound").alias("most")), ["id", "tie"]).filter("n_w <= most")
+    far = rare.join(held, ["id", "tie"]).filter("n_w <= bound").select("entity", "term", "id", "tie", "context")
     far = far.join(close.select("entity", "term", "id", "tie").distinct(), ["entity", "term", "id", "tie"], "left_anti")
     every = scratch.write(close.unionByName(far).distinct())
     contexts = every.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
@@ -227,6 +222,8 @@ def revealing_terms(source: DataFrame, scratch: Scratch, near: int, support: int
         return empty
     joint = every.join(contexts.select("entity", "term"), ["entity", "term"], "left_semi").select("entity", "term", "id", "tie").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     joint = scratch.write(joint.withColumn("h", hashed("term")))
+    # only terms with enough contexts of an entity are counted over all documents
+    single = source.select("text").mapInArrow(_document_counts(_slots(joint.select("h"))), "h long, n long").groupBy("h").agg(F.sum("n").alias("n_t"))
     known = joint.join(single, "h", "left").join(entities, "entity")
     ic, pmi = F.log2(F.lit(float(total)) / F.col("n_e")), F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
     bad = scratch.write(known.filter((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term"))
