@@ -19,6 +19,10 @@ LIMITS = Thresholds()
 SKU, BRAND, SEARCH = "small ring 0", "Brand#2", "ring 1"
 
 
+#: What the report dimension of a session's kept history says; a few numbers each.
+_SCOPES: dict[tuple[str, str], reports.Scope | None] = {}
+
+
 @dataclass
 class Data:
     """What most queries start from."""
@@ -29,7 +33,10 @@ class Data:
     def __post_init__(self) -> None:
         self.history = derived.kept_history(self.spark, self.sf_dir)
         self.reports = reports.dimension(self.history)
-        self.scope = reports.scope(self.history, LIMITS.trailing_days)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _SCOPES:
+            _SCOPES[key] = reports.scope(self.history, LIMITS.trailing_days)
+        self.scope = _SCOPES[key]
 
     @property
     def enriched(self) -> DataFrame:
