@@ -86,6 +86,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import Scratch
+    from .merkle import build, lower_cased_third, proofs
+
+    return proofs(build(_documents(spark, sf_dir), Scratch(spark), lower_cased_third()))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -105,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_chat": op9_chat,
     "op10_packing": op10_packing,
+    "op12_merkle": op12_merkle,
     "op13_bpe": op13_bpe,
 }
 
@@ -192,10 +200,55 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+#: CRC-32 of a column's decimal digits.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, k: xor(a >> 1, 3988292384::BIGINT * (a & 1)))), 4294967295)"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """All nodes ``(g, lvl, p, n, h)`` of trees over rows ``(g, p, n, h)`` and the siblings ``(g, lvl, p, l, r)`` of all but the roots."""
+    return f"""
+{name} AS (
+  SELECT g, 0::BIGINT AS lvl, p, n, h FROM ({leaves})
+  UNION ALL SELECT g, lvl + 1, p // 8, max((n + 7) // 8), sha256(string_agg(h, '' ORDER BY p)) FROM {name} WHERE n > 1 GROUP BY g, lvl, p // 8),
+{name}_sib AS (
+  SELECT a.g, a.lvl, a.p, coalesce(string_agg(CASE WHEN b.p < a.p THEN b.h END, '' ORDER BY b.p), '') AS l, coalesce(string_agg(CASE WHEN b.p > a.p THEN b.h END, '' ORDER BY b.p), '') AS r
+  FROM {name} a JOIN {name} b ON a.g = b.g AND a.lvl = b.lvl AND a.p // 8 = b.p // 8 WHERE a.n > 1 GROUP BY a.g, a.lvl, a.p)"""
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12_SQL = f"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+    CASE WHEN {_CRC32.format("doc_id")} % 3 = 0 THEN sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", _LOWER))}) END AS other
+  FROM documents),
+l0 AS (
+  SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM f),
+{_tree("t", "SELECT g, p, n, leaf AS h FROM l0")},
+{_tree("u", "SELECT 0::BIGINT AS g, g AS p, count(*) OVER () AS n, h FROM t WHERE n = 1")},
+steps AS (
+  SELECT id, lvl AS k, l, r FROM l0 JOIN t_sib s ON s.g = l0.g AND s.p = l0.p // pow(8, s.lvl)::BIGINT
+  UNION ALL SELECT id, 100 + lvl, l, r FROM l0 JOIN u_sib s ON s.p = l0.g // pow(8, s.lvl)::BIGINT),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS i FROM steps),
+fold AS (
+  SELECT id, 0::BIGINT AS i, coalesce(other, leaf) AS h FROM l0
+  UNION ALL SELECT fold.id, fold.i + 1, sha256(l || h || r) FROM fold JOIN numbered s ON s.id = fold.id AND s.i = fold.i + 1),
+proof AS (SELECT id, sha256(string_agg(l || r, '' ORDER BY i)) AS proof FROM numbered GROUP BY id),
+folded AS (SELECT id, arg_max(h, i) AS h FROM fold GROUP BY id)
+SELECT l0.doc_id, l0.leaf, t.h AS subroot, u.h AS root, coalesce(proof, sha256('')) AS proof_sha256, folded.h AS folded_root, folded.h = u.h AS verified
+FROM l0 JOIN t ON t.g = l0.g AND t.n = 1 JOIN u ON u.n = 1 JOIN folded USING (id) LEFT JOIN proof USING (id)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_embedding_dedup": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op8_url_filter": OP8_SQL,
     "op9_chat": OP9_SQL,
+    "op12_merkle": OP12_SQL,
 }
