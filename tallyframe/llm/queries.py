@@ -86,6 +86,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import Scratch
+    from .conversation_trie import trie_digest
+
+    return trie_digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"), Scratch(spark))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import Scratch
     from .merkle import build, lower_cased_third, proofs
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_chat": op9_chat,
     "op10_packing": op10_packing,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_merkle": op12_merkle,
     "op13_bpe": op13_bpe,
 }
@@ -205,6 +213,33 @@ _CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(str
   lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, k: xor(a >> 1, 3988292384::BIGINT * (a & 1)))), 4294967295)"""
 
 
+OP11_SQL = f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32.format("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (
+  SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.base AND i < h
+  UNION ALL SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND i >= h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS d, text, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w AS k FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+  UNION ALL SELECT conv_id, 0, '', '' FROM c),
+n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(length(text)) AS saved FROM p GROUP BY d, k),
+q AS (SELECT p.conv_id, p.d, n.conv_id AS node FROM p JOIN n ON n.d = p.d AND n.k = p.k),
+up AS (SELECT n.conv_id, n.d, q.node AS parent FROM n JOIN q ON q.conv_id = n.conv_id AND q.d = n.d - 1),
+kids AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n_children FROM up GROUP BY ALL),
+own AS (SELECT n.conv_id, n.d, saved, n_children IS NULL AS leaf FROM n LEFT JOIN kids ON kids.conv_id = n.conv_id AND kids.d = n.d),
+sums AS (SELECT q.node AS conv_id, q.d, sum(leaf::BIGINT) AS n_leaves, sum(saved) AS saved_tokens FROM own JOIN q ON q.conv_id = own.conv_id AND q.d <= own.d GROUP BY ALL),
+e AS (
+  SELECT q.node AS conv_id, q.d, string_agg(x.conv_id::VARCHAR, ',' ORDER BY x.conv_id) AS ids
+  FROM (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id) x JOIN q ON q.conv_id = x.conv_id AND q.d = x.d GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, up.parent AS parent_conv_id, n.n_convs, coalesce(kids.n_children, 0) AS n_children, sums.n_leaves::BIGINT AS n_leaves,
+  sums.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM n JOIN sums ON sums.conv_id = n.conv_id AND sums.d = n.d LEFT JOIN up ON up.conv_id = n.conv_id AND up.d = n.d
+LEFT JOIN kids ON kids.conv_id = n.conv_id AND kids.d = n.d LEFT JOIN e ON e.conv_id = n.conv_id AND e.d = n.d
+"""
+
+
 def _field(c: str) -> str:
     return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
 
@@ -250,5 +285,6 @@ ORACLES: dict[str, str] = {
     "op6_jaccard_join": OP6_SQL,
     "op8_url_filter": OP8_SQL,
     "op9_chat": OP9_SQL,
+    "op11_conversation_trie": OP11_SQL,
     "op12_merkle": OP12_SQL,
 }
