@@ -36,7 +36,7 @@ _HELD, _BUCKET = 32_000_000, 16_000_000
 HOT, _HOT_BUCKET, _SALTS = 1 << 22, 64_000_000, 256
 _CODEC = pa.Codec("zstd", compression_level=3)
 _OTHER = Rolling(101)
-_HEAD = np.dtype([("id", "<i8"), ("tie", "<i4"), ("start", "<i4"), ("size", "<i4")])
+_HEAD = np.dtype([("id", "<i8"), ("tie", "<i8"), ("start", "<i4"), ("size", "<i4")])
 
 
 def _zipped(raw: bytes) -> bytes:
@@ -138,7 +138,7 @@ def _weigh(k: int):
     return run
 
 
-_WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("id", "<i8"), ("tie", "<i4"), ("start", "<i4")])
+_WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("start", "<i4")])
 
 
 def _hot_windows(k: int, buckets: int, is_hot):
@@ -176,7 +176,7 @@ def _merge_windows(k: int, last: bool):
         rows = np.concatenate([np.frombuffer(pa.decompress(x[8:], decompressed_size=_WINDOW.itemsize * int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True), _WINDOW) for x in pdf["block"]])
         later = _later(rows["h"], rows["g"], rows["id"], rows["tie"], rows["start"])
         gone = rows[later]
-        out = pd.DataFrame(dict(zip(("id", "tie", "s", "e"), _spans(gone["id"], gone["tie"].astype(np.int64), gone["start"].astype(np.int64), k))), dtype="Int64")
+        out = pd.DataFrame(dict(zip(("id", "tie", "s", "e"), _spans(gone["id"], gone["tie"], gone["start"].astype(np.int64), k))), dtype="Int64")
         if last:
             return out
         rest = rows[~later]
@@ -288,11 +288,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id, or earlier in the same document. Windows are judged on the input. Null, empty and blank texts have no words
     and an empty ``kept``; texts shorter than the window lose nothing. A null id counts as the smallest. Rows of one
     id and one text are one document, so repeated rows leave each other alone; rows of one id and different texts
-    come in the order of a hash of the text. Columns of ``docs`` with the names of the results are replaced.
+    come in the order of a 64-bit hash of the text. Columns of ``docs`` with the names of the results are replaced.
     ``hot`` only decides which way windows travel.
     """
     scratch = Scratch(docs.sparkSession)
-    key = {"_tf_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tf_tie": F.hash(text_col).cast("long")}
+    key = {"_tf_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tf_tie": F.xxhash64(text_col)}
     docs = docs.withColumns(key)
     source = docs.select("_tf_id", "_tf_tie", F.col(text_col).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -195,3 +195,37 @@ def test_bpe_short_and_long_words_agree():
 
 def test_bpe_of_nothing(spark):
     assert bpe_codec.round_trip(spark.createDataFrame([], "doc_id long, text string"), BPE).collect() == []
+
+
+# 4: texts of one id
+
+
+def test_texts_of_one_id_whose_short_hashes_agree_keep_their_own_spans(spark):
+    from tallyframe.llm.substring_dedup import substring_dedup
+
+    passage, own = " ".join(f"p{i}" for i in range(20)), " ".join(f"q{i}" for i in range(42))
+    ids = spark.range(150_000).select(F.col("id").cast("string").alias("id"))
+    one, two = (ids.select(F.concat_ws(" ", F.lit(t), "id").alias(c)).withColumn("h", F.hash(c)) for t, c in ((f"{passage} a", "a"), (f"{own} b", "b")))
+    pair = one.join(two, "h").first()
+    assert pair
+    docs = spark.createDataFrame([(-1, passage), (None, pair["a"]), (None, pair["b"])], "doc_id long, text string")
+    got = {r["text"]: (r["n_removed"], r["kept"]) for r in substring_dedup(docs).collect()}
+    assert got == {pair["a"]: (0, pair["a"]), passage: (20, ""), pair["b"]: (0, pair["b"])}
+
+
+def test_thousands_of_texts_of_one_id(spark):
+    from tallyframe.llm.substring_dedup import substring_dedup
+
+    rng = random.Random(4)
+    passages = [[f"w{p}.{i}" for i in range(25)] for p in range(60)]
+    rows = sorted({" ".join([f"x{i}", *rng.choice(passages), f"y{i % 700}", *rng.choice(passages)]) for i in range(3000)})
+    docs = spark.createDataFrame([(5, t) for t in rows], "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    got = docs.join(substring_dedup(docs.drop("h")).select("text", "kept"), "text").orderBy("h").collect()
+    seen: dict[tuple, tuple] = {}
+    for n, r in enumerate(got):
+        w = r["text"].split()
+        keep = [True] * len(w)
+        for i in range(len(w) - 19):
+            if seen.setdefault(tuple(w[i : i + 20]), (n, i)) != (n, i):
+                keep[i : i + 20] = [False] * 20
+        assert r["kept"] == " ".join(x for x, k in zip(w, keep) if k)
