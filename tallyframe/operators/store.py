@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from datetime import date
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +18,18 @@ from .reports import dimension
 def live_reports(log: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Imports that no later import overlaps and no later removal names; the newest wins, within each store if there are ``keys``.
 
-    The log has one row for each import or removal, so the range join is on a small table.
+    Periods overlap exactly where they share a day, so each day keeps the newest import that covers it, and an import that isn't the newest on
+    all of its days is superseded. That grows with the days covered, not with pairs of imports.
     """
-    later = log.select(*[F.col(k).alias(f"{k}_later") for k in keys], F.col("seq").alias("s"), F.col("event").alias("e"), F.col("period_start").alias("a"), F.col("period_end").alias("b"))
-    overlap = (F.col("s") > F.col("seq")) & (F.col("e") == "import") & (F.col("a") <= F.col("period_end")) & (F.col("b") >= F.col("period_start"))
-    removed = (F.col("s") > F.col("seq")) & (F.col("e") == "remove") & (F.col("a") == F.col("period_start")) & (F.col("b") == F.col("period_end"))
-    supersedes = overlap | removed
-    for k in keys:
-        supersedes = supersedes & F.col(k).eqNullSafe(F.col(f"{k}_later"))
-    return log.filter("event = 'import'").join(later, supersedes, "left_anti").drop("event")
+    imports = log.filter("event = 'import'").drop("event")
+    store = F.struct(*[F.col(k) for k in keys], F.lit(0)).alias("_store")  # null keys are a store too
+    days = imports.filter("period_start <= period_end").select(store, "seq", F.explode(F.sequence("period_start", "period_end")).alias("_day"))
+    newest = days.groupBy("_store", "_day").agg(F.max("seq").alias("_newest"))
+    old = days.join(newest, ["_store", "_day"]).filter(F.col("_newest") > F.col("seq"))
+    removed = log.filter("event = 'remove'").groupBy(store, "period_start", "period_end").agg(F.max("seq").alias("_removed"))
+    gone = imports.select(store, "seq", "period_start", "period_end").join(removed, ["_store", "period_start", "period_end"]).filter(F.col("_removed") > F.col("seq"))
+    over = old.select("_store", "seq").unionByName(gone.select("_store", "seq"))
+    return imports.withColumn("_store", store).join(over, ["_store", "seq"], "left_anti").select(*imports.columns)
 
 
 def overlaps(live: DataFrame, period_start: str, period_end: str) -> DataFrame:
@@ -164,48 +170,67 @@ def candidate_files(files: DataFrame) -> DataFrame:
     return files.filter(F.lower("path").rlike(r"\.xlsx?$") & ~hidden).orderBy("path")
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Files of one store in path order, each seeing what the ones before it did.
+@dataclass
+class Ledger:
+    """What one store knows of its files and reports: each file's size, time and report, and each live report's period.
 
-    The ledger has each file's size and time and the report it stands for; reports are known by number, as one of the same period
-    may be another one.
+    Reports are known by number, as one of the same period may be another one.
     """
-    pdf = pdf.sort_values(["batch", "path"], kind="stable")
-    ledger: dict[str, tuple] = {}
-    live: dict[int, tuple] = {}
-    out, number = [], 0
-    for f in pdf.itertuples():
-        key, seen = (f.size, f.mtime), ledger.get(f.path)
-        if seen and seen[0] == key:
-            out.append("unchanged")
-            continue
-        held = seen[1] if seen else None
-        if f.failed or pd.isna(f.period_start) or pd.isna(f.period_end) or f.n_rows == 0:
-            out.append("error")
-            ledger[f.path] = (key, None)
-            continue
-        period = (f.period_start, f.period_end)
-        meets = [n for n, p in live.items() if p[0] <= period[1] and p[1] >= period[0]]
-        same = next((n for n in meets if live[n] == period), None)
-        if held in live and held not in meets:
-            out.append("filename_reused")
-            ledger[f.path] = (key, held)
-        elif same is not None and same != held:
-            out.append("duplicate_period")
-            ledger[f.path] = (key, same)
-        else:
-            number += 1
-            for n in meets:
-                del live[n]
-                for path in [p for p, (_, at) in ledger.items() if at == n]:
-                    if n == same:
-                        ledger[path] = (ledger[path][0], None)
-                    else:
-                        del ledger[path]
-            live[number] = period
-            ledger[f.path] = (key, number)
-            out.append("imported")
-    return pd.DataFrame({"store": pdf["store"], "batch": pdf["batch"], "path": pdf["path"], "status": out})
+
+    files: dict[str, tuple[int, int, int | None]] = field(default_factory=dict)
+    live: dict[int, tuple[date, date]] = field(default_factory=dict)
+    number: int = 0
+
+    def take(self, path: str, size: int, mtime: int, failed: bool, n_rows: int, start: date | None, end: date | None) -> tuple[str, int | None, list[int], list[str]]:
+        """A file's status, its report's number, reports that it replaces, and files that are forgotten with them."""
+        seen = self.files.get(path)
+        if seen and seen[:2] == (size, mtime):
+            return "unchanged", None, [], []
+        held = seen[2] if seen else None
+        if failed or start is None or end is None or not n_rows:
+            self.files[path] = (size, mtime, None)
+            return "error", None, [], []
+        meets = [n for n, p in self.live.items() if p[0] <= end and p[1] >= start]
+        same = next((n for n in meets if self.live[n] == (start, end)), None)
+        if held in self.live and held not in meets:
+            self.files[path] = (size, mtime, held)
+            return "filename_reused", None, [], []
+        if same is not None and same != held:
+            self.files[path] = (size, mtime, same)
+            return "duplicate_period", None, [], []
+        forgot = self._drop([n for n in meets if n != same])
+        if same is not None:
+            del self.live[same]
+            self.files |= {p: (*f[:2], None) for p, f in self.files.items() if f[2] == same}
+        self.number += 1
+        self.live[self.number] = (start, end)
+        self.files[path] = (size, mtime, self.number)
+        return "imported", self.number, meets, [p for p in forgot if p != path]
+
+    def remove(self, start: date | None, end: date | None) -> tuple[str, int | None, list[int], list[str]]:
+        """Removes the live report of exactly this period, if there is one, and forgets its files, so that they come again."""
+        gone = [n for n, p in self.live.items() if p == (start, end)]
+        return ("removed" if gone else "not_found"), None, gone, self._drop(gone)
+
+    def _drop(self, gone: list[int]) -> list[str]:
+        forgot = [p for p, f in self.files.items() if f[2] in gone]
+        for p in forgot:
+            del self.files[p]
+        for n in gone:
+            del self.live[n]
+        return forgot
+
+
+def day(x) -> date | None:
+    """A date of a pandas frame."""
+    return None if pd.isna(x) else x
+
+
+def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Files of one store in path order, each seeing what the ones before it did."""
+    pdf, ledger = pdf.sort_values(["batch", "path"], kind="stable"), Ledger()
+    status = [ledger.take(f.path, f.size, f.mtime, f.failed, f.n_rows, day(f.period_start), day(f.period_end))[0] for f in pdf.itertuples()]
+    return pd.DataFrame({"store": pdf["store"], "batch": pdf["batch"], "path": pdf["path"], "status": status})
 
 
 def classify_files(files: DataFrame) -> DataFrame:

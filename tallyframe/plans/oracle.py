@@ -106,6 +106,18 @@ ledger AS (
   UNION ALL SELECT seq + 5000, filename, 'imported', period_end + 9 FROM log WHERE event = 'import' AND seq % 14 = 0),
 ledger1 AS (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY filename ORDER BY checked_at DESC, seq DESC) = 1)"""
 
+# What is live after two scans: every fifth sheet shrunk, June 2000 replaced by a part of it, May 1997 removed (unless its changed sheet came again).
+_SYNCED_BASE = _BASE.replace("\nh AS (", "\nh_all AS (", 1).replace(
+    "\ndim AS (",
+    """
+h AS (
+  SELECT * FROM h_all WHERE (report_id % 5 <> 0 OR length(sku) % 2 = 0) AND NOT (period_start = DATE '1997-05-01' AND report_id % 5 <> 0) AND period_start <> DATE '2000-06-01'
+  UNION ALL SELECT * REPLACE (1000 AS report_id, DATE '2000-06-10' AS period_start, DATE '2000-06-20' AS period_end, 11 AS period_days) FROM h_all
+    WHERE period_start = DATE '2000-06-01' AND length(sku) % 3 = 0),
+dim AS (""",
+    1,
+)
+
 _NUM = "opening_stock, purchase, purchase_free, other_receipt, sales, sales_free, other_issue, closing_stock, value::DOUBLE AS value"
 _ISSUES = """,
 gap AS (SELECT *, opening_stock + purchase + purchase_free + other_receipt - sales - sales_free - other_issue - closing_stock AS gap FROM h),
@@ -223,6 +235,10 @@ ORACLES: dict[str, str] = {
     "export_lists": _sql(f"SELECT status AS list, {_LIST} FROM en WHERE status IN ('out_of_stock', 'low_stock', 'dead_stock', 'overstock')", _E),
     "export_summary": _sql(f"SELECT f.position, f.status, count(en.sku) AS sku_count, coalesce(sum(value), 0)::DECIMAL(38,2) AS total_value FROM {_FIXED_STATUS} LEFT JOIN en USING (status) GROUP BY 1, 2", _E),
     "json_edge": _sql("SELECT sku, brand, round(closing_stock)::BIGINT AS closing_stock, round(value::DOUBLE, 2) AS value, round(trailing_sales)::BIGINT AS trailing_sales, round(days_of_cover, 1) AS days_of_cover, status FROM en", _E),
+    "sync_history": "WITH " + _SYNCED_BASE.strip() + " SELECT 'main' AS store, period_start, period_end, brand, sku, opening_stock, purchase, purchase_free, other_receipt, sales, sales_free, other_issue, closing_stock, value FROM h",
+    "sync_status_rollup": "WITH " + _SYNCED_BASE.strip() + _E + f" SELECT f.position, f.status, count(en.sku) AS sku_count, coalesce(sum(value), 0)::DECIMAL(38,2) AS total_value FROM {_FIXED_STATUS} LEFT JOIN en USING (status) GROUP BY 1, 2",
+    "sync_decisions": _sql("""SELECT 1 AS scan, 'file' AS event, 'imported' AS status, count(*) AS events, 0::BIGINT AS gone FROM dim
+UNION ALL SELECT 2, 'remove', 'removed', 1, 1 UNION ALL SELECT 2, 'file', 'imported', 1 + count(*) FILTER (report_id % 5 = 0), 1 + count(*) FILTER (report_id % 5 = 0 AND period_start <> DATE '1997-05-01') FROM dim"""),
     "stream_ingest": _sql(f"SELECT {_ROWS}, sku, brand, {_NUM}, company, location, period_start, period_end, period_days FROM h"),
     "stream_last_activity": _sql("SELECT sku, max(CASE WHEN purchase > 0 THEN period_end END) AS last_purchase, max(CASE WHEN sales > 0 OR sales_free > 0 THEN period_end END) AS last_sale FROM h GROUP BY 1"),
 }

@@ -12,7 +12,7 @@ from ..functions.expressions import finite
 from ..operators import diagnostics, enriched, health, ingest, lookup, reports, rollups, segments, store
 from ..sources import derived, files
 from ..sources.scratch import scratch_folder
-from ..streaming import jobs
+from ..streaming import jobs, sync
 from ..thresholds import Thresholds
 
 LIMITS = Thresholds()
@@ -114,6 +114,21 @@ def _stream_activity(d: Data) -> DataFrame:
     return jobs.latest_activity(d.spark, f"{folder}/changes")
 
 
+def _synced(d: Data) -> DataFrame:
+    return sync.live_history(d.spark, derived.synced(d.spark, d.sf_dir))
+
+
+def _synced_status(d: Data) -> DataFrame:
+    """The status roll-up over what is live after replacements and a removal."""
+    history = _synced(d)
+    return rollups.status_rollup(enriched.enriched(history, reports.scope(history, LIMITS.trailing_days), LIMITS))
+
+
+def _sync_decisions(d: Data) -> DataFrame:
+    made = sync.decisions(d.spark, derived.synced(d.spark, d.sf_dir))
+    return made.groupBy("scan", "event", "status").agg(F.count("*").alias("events"), F.sum(F.size("gone")).cast("long").alias("gone"))
+
+
 def _incremental(d: Data) -> DataFrame:
     known = d.history.filter("report_id % 3 <> 0")
     both = store.incremental(known, d.history)
@@ -263,6 +278,9 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "export_lists": _exported,
     "export_summary": _exported_summary,
     "folder_classify": lambda d: store.classify_files(_files(d)),
+    "sync_history": lambda d: _synced(d).drop("report_id", "period_days", "company", "location"),
+    "sync_status_rollup": _synced_status,
+    "sync_decisions": _sync_decisions,
     "stream_ingest": _stream_ingest,
     "stream_last_activity": _stream_activity,
 }
