@@ -24,7 +24,8 @@ def current_snapshot(history: DataFrame, scope: Scope) -> DataFrame:
     return history.filter(F.col("report_id") == scope.latest_id).select("brand", "sku", "closing_stock", "value")
 
 
-def _pace() -> list:
+def pace() -> list:
+    """Opening stock and movements of the rows that are ``trailing``."""
     total = lambda c: F.sum(F.when(F.col("trailing"), c)).alias
     order = F.when(F.col("trailing"), F.struct("period_end", "period_start"))
     return [
@@ -47,7 +48,7 @@ def _activity(since) -> list:
 def trailing_totals(history: DataFrame, scope: Scope) -> DataFrame:
     """Opening stock and movements of every SKU within the trailing window."""
     rows = history.filter(F.col("report_id").isin(*scope.trailing_ids)).withColumn("trailing", F.lit(True))
-    return rows.groupBy("sku").agg(*_pace())
+    return rows.groupBy("sku").agg(*pace())
 
 
 def _aged(rows: DataFrame, scope: Scope, limits: Thresholds) -> DataFrame:
@@ -70,7 +71,7 @@ def enriched(history: DataFrame, scope: Scope, limits: Thresholds) -> DataFrame:
     since = cutoff(scope, limits)
     trailing = F.col("report_id").isin(*scope.trailing_ids)
     rows = history.withColumn("trailing", trailing).filter(F.col("trailing") | (F.col("period_end") >= F.lit(since)))
-    facts = rows.groupBy("sku").agg(*_pace(), *_activity(since))
+    facts = rows.groupBy("sku").agg(*pace(), *_activity(since))
     out = current_snapshot(history, scope).join(facts, "sku", "left")
     out = out.fillna(0.0, ["trailing_opening", "trailing_purchase", "trailing_sales", "trailing_sales_free", "trailing_other_issue"])
     out = _aged(out, scope, limits)

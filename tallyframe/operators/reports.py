@@ -66,7 +66,8 @@ def scope(history: DataFrame, target: int) -> Scope | None:
 def per_store(history: DataFrame, build: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ("company", "location")) -> DataFrame:
     """What ``build`` makes of each store's history, with the store's ``keys`` before its columns.
 
-    For some tens of stores: their keys are collected, and the plan has a branch for each. Null keys are a store too.
+    For some tens of stores and results that ``stores`` has no keyed form of: their keys are collected, and the plan has a branch for each. Null keys are
+    a store too.
     """
     out = None
     for store in history.select(*keys).distinct().orderBy(*keys).collect():

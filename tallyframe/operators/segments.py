@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,14 +31,18 @@ POLICIES = {
 }
 
 
+def bucket() -> Column:
+    """A number that falls with the value, and the same for close values."""
+    return F.when(F.col("value") > 0, F.floor(F.log2(F.col("value").cast("double")) * 8).cast("int")).otherwise(F.lit(-(2**20)))
+
+
 def value_tiers(enriched: DataFrame, limits: Thresholds) -> DataFrame:
     """``sku, value, tier`` of stocked SKUs: A and B while the share before a SKU is below the cutoffs, else C.
 
     SKUs come by value descending and then name; if the total is not positive all are C.
     """
     stocked = enriched.filter("closing_stock > 0").select("sku", "value")
-    bucket = F.when(F.col("value") > 0, F.floor(F.log2(F.col("value").cast("double")) * 8).cast("int")).otherwise(F.lit(-(2**20)))
-    stocked = stocked.withColumn("bucket", bucket)
+    stocked = stocked.withColumn("bucket", bucket())
     totals = {r["bucket"]: r["s"] for r in stocked.groupBy("bucket").agg(F.sum("value").cast(MONEY).alias("s")).collect()}
     above, before = Decimal(0), []
     for b in sorted(totals, reverse=True):

@@ -118,6 +118,53 @@ dim AS (""",
     1,
 )
 
+# The history dealt to fifty stores and the enriched SKUs of each, "location" naming a store.
+_STORES = """,
+st AS (
+  SELECT * EXCLUDE (s, company, location), CASE WHEN s % 7 <> 0 THEN company END AS company, 'Store ' || s AS location
+  FROM (SELECT *, regexp_extract(sku, '[0-9]+')::BIGINT % 50 AS s FROM h) WHERE report_id <= (SELECT max(report_id) FROM dim) - s % 3),
+sdim AS (SELECT DISTINCT company, location, report_id, period_start, period_end, period_days FROM st),
+swin AS (
+  SELECT *, coalesce(sum(period_days) OVER (PARTITION BY location ORDER BY period_end DESC, period_start DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS days_before FROM sdim),
+ssc AS (
+  SELECT location, any_value(company) AS company, arg_max(report_id, (period_end, period_start)) AS latest_id, max(period_end) AS latest_end, arg_min(period_start, (period_end, period_start)) AS first_start,
+    sum(CASE WHEN days_before < 90 THEN period_days END)::BIGINT AS trailing_days, max(period_end) - 750 AS since, count(*) AS reports FROM swin GROUP BY location),
+space AS (
+  SELECT st.location, sku, arg_min(opening_stock, (st.period_end, st.period_start)) AS trailing_opening, sum(purchase + purchase_free + other_receipt) AS trailing_purchase,
+    sum(sales) AS trailing_sales, sum(sales_free) AS trailing_sales_free, sum(other_issue) AS trailing_other_issue
+  FROM st JOIN swin USING (location, report_id) WHERE days_before < 90 GROUP BY ALL),
+sact AS (
+  SELECT location, sku, max(CASE WHEN purchase > 0 THEN period_end END) AS lp, max(CASE WHEN sales > 0 OR sales_free > 0 THEN period_end END) AS ls
+  FROM st JOIN ssc USING (location) WHERE period_end >= since GROUP BY ALL),
+sen0 AS (
+  SELECT ssc.company, location, st.sku, brand, closing_stock, value, coalesce(trailing_opening, 0) AS trailing_opening, coalesce(trailing_purchase, 0) AS trailing_purchase,
+    coalesce(trailing_sales, 0) AS trailing_sales, coalesce(trailing_sales_free, 0) AS trailing_sales_free, coalesce(trailing_other_issue, 0) AS trailing_other_issue,
+    coalesce(greatest(lp, ls), greatest(since, first_start)) AS last_activity, latest_end, trailing_days
+  FROM st JOIN ssc USING (location) LEFT JOIN space USING (location, sku) LEFT JOIN sact USING (location, sku) WHERE report_id = latest_id),
+sen1 AS (
+  SELECT *, (trailing_sales + trailing_sales_free) / trailing_days::DOUBLE AS daily_demand, date_diff('day', last_activity, latest_end) AS days_since_activity,
+    trailing_sales + trailing_sales_free = 0 AND trailing_other_issue > 0 AS is_returned FROM sen0),
+sen2 AS (SELECT *, CASE WHEN daily_demand > 0 THEN closing_stock / daily_demand END AS days_of_cover, days_since_activity >= 90 AS is_dead FROM sen1),
+sen AS (
+  SELECT company, location, sku, brand, closing_stock, value, trailing_opening, trailing_purchase, trailing_sales, trailing_sales_free, trailing_other_issue, daily_demand, days_of_cover,
+    last_activity, days_since_activity, is_dead, is_returned,
+    CASE WHEN closing_stock <= 0 THEN CASE WHEN is_returned THEN 'returned' ELSE 'out_of_stock' END WHEN is_dead THEN 'dead_stock'
+      WHEN days_of_cover < 15 THEN 'low_stock' WHEN days_of_cover IS NULL OR days_of_cover > 90 THEN 'overstock' ELSE 'healthy' END AS status
+  FROM sen2),
+sowners AS (SELECT DISTINCT company, location FROM sen),
+stiers AS (
+  SELECT company, location, sku, value, CASE WHEN total <= 0 THEN 'C' WHEN before * 100 < total * 70 THEN 'A' WHEN before * 100 < total * 90 THEN 'B' ELSE 'C' END AS tier
+  FROM (SELECT *, sum(value) OVER (PARTITION BY location) AS total, coalesce(sum(value) OVER (PARTITION BY location ORDER BY value DESC, sku ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM sen WHERE closing_stock > 0)),
+sseg AS (
+  SELECT company, location, value, tier || '-' || movement AS segment FROM (
+    SELECT sen.company, location, sen.value, tier,
+      CASE status WHEN 'dead_stock' THEN 'non_moving' WHEN 'overstock' THEN 'slow' WHEN 'low_stock' THEN 'fast' WHEN 'healthy' THEN 'fast' END AS movement
+    FROM sen JOIN stiers USING (location, sku)) WHERE movement IS NOT NULL),
+sbrands AS (
+  SELECT company, location, brand, total_value, row_number() OVER (PARTITION BY location ORDER BY total_value DESC, brand) AS n
+  FROM (SELECT company, location, brand, sum(value)::DECIMAL(38,2) AS total_value FROM sen WHERE brand IS NOT NULL GROUP BY ALL))"""
+
 _NUM = "opening_stock, purchase, purchase_free, other_receipt, sales, sales_free, other_issue, closing_stock, value::DOUBLE AS value"
 _ISSUES = """,
 gap AS (SELECT *, opening_stock + purchase + purchase_free + other_receipt - sales - sales_free - other_issue - closing_stock AS gap FROM h),
@@ -235,6 +282,18 @@ ORACLES: dict[str, str] = {
     "export_lists": _sql(f"SELECT status AS list, {_LIST} FROM en WHERE status IN ('out_of_stock', 'low_stock', 'dead_stock', 'overstock')", _E),
     "export_summary": _sql(f"SELECT f.position, f.status, count(en.sku) AS sku_count, coalesce(sum(value), 0)::DECIMAL(38,2) AS total_value FROM {_FIXED_STATUS} LEFT JOIN en USING (status) GROUP BY 1, 2", _E),
     "json_edge": _sql("SELECT sku, brand, round(closing_stock)::BIGINT AS closing_stock, round(value::DOUBLE, 2) AS value, round(trailing_sales)::BIGINT AS trailing_sales, round(days_of_cover, 1) AS days_of_cover, status FROM en", _E),
+    "store_history_meta": _sql("SELECT company, location, first_start AS earliest_period_start, latest_end AS latest_period_end, reports AS report_count, trailing_days FROM ssc", _STORES),
+    "store_enriched_skus": _sql("SELECT * FROM sen", _STORES),
+    "store_status_rollup": _sql(f"SELECT o.company, o.location, f.position, f.status, count(sen.sku) AS sku_count, coalesce(sum(value), 0)::DECIMAL(38,2) AS total_value FROM sowners o CROSS JOIN {_FIXED_STATUS} LEFT JOIN sen ON sen.location = o.location AND sen.status = f.status GROUP BY ALL", _STORES),
+    "store_kpis": _sql("SELECT company, location, count(*) AS sku_count, count(DISTINCT brand) AS brand_count, sum(value)::DECIMAL(38,2) AS total_value, sum(closing_stock) AS total_closing FROM sen GROUP BY ALL", _STORES),
+    "store_top_brands": _sql("SELECT company, location, brand, total_value FROM sbrands WHERE n <= 10", _STORES),
+    "store_top_skus": _sql("SELECT company, location, sku, brand, closing_stock, value, trailing_sales FROM sen QUALIFY row_number() OVER (PARTITION BY location ORDER BY value DESC, sku) <= 15", _STORES),
+    "store_list_dead_stock": _sql(f"SELECT company, location, {_LIST}, days_since_activity FROM sen WHERE status = 'dead_stock'", _STORES),
+    "store_dead_aging": _sql("SELECT o.company, o.location, f.position, f.bucket, count(sen.sku) AS sku_count, coalesce(sum(value), 0)::DECIMAL(38,2) AS total_value FROM sowners o CROSS JOIN (VALUES (0, '90-179', 90, 180), (1, '180-364', 180, 365), (2, '365-729', 365, 730), (3, '730+', 730, 1000000)) AS f(position, bucket, lo, hi) LEFT JOIN sen ON sen.location = o.location AND status = 'dead_stock' AND days_since_activity >= lo AND days_since_activity < hi GROUP BY ALL", _STORES),
+    "store_value_tiers": _sql("SELECT * FROM stiers", _STORES),
+    "store_segment_summary": _sql(f"SELECT o.company, o.location, f.position, f.segment, f.policy, count(sseg.segment) AS sku_count, coalesce(sum(value), 0)::DECIMAL(38,2) AS total_value FROM (SELECT DISTINCT company, location FROM sseg) o CROSS JOIN {_POLICY} LEFT JOIN sseg ON sseg.location = o.location AND sseg.segment = f.segment GROUP BY ALL", _STORES),
+    "store_trend": _sql(f"SELECT company, location, report_id, period_start, period_end, {_LABEL} AS label, sum(value)::DECIMAL(38,2) AS total_value, sum(sales) AS total_sales FROM st GROUP BY ALL", _STORES),
+    "store_trend_top_brands": _sql("SELECT b.company, b.location, b.brand, d.report_id, coalesce(sum(sales), 0) AS total_sales FROM sbrands b JOIN sdim d USING (location) LEFT JOIN st ON st.location = b.location AND st.brand = b.brand AND st.report_id = d.report_id WHERE n <= 5 GROUP BY ALL", _STORES),
     "sync_history": "WITH " + _SYNCED_BASE.strip() + " SELECT 'main' AS store, period_start, period_end, brand, sku, opening_stock, purchase, purchase_free, other_receipt, sales, sales_free, other_issue, closing_stock, value FROM h",
     "sync_status_rollup": "WITH " + _SYNCED_BASE.strip() + _E + f" SELECT f.position, f.status, count(en.sku) AS sku_count, coalesce(sum(value), 0)::DECIMAL(38,2) AS total_value FROM {_FIXED_STATUS} LEFT JOIN en USING (status) GROUP BY 1, 2",
     "sync_decisions": _sql("""SELECT 1 AS scan, 'file' AS event, 'imported' AS status, count(*) AS events, 0::BIGINT AS gone FROM dim

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import finite
-from ..operators import diagnostics, enriched, health, ingest, lookup, reports, rollups, segments, store
+from ..operators import diagnostics, enriched, health, ingest, lookup, reports, rollups, segments, store, stores
 from ..sources import derived, files
 from ..sources.scratch import scratch_folder
 from ..streaming import jobs, sync
@@ -114,6 +114,17 @@ def _stream_activity(d: Data) -> DataFrame:
     return jobs.latest_activity(d.spark, f"{folder}/changes")
 
 
+def _stores(d: Data) -> DataFrame:
+    """The history dealt to fifty stores, a seventh of them without a company, whose last reports differ."""
+    number = F.regexp_extract("sku", "([0-9]+)", 1).cast("long") % 50
+    rows = d.history.withColumn("_n", number).filter(F.col("report_id") <= max(d.scope.latest_id, 1) - F.col("_n") % 3)
+    return rows.withColumns({"company": F.when(F.col("_n") % 7 != 0, F.col("company")), "location": F.concat(F.lit("Store "), F.col("_n").cast("string"))}).drop("_n")
+
+
+def _of_stores(build: Callable[[DataFrame], DataFrame]) -> Callable[[Data], DataFrame]:
+    return lambda d: build(stores.enriched(_stores(d), LIMITS))
+
+
 def _synced(d: Data) -> DataFrame:
     return sync.live_history(d.spark, derived.synced(d.spark, d.sf_dir))
 
@@ -278,6 +289,18 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "export_lists": _exported,
     "export_summary": _exported_summary,
     "folder_classify": lambda d: store.classify_files(_files(d)),
+    "store_history_meta": lambda d: stores.history_meta(stores.dimension(_stores(d)), LIMITS),
+    "store_enriched_skus": _of_stores(_edge),
+    "store_status_rollup": _of_stores(stores.status_rollup),
+    "store_kpis": _of_stores(stores.kpis),
+    "store_top_brands": _of_stores(stores.top_brands),
+    "store_top_skus": _of_stores(lambda rows: stores.top_skus(rows, "value")),
+    "store_list_dead_stock": _of_stores(lambda rows: _edge(stores.action_list(rows, "dead_stock"))),
+    "store_dead_aging": _of_stores(stores.dead_aging),
+    "store_value_tiers": _of_stores(lambda rows: stores.value_tiers(rows, LIMITS)),
+    "store_segment_summary": _of_stores(lambda rows: stores.segment_summary(stores.value_segments(rows, LIMITS))),
+    "store_trend": lambda d: stores.trend(_stores(d)),
+    "store_trend_top_brands": lambda d: stores.trend_top_brands(_stores(d), stores.enriched(_stores(d), LIMITS)),
     "sync_history": lambda d: _synced(d).drop("report_id", "period_days", "company", "location"),
     "sync_status_rollup": _synced_status,
     "sync_decisions": _sync_decisions,
