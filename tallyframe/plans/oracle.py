@@ -264,6 +264,7 @@ ORACLES: dict[str, str] = {
     "catalog_rollback": _sql("SELECT * FROM ren WHERE seq <= 5", _C),
     "duplicate_codes": _sql("SELECT code, count(*) AS times FROM cat WHERE v = 2 OR substr(code, 2)::BIGINT % 13 = 3 GROUP BY 1 HAVING count(*) > 1", _C),
     "catalog_upload": _sql("SELECT CASE v WHEN 2 THEN 'clean' ELSE 'repeated' END AS upload, code, product_name FROM cat", _C),
+    "catalog_restore": _sql("SELECT 'uploaded' AS step, 'item' AS kind, code, product_name AS name FROM cat WHERE v = 2 UNION ALL SELECT 'uploaded', 'rename', code, new_name FROM ren UNION ALL SELECT 'rolled back', 'item', code, product_name FROM cat WHERE v = 1", _C),
     "catalog_snapshot": _sql("SELECT code, brand, product_name, long_name, mrp FROM cat WHERE v = 1", _C),
     "catalog_meta": _sql("SELECT DATE '2026-08-02' AS imported_at, count(*) AS item_count FROM cat WHERE v = 2", _C),
     "import_health": _sql(_HEALTH, _L, _C, _ISSUES),
@@ -296,6 +297,7 @@ ORACLES: dict[str, str] = {
     "store_trend_top_brands": _sql("SELECT b.company, b.location, b.brand, d.report_id, coalesce(sum(sales), 0) AS total_sales FROM sbrands b JOIN sdim d USING (location) LEFT JOIN st ON st.location = b.location AND st.brand = b.brand AND st.report_id = d.report_id WHERE n <= 5 GROUP BY ALL", _STORES),
     "sync_history": "WITH " + _SYNCED_BASE.strip() + " SELECT 'main' AS store, period_start, period_end, brand, sku, opening_stock, purchase, purchase_free, other_receipt, sales, sales_free, other_issue, closing_stock, value FROM h",
     "sync_status_rollup": "WITH " + _SYNCED_BASE.strip() + _E + f" SELECT f.position, f.status, count(en.sku) AS sku_count, coalesce(sum(value), 0)::DECIMAL(38,2) AS total_value FROM {_FIXED_STATUS} LEFT JOIN en USING (status) GROUP BY 1, 2",
+    "sync_last_activity": "WITH " + _SYNCED_BASE.strip() + " SELECT * FROM (SELECT 'main' AS store, sku, max(CASE WHEN purchase > 0 THEN period_end END) AS last_purchase, max(CASE WHEN sales > 0 OR sales_free > 0 THEN period_end END) AS last_sale FROM h GROUP BY 2) WHERE last_purchase IS NOT NULL OR last_sale IS NOT NULL",
     "sync_decisions": _sql("""SELECT 1 AS scan, 'file' AS event, 'imported' AS status, count(*) AS events, 0::BIGINT AS gone FROM dim
 UNION ALL SELECT 2, 'remove', 'removed', 1, 1 UNION ALL SELECT 2, 'file', 'imported', 1 + count(*) FILTER (report_id % 5 = 0), 1 + count(*) FILTER (report_id % 5 = 0 AND period_start <> DATE '1997-05-01') FROM dim"""),
     "stream_ingest": _sql(f"SELECT {_ROWS}, sku, brand, {_NUM}, company, location, period_start, period_end, period_days FROM h"),

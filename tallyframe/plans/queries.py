@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import finite
 from ..operators import diagnostics, enriched, health, ingest, lookup, reports, rollups, segments, store, stores
-from ..sources import derived, files
+from ..sources import catalogs, derived, files
 from ..sources.scratch import scratch_folder
-from ..streaming import jobs, sync
+from ..streaming import activity, jobs, sync
 from ..thresholds import Thresholds
 
 LIMITS = Thresholds()
@@ -135,6 +135,13 @@ def _synced_status(d: Data) -> DataFrame:
     return rollups.status_rollup(enriched.enriched(history, reports.scope(history, LIMITS.trailing_days), LIMITS))
 
 
+def _synced_activity(d: Data) -> DataFrame:
+    """Last activity from the state store, after replacements and a removal."""
+    home = derived.synced(d.spark, d.sf_dir)
+    activity.activity_stream(d.spark, home).awaitTermination()
+    return activity.last_activity(d.spark, home)
+
+
 def _sync_decisions(d: Data) -> DataFrame:
     made = sync.decisions(d.spark, derived.synced(d.spark, d.sf_dir))
     return made.groupBy("scan", "event", "status").agg(F.count("*").alias("events"), F.sum(F.size("gone")).cast("long").alias("gone"))
@@ -177,6 +184,18 @@ def _uploads(d: Data) -> DataFrame:
     return after("clean", new).unionByName(after("repeated", _upload_repeated(d)))
 
 
+def _rolled_back(d: Data) -> DataFrame:
+    """The catalog and its renames after two uploads, and again after the second is rolled back."""
+    home = scratch_folder(d.spark)
+    for version in (1, 2):
+        catalogs.upload(d.spark, home, derived.catalog(d.spark, d.sf_dir, version))
+    name = lambda rows, kind, step: rows.select(F.lit(step).alias("step"), F.lit(kind).alias("kind"), "code", F.col("product_name" if kind == "item" else "new_name").alias("name"))
+    both = lambda step: name(catalogs.items(d.spark, home), "item", step).unionByName(name(catalogs.renames(d.spark, home), "rename", step))
+    uploaded = both("uploaded")
+    catalogs.rollback(d.spark, home)
+    return uploaded.unionByName(both("rolled back"))
+
+
 def _imports(d: Data) -> DataFrame:
     """Every report of the log for each of some stores, then again with and without leave to replace it, with faulty files between."""
     log = d.log.filter("event = 'import'").select((F.col("seq") * 3).cast("long").alias("seq"), "period_start", "period_end")
@@ -269,6 +288,7 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "catalog_rollback": lambda d: store.rollback(d.renames, 5),
     "duplicate_codes": lambda d: store.duplicate_codes(_upload_repeated(d)),
     "catalog_upload": _uploads,
+    "catalog_restore": _rolled_back,
     "catalog_snapshot": lambda d: store.snapshot(d.versions, 1).drop("imported_at"),
     "catalog_meta": lambda d: store.catalog_meta(d.versions.filter("version = 2")),
     "import_guards": lambda d: store.judge_imports(_imports(d)),
@@ -304,6 +324,7 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "sync_history": lambda d: _synced(d).drop("report_id", "period_days", "company", "location"),
     "sync_status_rollup": _synced_status,
     "sync_decisions": _sync_decisions,
+    "sync_last_activity": _synced_activity,
     "stream_ingest": _stream_ingest,
     "stream_last_activity": _stream_activity,
 }

@@ -46,7 +46,7 @@ class Home:
     path: str
 
     def __getattr__(self, name: str) -> str:
-        if name in ("sheets", "rows", "events", "decisions", "entries", "compacted", "checkpoint"):
+        if name in ("sheets", "rows", "events", "decisions", "entries", "changes", "activity", "compacted", "checkpoint"):
             return f"{self.path}/{name}"
         raise AttributeError(name)
 
@@ -166,23 +166,43 @@ def scan(spark: SparkSession, home: Home, folder: str, store: Column | None = No
     return len(paths)
 
 
-def decide(spark: SparkSession, home: Home):
-    """Takes all waiting events through the rules; the stream ends when there are none left."""
+def stateful(spark: SparkSession) -> SparkSession:
+    """A session for streams with map states, so that the caller's settings stay as they are."""
     quiet = spark.newSession()
     for name in _KEPT:
         quiet.conf.set(name, spark.conf.get(name))
     quiet.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return quiet
+
+
+def _movements(spark: SparkSession, home: Home, reports: DataFrame) -> DataFrame:
+    """Where SKUs moved in some reports ``(store, number, period_end)``: paid purchases and any sales."""
+    rows = _written(spark, home.entries, _ENTRY).join(reports, ["store", "number", "period_end"])
+    dated = lambda test: F.when(test, F.col("period_end"))
+    moved = rows.select("store", "sku", "number", dated(F.col("purchase") > 0).alias("bought"), dated((F.col("sales") > 0) | (F.col("sales_free") > 0)).alias("sold"))
+    return moved.filter("bought is not null or sold is not null")
+
+
+def decide(spark: SparkSession, home: Home):
+    """Takes all waiting events through the rules; the stream ends when there are none left."""
+    quiet = stateful(spark)
 
     def save(batch: DataFrame, number: int) -> None:
         path = f"{home.decisions}/batch={number}"
         batch.write.mode("overwrite").parquet(path)
-        made = quiet.read.schema(DECISION).parquet(path).filter("status = 'imported'")
+        batch = quiet.read.schema(DECISION).parquet(path)
+        made = batch.filter("status = 'imported'")
         scans = [r["scan"] for r in made.select("scan").distinct().collect()]
         for n in scans:
             reports = made.filter(F.col("scan") == n).select("store", "number", F.col("path").alias("file"), "period_end")
             rows = quiet.read.schema(_ROW).parquet(f"{home.rows}/{n}").join(reports, "file").withColumn("batch", F.lit(number).cast("long")).withColumn("scan", F.lit(n))
             names = [c.split()[0] for c in _ENTRY.split(", ")]
             rows.select(*names, "scan").hint("rebalance", "period_end").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period_end", "batch", "scan").parquet(home.entries)
+        # what a batch changes: movements of reports that have come and of those that have gone
+        every = decisions(quiet, home).filter("status = 'imported'").select("store", "number", "period_end")
+        gone = every.join(batch.select("store", F.explode("gone").alias("number")), ["store", "number"], "left_semi")
+        came = _movements(quiet, home, made.select("store", "number", "period_end")).withColumn("gone", F.lit(False))
+        came.unionByName(_movements(quiet, home, gone).withColumn("gone", F.lit(True))).write.mode("overwrite").parquet(f"{home.changes}/{number}")
 
     stream = quiet.readStream.schema(EVENT).parquet(f"{home.events}/*")
     decided = stream.groupBy("store").transformWithStateInPandas(Sync(), DECISION, "Update", "none")

@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 from tallyframe.functions.expressions import status
-from tallyframe.operators import diagnostics, enriched, ingest, lookup, reports, rollups, segments, store
+from tallyframe.operators import diagnostics, enriched, ingest, lookup, reports, rollups, segments, store, stores
 from tallyframe.thresholds import Thresholds
 
 SCHEMA = (
@@ -124,6 +124,39 @@ def test_stores_are_apart(spark):
     assert sorted((r["location"] or "", r["sku"]) for r in out.collect()) == [("", "y"), ("l", "x")]
 
 
+def test_keyed_results_are_those_of_each_store_alone(spark):
+    rows = [row(n, f"2026-0{n}-01", f"2026-0{n}-28", sku=f"s{i}", brand="b" if i % 3 else None, closing_stock=i % 4, value=7 * i, sales=(i + n) % 5, purchase=i % 2) for n in range(1, 7) for i in range(12)]
+    where = F.when(F.substring("sku", 2, 9).cast("int") % 3 == 0, None).otherwise(F.concat(F.lit("l"), F.substring("sku", 2, 9).cast("int") % 3))
+    h = history(spark, *rows).withColumn("location", where).filter("location is null or location <> 'l1' or report_id < 5")
+    limits = Thresholds(trailing_days=60)
+    keys = ("company", "location")
+    alone = {
+        "enriched": lambda own: enriched.enriched(own, reports.scope(own, 60), limits),
+        "status": lambda own: rollups.status_rollup(enriched.enriched(own, reports.scope(own, 60), limits)),
+        "tiers": lambda own: segments.value_tiers(enriched.enriched(own, reports.scope(own, 60), limits), limits),
+        "leaders": lambda own: rollups.top_skus(enriched.enriched(own, reports.scope(own, 60), limits), "value", 3),
+    }
+    every = stores.enriched(h, limits)
+    keyed = {"enriched": every, "status": stores.status_rollup(every), "tiers": stores.value_tiers(every, limits), "leaders": stores.top_skus(every, "value", 3)}
+    for name, build in alone.items():
+        one = reports.per_store(h, build)
+        assert sorted(map(repr, keyed[name].select(*keys, *[c for c in one.columns if c not in keys]).collect())) == sorted(map(repr, one.select(*keyed[name].select(*keys, *[c for c in one.columns if c not in keys]).columns).collect())), name
+
+
+def test_live_view_of_a_long_log_has_no_nested_loop(spark):
+    n = 100_000
+    log = spark.range(n).select(F.col("id").alias("seq"), F.lit("import").alias("event"), F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") * 7919 % 12_000).cast("int")).alias("period_start"))
+    log = log.withColumn("period_end", F.date_add("period_start", (F.col("seq") % 3).cast("int")))
+    live = store.live_reports(log)
+    assert "NestedLoop" not in live._jdf.queryExecution().toString()
+    covered, expected = set(), 0
+    for seq in range(n - 1, -1, -1):
+        days = range(seq * 7919 % 12_000, seq * 7919 % 12_000 + seq % 3 + 1)
+        expected += not any(d in covered for d in days)
+        covered.update(days)
+    assert live.count() == expected
+
+
 def test_trailing_gaps(spark):
     assert reports.trailing_gaps(periods(spark, ("2026-05-01", "2026-05-31"), ("2026-06-10", "2026-06-30")), 60).first()["days"] == 9
     far = periods(spark, ("2026-01-01", "2026-01-31"), ("2026-03-01", "2026-03-31"), ("2026-06-01", "2026-06-30"))

@@ -8,7 +8,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 from tallyframe.operators.store import Ledger
-from tallyframe.streaming import sync
+from tallyframe.streaming import activity, sync
 
 HEAD = ["Item", "", "", "", "", "Opening Stock", "Purchase", "Purchase Free", "Other Receipt", "Sales", "Sales Free", "Other Issue", "", "Closing Stock", "Value"]
 
@@ -28,6 +28,14 @@ def live_rows(spark, home):
     return sorted((r["store"], str(r["period_start"]), r["sku"], r["closing_stock"]) for r in sync.live_history(spark, home).collect())
 
 
+def moved(spark, home):
+    """Last sale of each SKU from the state store, and by a recount of what is live (every row of a sheet has sales)."""
+    activity.activity_stream(spark, home).awaitTermination()
+    got = sorted((r["store"], r["sku"], r["last_purchase"], str(r["last_sale"])) for r in activity.last_activity(spark, home).collect())
+    rows = sync.live_history(spark, home).groupBy("store", "sku").agg(F.max("period_end").alias("e")).collect()
+    return got, sorted((r["store"], r["sku"], None, str(r["e"])) for r in rows)
+
+
 def decided(spark, home):
     return {(r["scan"], r["event"], r["path"]): r["status"] for r in sync.decisions(spark, home).collect()}
 
@@ -44,6 +52,8 @@ def test_scans_replace_shrink_and_remove(spark, tmp_path):
     assert sync.refresh(spark, home, str(folder), store) == 4
     assert live_rows(spark, home) == [("a", "2026-05-01", "x", 5), ("a", "2026-05-01", "y", 6), ("a", "2026-06-01", "x", 7), ("b", "2026-07-01", "x", 1)]
     assert sync.refresh(spark, home, str(folder), store) == 0  # nothing is opened again
+    got, recount = moved(spark, home)
+    assert got == recount and len(got) == 3
     sheet(folder, "a/may.xls", "2026-05-01", "2026-05-31", 2_000, y=8)  # changed: replaces its rows
     sheet(folder, "a/week.xls", "2026-06-10", "2026-06-16", 2_000, x=9)  # newer and overlapping: June goes
     sheet(folder, "b/again.xls", "2026-07-01", "2026-07-31", 2_000, x=3)  # the period of another live file
@@ -53,6 +63,10 @@ def test_scans_replace_shrink_and_remove(spark, tmp_path):
     statuses = decided(spark, home)
     assert statuses[1, "file", "a/broken.xls"] == "error" and statuses[2, "file", "b/again.xls"] == "imported"
     assert sorted(r["status"] for r in sync.decisions(spark, home).filter("event = 'remove'").collect()) == ["not_found", "removed"]
+    got, recount = moved(spark, home)
+    assert got == recount and ("a", "x", None, "2026-06-16") in got
+    assert activity.compact_activity(spark, home) > 0 and activity.compact_activity(spark, home) == 0
+    assert moved(spark, home)[0] == recount
     assert sync.compact(spark, home) > 0
     assert live_rows(spark, home) == [("a", "2026-05-01", "y", 8), ("a", "2026-06-10", "x", 9), ("b", "2026-07-01", "x", 3)]
     left = spark.read.parquet(home.entries)
