@@ -16,9 +16,9 @@ The Jaccard distance ``d = 1 - |x & y| / |x | y|`` is a metric, and documents li
    classes also fall into rings round the pivot: an index row is in one cell (ring, size band), and an asking row is
    replicated to the cells which the triangle inequality leaves, ``|d(x, pivot) - d(y, pivot)| <= eps``. Parity signatures
    bound the pairs of a cell before whole sets are compared exactly.
-5. If the cells of large regions still hold many pairs, the classes of these regions are joined again recursively: their
-   shingles are counted exactly among them alone, which makes the passage that brought them together frequent, and
-   new prefixes, regions and pivots are drawn. Recursion ends when it no longer halves the pairs.
+5. If the cells of large regions still hold many pairs, each of these regions is joined again by itself: shingles are counted exactly
+   within it, those that all its classes have come last in its order and are left out of prefixes, and new regions, true parts of the old one,
+   and pivots are drawn. Regions of the same classes are one. Recursion ends where it no longer makes pairs fewer by a quarter.
 
 Shingles are identified by 64-bit hashes of their words' bytes.
 """
@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import NO_ID, Scratch, joined_components
 from .sketch import SLOTS, level_of, levels, packed, slot
@@ -387,18 +388,20 @@ def _join(found: DataFrame, corpus: _Corpus, region: int, reached: DataFrame | N
     known = near.select(F.col("x").alias("cls"), F.col("y").alias("pivot"), "d")
     rows = named.join(mixed, "region", "left_semi").join(known, ["cls", "pivot"], "left")
     rows = scratch.write(rows.withColumns({"low": F.coalesce("d", F.lit(0.0)), "high": F.coalesce("d", F.lit(1.0))}).drop("d"))
-    small, large = rows.filter(F.col("size") <= region), rows.filter(F.col("size") > region)
+    small, large = rows.filter(F.col("size") <= region), _once(rows.filter(F.col("size") > region), scratch)
     pairs = _meet(small, small.filter(_index(t)), ["region"], t, eps)
     asking, index = _cells(large, t, eps)
     cell = ["region", "ring", "band"]
-    if (members := large.count()) > 0:
+    if (classes := large.select("cls").distinct().count()) > 0:
         counts = asking.select(*cell, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(index.select(*cell, F.lit(0).alias("a"), F.lit(1).alias("b")))
         counts = counts.groupBy(cell).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         inside = counts.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0
-        if inside > region * members and (held is None or 2 * inside <= held):
-            wide = scratch.write(large.select("cls").distinct())
-            inner = corpus.sets(wide) if stored is None else scratch.write(stored.join(wide, "cls"), narrow=False)
-            reached = _join(_recount(inner, t, scratch), corpus, region, reached, inner, int(inside))
+        if inside > region * classes and (held is None or 4 * inside <= 3 * held):
+            wide = large.select("region", "cls")
+            own = wide.select("cls").distinct()
+            inner = corpus.sets(own) if stored is None else scratch.write(stored.join(own, "cls"), narrow=False)
+            parts, sure = _recount(wide, inner, t, scratch)
+            reached = _join(parts, corpus, region, joined_components(reached, sure, scratch), inner, int(inside))
         else:
             pairs = pairs.unionByName(_meet(asking, index, cell, t, eps))
     rest = corpus.bounded(pairs.distinct()).filter("may").select("x", "y")
@@ -408,21 +411,48 @@ def _join(found: DataFrame, corpus: _Corpus, region: int, reached: DataFrame | N
     return reached
 
 
-def _recount(sets: DataFrame, t: Fraction, scratch: Scratch) -> DataFrame:
-    """Prefixes of these sets under exact counts within them alone."""
+def _once(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Entries of regions with one region for all that have the same classes, as all shingles of a passage may name.
+
+    A class keeps its first position: if two classes share one of these shingles they share all, and meet at the first.
+    """
+    named = rows.groupBy("region").agg(F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who"), F.count("*").alias("many"))
+    one = scratch.write(named.withColumn("kept", F.min("region").over(Window.partitionBy("who", "many"))).select("region", "kept"))
+    own = F.max(F.when(F.col("region") == F.col("kept"), F.struct("n", "component", "low", "high"))).alias("own")
+    merged = rows.join(one, "region").groupBy("kept", "cls").agg(F.min("pos").alias("pos"), own)
+    return scratch.write(merged.select(F.col("kept").alias("region"), "cls", "pos", "own.*"))
+
+
+def _recount(members: DataFrame, sets: DataFrame, t: Fraction, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Regions within each region, from prefixes under exact counts in it alone, and edges ``(u, v)`` that need no comparison.
+
+    What all classes of a region have comes last in its order. Where a prefix would reach into that, every other shingle of the set is in it, and pairs that
+    need no more overlap than all have are linked: by stars to the smallest set, as that links with whatever a larger one does. Shingles
+    with the same classes come together and name one region, a true part of the old one.
+    """
+
     def explode(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                h = part.column(1).to_pylist()
+                h = part.column(2).to_pylist()
                 n = np.array([len(x) // 8 for x in h])
-                yield pa.record_batch([pa.array(np.repeat(np.asarray(part.column(0)), n)), pa.array(np.frombuffer(b"".join(h), np.int64)), pa.array(np.repeat(n, n))], names=["cls", "s", "n"])
-
-    each = sets.mapInArrow(explode, "cls long, s long, n long")
-    count = scratch.write(each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"))
-    ranked = each.join(count, "s", "left").select("cls", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s").alias("e"))
-    listed = ranked.groupBy("cls", "n").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    length = F.expr(f"int(n - ceil(n * {t.numerator} / {t.denominator}) + 1)")
-    prefix = listed.select("cls", "n", F.posexplode(F.slice("es", F.lit(1), length)).alias("pos", "e")).filter("e.df > 1")
-    rows = scratch.write(prefix.select(F.col("e.s").alias("region"), "cls", F.col("pos").cast("long").alias("pos"), "n"))
-    return _with_pivots(rows, scratch)
+                own = [pa.array(np.repeat(np.asarray(part.column(i)), n)) for i in (0, 1)]
+                yield pa.record_batch([*own, pa.array(np.frombuffer(b"".join(h), np.int64)), pa.array(np.repeat(n, n))], names=["region", "cls", "s", "n"])
+
+    p, q = t.numerator, t.denominator
+    each = members.join(sets, "cls").select("region", "cls", "h").mapInArrow(explode, "region long, cls long, s long, n long")
+    size = members.groupBy("region").agg(F.count("*").alias("size"))
+    count = each.groupBy("region", "s").agg(F.count("*").alias("df"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).filter("df > 1")
+    count = scratch.write(count.join(size, "region").select("region", "s", "df", "who", (F.col("df") == F.col("size")).alias("all")))
+    common = scratch.write(count.groupBy("region").agg(F.count(F.when(F.col("all"), 1)).alias("common")))
+    sized = members.join(sets.select("cls", "n"), "cls").join(common, "region")
+    least = sized.groupBy("region").agg(F.min(F.struct("n", "cls")).alias("least"))
+    sure = sized.join(least, "region").filter(F.expr(f"common * {p + q} >= {p} * (n + least.n) and cls <> least.cls")).select(F.col("cls").alias("u"), F.col("least.cls").alias("v"))
+    ranked = each.join(count.filter("not all"), ["region", "s"]).groupBy("region", "cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "who", "s"))).alias("es"))
+    # shingles of this class alone come before those of ``es``, what all have after them
+    ranked = ranked.join(common, "region").withColumn("alone", F.expr("int(n - common - size(es))"))
+    length = F.expr(f"int(least(n - common, n - ceil(n * {p} / {q}) + 1)) - alone")
+    prefix = ranked.filter(length > 0).select("region", "cls", "n", "alone", F.posexplode(F.slice("es", F.lit(1), length)).alias("at", "e"))
+    inner = prefix.groupBy(F.xxhash64("region", "e.df", "e.who").alias("region"), "cls", "n").agg(F.min(F.col("alone") + F.col("at")).cast("long").alias("pos"))
+    return _with_pivots(scratch.write(inner.select("region", "cls", "pos", "n")), scratch), scratch.write(sure.distinct())

@@ -229,3 +229,24 @@ def test_thousands_of_texts_of_one_id(spark):
             if seen.setdefault(tuple(w[i : i + 20]), (n, i)) != (n, i):
                 keep[i : i + 20] = [False] * 20
         assert r["kept"] == " ".join(x for x, k in zip(w, keep) if k)
+
+
+# 6: pages of a few sites that share paragraphs
+
+
+@pytest.mark.parametrize("region", [8, 256])
+def test_pages_of_few_paragraphs(spark, region):
+    from tallyframe.llm.jaccard_join import jaccard_join
+
+    rng = random.Random(1)
+    paragraphs, heads = ([" ".join(f"{c}{k}w{i}" for i in range(40)) for k in range(n)] for c, n in (("p", 16), ("h", 3)))
+    texts = [" ".join([heads[i % 3], *rng.sample(paragraphs, 5)]) for i in range(180)] + [" ".join(heads[0].split()[:38] + [f"own{i}", f"its{i}"]) for i in range(20)]
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    least = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 75 * len(a | b):
+                x, y = sorted((least[i], least[j]))
+                least = [x if z == y else z for z in least]
+    got = jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), region=region).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in got] == least
