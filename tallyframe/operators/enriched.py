@@ -71,8 +71,12 @@ def enriched(history: DataFrame, scope: Scope, limits: Thresholds) -> DataFrame:
     since = cutoff(scope, limits)
     trailing = F.col("report_id").isin(*scope.trailing_ids)
     rows = history.withColumn("trailing", trailing).filter(F.col("trailing") | (F.col("period_end") >= F.lit(since)))
-    facts = rows.groupBy("sku").agg(*pace(), *_activity(since))
-    out = current_snapshot(history, scope).join(facts, "sku", "left")
+    return with_facts(current_snapshot(history, scope), rows.groupBy("sku").agg(*pace(), *_activity(since)), scope, limits)
+
+
+def with_facts(snapshot: DataFrame, facts: DataFrame, scope: Scope, limits: Thresholds) -> DataFrame:
+    """The current SKUs with what ``facts`` say of their pace and activity."""
+    out = snapshot.join(facts, "sku", "left")
     out = out.fillna(0.0, ["trailing_opening", "trailing_purchase", "trailing_sales", "trailing_sales_free", "trailing_other_issue"])
     out = _aged(out, scope, limits)
     demand = F.col("trailing_sales") + F.col("trailing_sales_free")

@@ -227,6 +227,7 @@ ORACLES: dict[str, str] = {
     "trailing_agg": _sql("SELECT * FROM pace", _E),
     "dead_stock_flags": _sql("SELECT sku, last_activity, days_since_activity, is_dead FROM en", _E),
     "enriched_skus": _sql("SELECT * FROM en", _E),
+    "enriched_from_sums": _sql("SELECT * FROM en", _E),
     "status_rollup": _sql(f"SELECT f.position, f.status, count(en.sku) AS sku_count, coalesce(sum(value), 0)::DECIMAL(38,2) AS total_value FROM {_FIXED_STATUS} LEFT JOIN en USING (status) GROUP BY 1, 2", _E),
     "kpis": _sql("SELECT count(*) AS sku_count, count(DISTINCT brand) AS brand_count, sum(value)::DECIMAL(38,2) AS total_value, sum(closing_stock) AS total_closing FROM en", _E),
     "top_brands": _sql("SELECT brand, sum(value)::DECIMAL(38,2) AS total_value FROM en WHERE brand IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", _E),

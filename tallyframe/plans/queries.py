@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import finite
-from ..operators import diagnostics, enriched, health, ingest, lookup, reports, rollups, segments, store, stores
+from ..operators import diagnostics, enriched, health, ingest, lookup, reports, rollups, segments, store, stores, sums
 from ..sources import catalogs, derived, files
 from ..sources.scratch import scratch_folder
 from ..streaming import activity, jobs, sync
@@ -153,6 +154,17 @@ def _incremental(d: Data) -> DataFrame:
     return both.groupBy("report_id").agg(F.count("*").alias("row_count"), F.sum("value").cast(rollups.MONEY).alias("total_value"))
 
 
+def _from_sums(d: Data) -> DataFrame:
+    """Enriched SKUs from monthly sums, of which some months were first written without all of their reports, or with reports that have gone."""
+    path = scratch_folder(d.spark)
+    gone = d.history.filter("report_id = 1").withColumns({"period_start": F.lit("1990-01-01").cast("date"), "period_end": F.lit("1990-01-31").cast("date")})
+    late = F.date_trunc("month", "period_end").cast("date") >= F.add_months(F.lit(d.scope.latest_end), -2)
+    sums.write_sums(d.history.filter(~late | (F.length("sku") % 2 == 0)).unionByName(gone), path)
+    touched = [r[0] for r in d.reports.filter(late).select(sums.month()).distinct().collect()]
+    sums.write_sums(d.history, path, [*touched, date(1990, 1, 1)])
+    return _edge(sums.enriched(sums.read_sums(d.spark, path), d.history, d.reports, d.scope, LIMITS))
+
+
 def _grid(d: Data) -> DataFrame:
     return derived.statement_grid(d.spark, d.sf_dir)
 
@@ -305,6 +317,7 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "last_refresh": lambda d: store.last_refresh(d.ledger),
     "candidate_files": _candidates,
     "incremental_equals_full": _incremental,
+    "enriched_from_sums": _from_sums,
     "json_edge": lambda d: files.json_edge(d.enriched),
     "export_lists": _exported,
     "export_summary": _exported_summary,
