@@ -43,3 +43,30 @@ def overview(parts: dict[str, DataFrame]) -> DataFrame:
     for more in counts[1:]:
         out = out.unionByName(more)
     return out
+
+
+#: What names a row of each part, and its number.
+_SAID = {
+    "last_refresh": (("last_refresh",), None),
+    "missing_months": (("month", "label"), None),
+    "coverage_gaps": (("gap_start", "gap_end"), "days"),
+    "problem_files": (("filename", "status", "checked_at"), None),
+    "item_catalog": (("imported_at",), "item_count"),
+    "unmatched_skus": (("brand", "sku", "value"), "total"),
+    "new_skus": (("brand", "sku", "value"), "total"),
+    "vanished_skus": (("brand", "sku", "value"), "total"),
+    "likely_renames": (("old_name", "new_name"), None),
+    "quality_issues": (("report_id", "period_end", "sku", "issue"), None),
+    "quality_totals": (("kind",), "issues"),
+}
+
+
+def contents(parts: dict[str, DataFrame]) -> DataFrame:
+    """``(section, item, number)``: every row of every part, as text joined by bars, and its count or days where it has one."""
+    out = None
+    for name, part in parts.items():
+        columns, number = _SAID[name]
+        item = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+        rows = part.select(F.lit(name).alias("section"), item.alias("item"), (F.lit(None) if number is None else F.col(number)).cast("long").alias("number"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -197,6 +197,27 @@ UNION ALL SELECT 'quality_issues', least(count(*), 100) FROM issues
 UNION ALL SELECT 'quality_totals', count(DISTINCT CASE WHEN issue LIKE 'stock does not balance%' THEN 'stock does not balance' ELSE issue END) FROM issues"""
 
 
+def _said(section: str, rows: str, number: str, *columns: str) -> str:
+    item = " || '|' || ".join(f"coalesce({c}::VARCHAR, '')" for c in columns)
+    return f"SELECT '{section}' AS section, {item} AS item, ({number})::BIGINT AS number FROM ({rows})"
+
+
+_CHANGED = "SELECT *, count(*) OVER () AS total FROM {0} WHERE sku NOT IN (SELECT {1} FROM pairs) ORDER BY value DESC, sku LIMIT 50"
+_HEALTH_CONTENTS = "\nUNION ALL ".join([
+    _said("last_refresh", "SELECT max(checked_at) AS last_refresh FROM ledger", "NULL", "last_refresh"),
+    _said("missing_months", "SELECT month::DATE AS month, strftime(month, '%b %Y') AS label FROM (SELECT unnest(generate_series(date_trunc('month', min(period_start)), date_trunc('month', max(period_end)), INTERVAL 1 MONTH)) AS month FROM live) m WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.period_start <= last_day(m.month) AND l.period_end >= m.month)", "NULL", "month", "label"),
+    _said("coverage_gaps", _GAPS.format(rows="live"), "days", "gap_start", "gap_end"),
+    _said("problem_files", "SELECT * FROM ledger1 WHERE status <> 'imported' ORDER BY checked_at DESC, filename LIMIT 20", "NULL", "filename", "status", "checked_at"),
+    _said("item_catalog", "SELECT DATE '2026-08-02' AS imported_at, count(*) AS n FROM cat WHERE v = 2", "n", "imported_at"),
+    _said("unmatched_skus", "SELECT *, count(*) OVER () AS total FROM now_ WHERE trim(sku) NOT IN (SELECT name FROM names) ORDER BY value DESC, sku LIMIT 100", "total", "brand", "sku", "value"),
+    _said("new_skus", _CHANGED.format("new0", "new_name"), "total", "brand", "sku", "value"),
+    _said("vanished_skus", _CHANGED.format("gone0", "old_name"), "total", "brand", "sku", "value"),
+    _said("likely_renames", "SELECT * FROM pairs", "NULL", "old_name", "new_name"),
+    _said("quality_issues", "SELECT * FROM issues ORDER BY period_end DESC, sku, issue LIMIT 100", "NULL", "report_id", "period_end", "sku", "issue"),
+    _said("quality_totals", "SELECT CASE WHEN issue LIKE 'stock does not balance%' THEN 'stock does not balance' ELSE issue END AS kind, count(*) AS n FROM issues GROUP BY 1", "n", "kind"),
+])
+
+
 def _sql(body: str, *more: str) -> str:
     return "WITH " + _BASE.strip() + "".join(more) + "\n" + body.strip()
 
@@ -269,6 +290,7 @@ ORACLES: dict[str, str] = {
     "catalog_snapshot": _sql("SELECT code, brand, product_name, long_name, mrp FROM cat WHERE v = 1", _C),
     "catalog_meta": _sql("SELECT DATE '2026-08-02' AS imported_at, count(*) AS item_count FROM cat WHERE v = 2", _C),
     "import_health": _sql(_HEALTH, _L, _C, _ISSUES),
+    "import_health_contents": _sql(_HEALTH_CONTENTS, _L, _C, _ISSUES),
     "alias_map": _sql("SELECT * FROM alias", _C),
     "catalog_names": _sql("SELECT * FROM names", _C),
     "live_reports": _sql("SELECT * FROM live", _L),

@@ -218,9 +218,8 @@ def _imports(d: Data) -> DataFrame:
     return shops.join(first.unionByName(again))
 
 
-def _health(d: Data) -> DataFrame:
-    parts = health.import_health(d.history, d.live, d.ledger, d.versions.filter("version = 2").drop("version"), d.renames, LIMITS.trailing_days)
-    return health.overview(parts)
+def _health(d: Data) -> dict[str, DataFrame]:
+    return health.import_health(d.history, d.live, d.ledger, d.versions.filter("version = 2").drop("version"), d.renames, LIMITS.trailing_days)
 
 
 def _lists(name: str) -> Callable[[Data], DataFrame]:
@@ -304,7 +303,8 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "catalog_snapshot": lambda d: store.snapshot(d.versions, 1).drop("imported_at"),
     "catalog_meta": lambda d: store.catalog_meta(d.versions.filter("version = 2")),
     "import_guards": lambda d: store.judge_imports(_imports(d)),
-    "import_health": _health,
+    "import_health": lambda d: health.overview(_health(d)),
+    "import_health_contents": lambda d: health.contents(_health(d)),
     "alias_map": lambda d: diagnostics.alias_map(d.renames),
     "catalog_names": lambda d: d.names,
     "live_reports": lambda d: d.live,
