@@ -279,13 +279,14 @@ class Trie:
     ends: DataFrame
 
 
-def trie(rows: DataFrame, base: Column, keep: Column, scratch: Scratch, cap: int | None = None, band: int = BAND, held: int = HELD) -> Trie:
+def trie(rows: DataFrame, base: Column, keep: Column, cap: int | None = None, band: int = BAND, held: int = HELD) -> Trie:
     """The prefix trie of the rebuilt conversations of ``rows`` (see ``turn_maps`` and ``steps_of``).
 
     ``conv_id`` is a node's smallest member, and ``saved_tokens`` counts, over the subtree, code points of last turns once for each member but one. ``ends``
     has the conversations that end at a node, those without turns at the root. No rows give no nodes. ``cap`` only decides how nodes are dealt
     to shards.
     """
+    scratch = Scratch(rows.sparkSession)
     steps = steps_of(turn_maps(rows, scratch), base, keep, scratch)
     ends = F.col("depth") == F.col("size")
     found = steps.groupBy("node").agg(
@@ -314,7 +315,9 @@ def trie(rows: DataFrame, base: Column, keep: Column, scratch: Scratch, cap: int
     received = scratch.write(_received(heavy.select(*_NODE), light.join(above, "parent", "left_semi")))
     # what bands need of the paths of conversations that name heavy nodes
     ancestors = steps.select("conv_id", "depth", "node").join(heavy.select("conv_id").distinct(), "conv_id", "left_semi")
-    whole = light.unionByName(banded(received, ancestors, scratch, band, held))
+    upper = banded(received, ancestors, scratch, band, held)
+    scratch.keep(steps, light, upper)
+    whole = light.unionByName(upper)
     over = whole.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     named = whole.join(over, "parent", "left").select("conv_id", "depth", "node", "parent", "parent_conv_id", "n_convs", F.col("children").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"))
     return Trie(named, steps.filter(ends).select("node", "conv_id"))
@@ -359,9 +362,9 @@ def ends_digest(ends: DataFrame) -> DataFrame:
     return blocks.repartition("node").sortWithinPartitions("node", "first").mapInArrow(_hashed, "node binary, ends_sha256 string")
 
 
-def trie_digest(rows: DataFrame, scratch: Scratch, **options) -> DataFrame:
+def trie_digest(rows: DataFrame, **options) -> DataFrame:
     """The trie of conversations that share the turns of a hundred's first one: ``h`` turns, by the CRC-32 of the decimal id modulo 6."""
     keep = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
-    found = trie(rows, F.col("conv_id") - F.col("conv_id") % 100, keep, scratch, **options)
+    found = trie(rows, F.col("conv_id") - F.col("conv_id") % 100, keep, **options)
     out = found.nodes.join(ends_digest(found.ends), "node", "left")
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"))

@@ -87,10 +87,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import Scratch
     from .conversation_trie import trie_digest
 
-    return trie_digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"), Scratch(spark))
+    return trie_digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
