@@ -16,7 +16,7 @@ The Jaccard distance ``d = 1 - |x & y| / |x | y|`` is a metric, and documents li
    classes also fall into rings round the pivot: an index row is in one cell (ring, size band), and an asking row is
    replicated to the cells which the triangle inequality leaves, ``|d(x, pivot) - d(y, pivot)| <= eps``. Parity signatures
    bound the pairs of a cell before whole sets are compared exactly.
-5. If the cells of large regions still hold many pairs, each of these regions is joined again by itself: shingles are counted exactly
+5. If the cells of large regions hold more than ``region`` pairs an entry, each of these regions is joined again by itself: shingles are counted exactly
    within it, those that all its classes have come last in its order and are left out of prefixes, and new regions, true parts of the old one,
    and pivots are drawn. Regions of the same classes are one. Recursion ends where it no longer makes pairs fewer by a quarter.
 
@@ -392,11 +392,11 @@ def _join(found: DataFrame, corpus: _Corpus, region: int, reached: DataFrame | N
     pairs = _meet(small, small.filter(_index(t)), ["region"], t, eps)
     asking, index = _cells(large, t, eps)
     cell = ["region", "ring", "band"]
-    if (classes := large.select("cls").distinct().count()) > 0:
+    if (members := large.count()) > 0:
         counts = asking.select(*cell, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(index.select(*cell, F.lit(0).alias("a"), F.lit(1).alias("b")))
         counts = counts.groupBy(cell).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         inside = counts.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0
-        if inside > region * classes and (held is None or 4 * inside <= 3 * held):
+        if inside > region * members and (held is None or 4 * inside <= 3 * held):
             wide = large.select("region", "cls")
             own = wide.select("cls").distinct()
             inner = corpus.sets(own) if stored is None else scratch.write(stored.join(own, "cls"), narrow=False)
