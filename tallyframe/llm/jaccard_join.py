@@ -16,9 +16,11 @@ The Jaccard distance ``d = 1 - |x & y| / |x | y|`` is a metric, and documents li
    classes also fall into rings round the pivot: an index row is in one cell (ring, size band), and an asking row is
    replicated to the cells which the triangle inequality leaves, ``|d(x, pivot) - d(y, pivot)| <= eps``. Parity signatures
    bound the pairs of a cell before whole sets are compared exactly.
-5. If the cells of large regions hold more than ``region`` pairs an entry, each of these regions is joined again by itself: shingles are counted exactly
-   within it, those that all its classes have come last in its order and are left out of prefixes, and new regions, true parts of the old one,
-   and pivots are drawn. Regions of the same classes are one. Recursion ends where it no longer makes pairs fewer by a quarter.
+5. If the cells of large regions hold more than ``region`` pairs an entry, the classes of these regions are joined again recursively: their
+   shingles are counted exactly among them alone, which makes the passage that brought them together frequent, and
+   new prefixes, regions and pivots are drawn. Where that no longer makes the pairs fewer by a quarter, each region is joined again by itself: counts are
+   its own, shingles that all its classes have come last and are left out of prefixes, and new regions are true parts of it, regions of
+   the same classes being one. Recursion ends where that doesn't make them fewer either.
 
 Shingles are identified by 64-bit hashes of their words' bytes.
 """
@@ -366,10 +368,11 @@ def _meet(asking: DataFrame, index: DataFrame, on: list[str], t: Fraction, eps:
     return pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y"))
 
 
-def _join(found: DataFrame, corpus: _Corpus, region: int, reached: DataFrame | None, stored: DataFrame | None = None, held: int | None = None) -> DataFrame:
+def _join(found: DataFrame, corpus: _Corpus, region: int, reached: DataFrame | None, stored: DataFrame | None = None, held: int | None = None, apart: bool = False) -> DataFrame:
     """Components ``(node, component)`` of everything which the pairs within the regions connect, and of ``reached``.
 
-    Within a recursion ``stored`` has the sets of its classes and ``held`` the number of pairs in the cells that it came from.
+    Within a recursion ``stored`` has the sets of its classes, ``held`` the number of pairs in the cells that it came from, and ``apart`` says that
+    regions are recounted one by one.
     """
     sets_of = corpus.sets if stored is None else lambda wanted: stored
     t, scratch = corpus.t, corpus.scratch
@@ -396,12 +399,16 @@ def _join(found: DataFrame, corpus: _Corpus, region: int, reached: DataFrame | N
         counts = asking.select(*cell, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(index.select(*cell, F.lit(0).alias("a"), F.lit(1).alias("b")))
         counts = counts.groupBy(cell).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         inside = counts.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0
-        if inside > region * members and (held is None or 4 * inside <= 3 * held):
+        fewer = held is None or 4 * inside <= 3 * held
+        if inside > region * members and (fewer or not apart):
             wide = large.select("region", "cls")
             own = wide.select("cls").distinct()
             inner = corpus.sets(own) if stored is None else scratch.write(stored.join(own, "cls"), narrow=False)
-            parts, sure = _recount(wide, inner, t, scratch)
-            reached = _join(parts, corpus, region, joined_components(reached, sure, scratch), inner, int(inside))
+            if fewer and not apart:
+                reached = _join(_recount(inner, t, scratch), corpus, region, reached, inner, int(inside))
+            else:
+                parts, sure = _recount_each(wide, inner, t, scratch)
+                reached = _join(parts, corpus, region, joined_components(reached, sure, scratch), inner, int(inside), True)
         else:
             pairs = pairs.unionByName(_meet(asking, index, cell, t, eps))
     rest = corpus.bounded(pairs.distinct()).filter("may").select("x", "y")
@@ -423,7 +430,27 @@ def _once(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(merged.select(F.col("kept").alias("region"), "cls", "pos", "own.*"))
 
 
-def _recount(members: DataFrame, sets: DataFrame, t: Fraction, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _recount(sets: DataFrame, t: Fraction, scratch: Scratch) -> DataFrame:
+    """Prefixes of these sets under exact counts within them alone."""
+    def explode(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                h = part.column(1).to_pylist()
+                n = np.array([len(x) // 8 for x in h])
+                yield pa.record_batch([pa.array(np.repeat(np.asarray(part.column(0)), n)), pa.array(np.frombuffer(b"".join(h), np.int64)), pa.array(np.repeat(n, n))], names=["cls", "s", "n"])
+
+    each = sets.mapInArrow(explode, "cls long, s long, n long")
+    count = scratch.write(each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"))
+    ranked = each.join(count, "s", "left").select("cls", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s").alias("e"))
+    listed = ranked.groupBy("cls", "n").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    length = F.expr(f"int(n - ceil(n * {t.numerator} / {t.denominator}) + 1)")
+    prefix = listed.select("cls", "n", F.posexplode(F.slice("es", F.lit(1), length)).alias("pos", "e")).filter("e.df > 1")
+    rows = scratch.write(prefix.select(F.col("e.s").alias("region"), "cls", F.col("pos").cast("long").alias("pos"), "n"))
+    return _with_pivots(rows, scratch)
+
+
+def _recount_each(members: DataFrame, sets: DataFrame, t: Fraction, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Regions within each region, from prefixes under exact counts in it alone, and edges ``(u, v)`` that need no comparison.
 
     What all classes of a region have comes last in its order. Where a prefix would reach into that, every other shingle of the set is in it, and pairs that
