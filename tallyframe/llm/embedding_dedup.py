@@ -1,16 +1,18 @@
 """Operator 3: embedding near-duplicates on a robust-pruned flat graph.
 
-1. Equal vectors of one label are one class. Centroids of each label are fitted on a bounded sample.
-2. Every class goes to the shards of its two nearest centroids, so shards overlap. Shards of more than ``cap``
-   classes are dealt into parts at random.
+1. Equal vectors of one label are one class. A label is a cell; cells of more than twice ``shard`` classes are divided by centroids,
+   each cell's fitted in its own task on a bounded sample, level by level, until none is left (``_cells``).
+2. Every class goes to the shards of its nearest cell and of the second nearest one at the last division, so shards overlap; what
+   would fill a shard beyond ``cap`` stays out of it and is compared as under 4. Only a cell that centroids can't divide (vectors
+   of one direction and many lengths) is dealt into parts at random.
 3. Each part builds a graph: nearest neighbours are robustly pruned (an edge goes if a kept neighbour is closer to its
    end by the factor ``ALPHA``), random long edges and reverse edges are added, and every node is made reachable
    from the medoid. A class's adjacency lists of all its parts are united.
 4. Every class is searched in every part of its shards: a greedy beam search from the medoid over the united lists, then
    range expansion, in which the neighbours of every vector in range are visited until no new one is found. Each pair
    is counted in one shard only, and kept if its cosine in double precision reaches the threshold.
-   Two classes that share neither shard are compared exactly, in blocks (``_across``): a class goes to every block with a
-   centroid whose cell the threshold's angle round it may reach, so no pair is lost between shards.
+   Two classes that share neither shard are compared exactly, in blocks (``_across``): a block is the largest cell of at most ``block``
+   classes, and a class goes to every block with a cell that the threshold's angle round it may reach, so no pair is lost between shards.
 5. In each part the classes whose id is divisible by 20 are also searched exhaustively. If that audit finds a
    recall below ``RECALL``, the whole part is compared in blocks instead.
 
@@ -24,11 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, sampled
+from .common import Scratch, components
 
 DEGREE, CANDIDATES, RANDOM_EDGES, ALPHA, BEAM, RECALL = 24, 64, 4, 1.2, 24, 0.98
-#: Rows of the sample that centroids are fitted on, and classes for each centroid.
-SAMPLE_ROWS, SHARD = 20_000, 400
+#: Rows of the sample that a cell's centroids are fitted on, centroids of a cell at most, and classes for each centroid.
+SAMPLE_ROWS, FAN, SHARD = 8_192, 64, 400
+#: Rows of a cell that one task takes to its children.
+SLICE = 8_192
+#: How a class belongs to a cell: as its own, as the second nearest, or only within reach of the threshold's angle.
+HOME, NEAR, ASK = 0, 1, 2
 #: Classes of a block, within which classes of different shards are compared.
 BLOCK = 32_768
 
@@ -176,13 +182,15 @@ def _across(least: float):
         ids = np.unique(np.concatenate([base["cid"], asked["cid"]]))
         at, to = np.searchsorted(ids, base["cid"]), np.searchsorted(ids, asked["cid"])
         pairs = [np.array([[h[0], h[-1]] for h in side["shards"]]) for side in (base, asked)]
-        homes, weights = [side["home"].to_numpy() for side in (base, asked)], [side["size"].to_numpy() for side in (base, asked)]
+        weights, inside = [side["size"].to_numpy() for side in (base, asked)], bool(pdf["block"].iloc[0] == pdf["ask_block"].iloc[0])
         low, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         for lo in range(0, len(y), 128):
             rows, cols = np.nonzero(y[lo : lo + 128].astype(np.float32) @ small.T >= least - slack)
             for cut in range(0, len(rows), 200_000):
                 row, col = rows[cut : cut + 200_000] + lo, cols[cut : cut + 200_000]
-                apart = (homes[0][col] < homes[1][row]) & ~(pairs[0][col][:, :, None] == pairs[1][row][:, None, :]).any((1, 2))
+                apart = ~(pairs[0][col][:, :, None] == pairs[1][row][:, None, :]).any((1, 2))
+                if inside:
+                    apart &= at[col] < to[row]
                 row, col = row[apart], col[apart]
                 true = np.einsum("ij,ij->i", y[row], x[col]) >= least
                 row, col = row[true], col[true]
@@ -225,7 +233,7 @@ def _search(least: float):
             row, col = np.nonzero(hit)
             mine, theirs = b["cid"].to_numpy()[row], ids[col]
             lo, hi = (np.array([h[i] for h in b["shards"]])[row] for i in (0, -1))
-            both = np.minimum(np.where((lo == home[0][col]) | (lo == home[1][col]), lo, 2**31 - 1), np.where((hi == home[0][col]) | (hi == home[1][col]), hi, 2**31 - 1))
+            both = np.minimum(np.where((lo == home[0][col]) | (lo == home[1][col]), lo, 2**63 - 1), np.where((hi == home[0][col]) | (hi == home[1][col]), hi, 2**63 - 1))
             keep = (mine != theirs) & (both == shard)
             row, col, mine, theirs = row[keep], col[keep], mine[keep], theirs[keep]
             keep = np.einsum("ij,ij->i", q[row], x[col]) >= least
@@ -263,58 +271,112 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     reached = components(links.select(F.col("cid").alias("u"), F.col("low").alias("v")), scratch)
     named = classes.join(counted, "cid", "left").join(reached.withColumnRenamed("node", "cid"), "cid", "left")
     named = scratch.write(named.select("key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id")))
+    scratch.keep(named)
     out = rows.select("id", "key").join(named, "key", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
+def _fit(shard: int):
+    """A cell's centroids, one row each."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        c = _centroids(_unit(pdf.sort_values("cid")["vector"]), min(FAN, max(2, round(int(first["n"]) / shard))))
+        return pd.DataFrame({"label": first["label"], "node": first["node"], "slices": first["slices"], "j": np.arange(len(c)), "centre": list(c)})
+
+    return run
+
+
+_ROW = "label string, cid long, size long, vector array<double>, node long, kind int, level int, block long, was long"
+
+
+def _divide(least: float, block: int):
+    """Rows of a cell on their way to its children, ``_ROW`` (``block`` and ``was`` are 0 where there is none); rows of a cell without a sample stay where they are."""
+    sine = np.sqrt(1 - least * least) if 0 < least < 1 else 2.0 if least <= 0 else 0.0
+
+    def run(pdf: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        names = ["label", "cid", "size", "vector", "node", "kind", "level", "block", "was"]
+        if pdf.empty or centres.empty:
+            return pdf.assign(was=np.where(pdf["kind"] == HOME, pdf["n"], 0))[names]
+        centres = centres.sort_values("j")
+        c, child = np.array(centres["centre"].tolist()), centres["child"].to_numpy()
+        n, node, step, kind = int(pdf["n"].iloc[0]), int(pdf["node"].iloc[0]), int(pdf["step"].iloc[0]), pdf["kind"].to_numpy()
+        sims = _unit(pdf["vector"]) @ c.T
+        near = np.argsort(-sims, axis=1, kind="stable")[:, :2]
+        # a vector within the angle may lie in the cell of a centroid only if its edge (a plane through the origin) is within the angle
+        gap = np.sqrt(np.maximum(2 - 2 * (c[near[:, 0]] @ c.T), 0))
+        reach = np.take_along_axis(sims, near[:, :1], 1) - sims <= sine * gap + 1e-7
+        at = np.flatnonzero(kind != ASK)
+        reach[at, near[at, 0]] = False
+        own = np.flatnonzero(kind == HOME)
+        moves = [(at, kind[at], child[near[at, 0]], pdf["level"].to_numpy()[at])]
+        if len(c) > 1:
+            reach[own, near[own, 1]] = False
+            moves.append((own, np.full(len(own), NEAR), child[near[own, 1]], np.full(len(own), step)))
+        within = pdf["block"].to_numpy()
+        if n <= block:
+            within = np.where(within == 0, node, within)
+        if n <= block:
+            row = np.flatnonzero(reach.any(1))
+            moves.append((row, np.full(len(row), ASK), within[row], np.zeros(len(row), np.int64)))
+        else:
+            row, j = np.nonzero(reach)
+            moves.append((row, np.full(len(row), ASK), child[j], np.zeros(len(row), np.int64)))
+        row, kind, node_, level = (np.concatenate([m[i] for m in moves]) for i in range(4))
+        out = pdf[["label", "cid", "size", "vector"]].iloc[row].reset_index(drop=True).assign(node=node_, kind=kind, level=level)
+        return out.assign(block=np.where(kind == ASK, 0, within[row]), was=np.where(kind == HOME, n, 0))[names]
+
+    return run
+
+
+def _cells(classes: DataFrame, scratch: Scratch, least: float, shard: int, cap: int, block: int) -> DataFrame:
+    """Each class with its ``home`` cell, its one or two ``shards``, its ``block`` and the blocks that it ``asks``.
+
+    A pair is within reach at every level: of two vectors within the angle, each has a row in the cell of the other. Cells stop being divided
+    at twice ``shard`` classes or where a division left nine tenths in one child. Rows of a cell go to their children in slices, so neither a hot label nor a hot cell lies in one task.
+    """
+    rows = classes.select("label", "cid", "size", "vector", F.xxhash64("label").alias("node"), F.lit(HOME).alias("kind"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("block"), F.lit(2**62).alias("was"))
+    done, step = [], 0
+    while True:
+        step += 1
+        n = F.count(F.when(F.col("kind") == HOME, 1))
+        sizes = rows.groupBy("label", "node").agg(n.alias("n"), F.ceil(F.count("*") / SLICE).cast("int").alias("slices"), F.max("was").alias("was"))
+        sizes = scratch.write(sizes.select("label", "node", "n", "slices", F.coalesce((F.col("n") > 2 * shard) & (F.col("n") <= 0.9 * F.col("was")), F.lit(False)).alias("split")))
+        known = rows.join(sizes, ["label", "node"]).withColumn("goes", F.col("split") & ((F.col("kind") != ASK) | (F.col("n") > block)))
+        done.append(known.filter("not goes").select("label", "cid", "size", "vector", "node", "kind", "level", F.when(F.col("block") == 0, F.col("node")).otherwise(F.col("block")).alias("block")))
+        if sizes.filter("split").isEmpty():
+            break
+        known = known.filter("goes").withColumn("step", F.lit(step))
+        few = known.filter((F.col("kind") == HOME) & ((F.xxhash64("cid", "step") / F.lit(2.0**64) + 0.5) * F.col("n") < SAMPLE_ROWS))
+        fitted = few.select("label", "node", "n", "slices", "cid", "vector").groupBy("label", "node").applyInPandas(_fit(shard), "label string, node long, slices int, j int, centre array<double>")
+        fitted = fitted.withColumn("child", F.xxhash64("node", "j")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        dealt = known.withColumn("slice", F.pmod(F.xxhash64("cid", "kind", "level"), F.col("slices")).cast("int"))
+        key = ["label", "node", "slice"]
+        rows = scratch.write(dealt.groupBy(key).cogroup(fitted.groupBy(key)).applyInPandas(_divide(least, block), _ROW), narrow=False)
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    every = scratch.write(every, narrow=False)
+    home = every.filter(F.col("kind") == HOME)
+    second = every.filter(F.col("kind") == NEAR).groupBy("label", "cid").agg(F.sort_array(F.collect_list(F.struct("level", "node", "block")), asc=False).alias("found"))
+    second = scratch.write(second.withColumn("node", F.col("found")[0]["node"]))
+    filled = home.select("label", "node").unionByName(second.select("label", "node")).groupBy("label", "node").agg(F.count("*").alias("n")).filter(F.col("n") > cap)
+    second = second.join(filled.select("label", "node", F.lit(True).alias("full")), ["label", "node"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
+    second = scratch.write(second.select("label", "cid", F.when(~F.col("full"), F.col("node")).alias("second"), F.expr("slice(found, if(full, 1, 2), size(found))").getField("block").alias("left_out")))
+    asks = every.filter(F.col("kind") == ASK).select("label", "cid", "block").unionByName(second.select("label", "cid", F.explode("left_out").alias("block")))
+    asks = asks.groupBy("label", "cid").agg(F.collect_set("block").alias("asks"))
+    own = home.select("label", "cid", "size", "vector", F.col("node").alias("home"), "block").join(second.drop("left_out"), ["label", "cid"], "left").join(asks, ["label", "cid"], "left")
+    return own.withColumn("shards", F.sort_array(F.array_distinct(F.array("home", F.coalesce("second", "home"))))).drop("second")
+
+
 def _links(classes: DataFrame, scratch: Scratch, least: float, shard: int, cap: int, block: int) -> DataFrame:
     """``(cid, low, links, audited, missed)``: for each class and part the smallest class of its component and how many rows it links to."""
-    sizes = {r["label"]: r["n"] for r in classes.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    sample: dict[str, list] = {}
-    for r in classes.filter(sampled(F.xxhash64("cid"), SAMPLE_ROWS, total)).select("label", "vector").orderBy("label", F.xxhash64("vector")).collect():
-        sample.setdefault(r["label"], []).append(r["vector"])
-    centres, first = {}, 0
-    for label, found in sorted(sample.items()):
-        c = _centroids(_unit(found), min(len(found), max(1, round(sizes[label] / shard))))
-        centres[label] = (first, c)
-        first += len(c)
-
-    sine, per = np.sqrt(1 - least * least) if 0 < least < 1 else 2.0 if least <= 0 else 0.0, max(1, block // shard)
-
-    def route(pdf: pd.DataFrame) -> pd.DataFrame:
-        shards, asks, home = [None] * len(pdf), [None] * len(pdf), np.full(len(pdf), -1)
-        for label, at in pdf.groupby("label").indices.items():
-            start, c = centres.get(label, (-1, None))
-            if c is None:
-                for i in at:
-                    shards[i], asks[i] = np.array([-1]), np.empty(0, np.int64)
-                continue
-            sims = (x := _unit([pdf["vector"].iloc[i] for i in at])) @ c.T
-            near = np.argsort(-sims, axis=1, kind="stable")[:, :2]
-            first_, home[at] = near[:, 0], near[:, 0]
-            # a vector within the angle may lie in the cell of a centroid only if its edge (a plane through the origin) is within the angle
-            gap = np.sqrt(np.maximum(2 - 2 * (c[first_] @ c.T), 0))
-            far = (np.take_along_axis(sims, near[:, :1], 1) - sims <= sine * gap + 1e-7) & (np.arange(len(c)) < first_[:, None])
-            np.put_along_axis(far, near, False, 1)
-            far = np.logical_or.reduceat(far, np.arange(0, len(c), per), axis=1)
-            for i, s, f in zip(at, near + start, far):
-                shards[i], asks[i] = np.sort(s), np.flatnonzero(f)
-            home[at] += start
-        start = pdf["label"].map(lambda v: centres.get(v, (-1, None))[0]).to_numpy()
-        return pdf.assign(shards=shards, home=home, block=(home - start) // per, asks=asks)
-
-    def routed(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield route(pdf)
-
-    named = classes.mapInPandas(routed, "cid long, size long, label string, vector array<double>, shards array<int>, home int, block int, asks array<int>")
+    named = _cells(classes, scratch, least, shard, cap, block)
     members = scratch.write(named.withColumn("shard", F.explode("shards")), narrow=False)
     parts = members.groupBy("label", "shard").agg(F.count("*").alias("n")).select("label", "shard", F.ceil(F.col("n") / cap).cast("int").alias("parts"))
     members = scratch.write(members.join(parts, ["label", "shard"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")), narrow=False)
-    built = members.select("label", "cid", "shard", "part", "vector").groupBy("label", "shard", "part").applyInPandas(_build, "cid long, shard int, part int, near array<long>")
+    built = members.select("label", "cid", "shard", "part", "vector").groupBy("label", "shard", "part").applyInPandas(_build, "cid long, shard long, part int, near array<long>")
     united = scratch.write(built.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
     base = members.join(united, "cid").withColumn("indexed", F.lit(True)).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asked = members.withColumn("near", F.lit(None).cast("array<long>")).withColumn("indexed", F.lit(False)).withColumn("ask", F.col("part")).drop("part")
@@ -327,13 +389,13 @@ def _links(classes: DataFrame, scratch: Scratch, least: float, shard: int, cap:
 
 def _apart(members: DataFrame, scratch: Scratch, least: float, block: int) -> DataFrame:
     """What ``_across`` finds: every block against the classes that ask for it, both dealt into parts of ``block`` classes."""
-    own = members.filter("shard = home").select("label", "block", "cid", "size", "vector", "shards", "home", "asks")
+    own = members.filter("shard = home").select("label", "block", "cid", "size", "vector", "shards", "asks")
     parts = scratch.write(own.groupBy("label", "block").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
     own = own.join(parts, ["label", "block"]).withColumn("sub", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts")).cast("int")).drop("parts")
     key = ["label", "block", "sub", "ask_block", "ask_sub"]
-    asked = own.withColumnsRenamed({"block": "ask_block", "sub": "ask_sub"}).withColumn("block", F.explode("asks")).join(parts, ["label", "block"])
+    asked = own.withColumnsRenamed({"block": "ask_block", "sub": "ask_sub"}).withColumn("block", F.explode("asks")).filter("block <= ask_block").join(parts, ["label", "block"])
     asked = asked.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    names = [*key, "cid", "size", "vector", "shards", "home"]
+    names = [*key, "cid", "size", "vector", "shards"]
     units = scratch.write(asked.select(key).distinct())
     base = own.join(units, ["label", "block", "sub"]).select(*names, F.lit(True).alias("indexed"))
     both = base.unionByName(asked.select(*names, F.lit(False).alias("indexed")))
