@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, Scratch, joined_components
 from .sketch import SLOTS, level_of, levels, packed, slot
-from .words import Words, mix, pieces, shingles, utf8
+from .words import Words, mix, parts, pieces, shingles, trim, utf8
 
 #: Bits of the filter that keeps unwanted texts out of a shuffle.
 _BITS = 1 << 23
@@ -82,6 +82,7 @@ def _describe(k: int):
             part, block = packed(counts)
             none = pa.nulls(len(part))
             yield pa.record_batch([*[none.cast(pa.int64())] * 4, none.cast(pa.binary()), part, block], schema=schema)
+        trim()
 
     return run
 
@@ -117,6 +118,7 @@ def _pack(levels_of, hot: int, t: Fraction, buckets: int, sets_of):
             size = np.diff([*edge, len(row)]).astype("<i4")
             blocks = [s.tobytes() + x for s, x in zip(size, blocks)]
             yield pa.record_batch([pa.array(bucket[edge]), pa.array(blocks, pa.binary())], schema=schema)
+        trim()
 
     return run
 
@@ -156,13 +158,12 @@ def _with_pivots(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def _compare(batches):
     """Overlap and union of the two sets of each row ``(x, y, a, b)``, many pairs at once."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
+        for part in parts(batch, "ab"):
             rows = []
             for name in "ab":
-                column = part.column(part.schema.get_field_index(name))
-                size = np.array([len(v) // 8 for v in column.to_pylist()])
-                rows.append((np.repeat(np.arange(len(size)), size), np.frombuffer(b"".join(column.to_pylist()), _U)))
+                h = part.column(part.schema.get_field_index(name)).to_pylist()
+                size = np.array([len(v) // 8 for v in h])
+                rows.append((np.repeat(np.arange(len(size)), size), np.frombuffer(b"".join(h), _U)))
             pair, h = np.concatenate([rows[0][0], rows[1][0]]), np.concatenate([rows[0][1], rows[1][1]])
             order = np.lexsort((h, pair))
             pair, h = pair[order], h[order]
@@ -171,6 +172,7 @@ def _compare(batches):
             size = [np.bincount(r[0], minlength=part.num_rows) for r in rows]
             columns = [part.column(part.schema.get_field_index(c)) for c in "xy"] + [pa.array(c.astype(np.int64)) for c in (both, size[0] + size[1] - both)]
             yield pa.record_batch(columns, names=["x", "y", "both", "union"])
+    trim()
 
 
 def _bound(t: Fraction):
@@ -320,6 +322,7 @@ def _store(k: int):
                 yield pa.record_batch([pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.int64()))], names=["cls", "h", "n"])
                 if len(seen) > _SEEN:
                     seen.clear()
+        trim()
 
     return run
 
@@ -412,11 +415,11 @@ def _recount(sets: DataFrame, t: Fraction, scratch: Scratch) -> DataFrame:
     """Prefixes of these sets under exact counts within them alone."""
     def explode(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in parts(batch, "h"):
                 h = part.column(1).to_pylist()
                 n = np.array([len(x) // 8 for x in h])
                 yield pa.record_batch([pa.array(np.repeat(np.asarray(part.column(0)), n)), pa.array(np.frombuffer(b"".join(h), np.int64)), pa.array(np.repeat(n, n))], names=["cls", "s", "n"])
+        trim()
 
     each = sets.mapInArrow(explode, "cls long, s long, n long")
     count = scratch.write(each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"))

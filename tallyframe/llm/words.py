@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _IS_WORD = np.ones(256, dtype=bool)
@@ -116,7 +117,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def pieces(batch: pa.RecordBatch, text: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of text (a longer text stays whole)."""
     column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string())
-    size = np.diff(utf8(column)[1])
+    yield from _cut(batch, np.diff(utf8(column)[1]), limit)
+
+
+def parts(batch: pa.RecordBatch, names: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same by the bytes of all binary columns ``names`` (a letter each)."""
+    sizes = [pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(c))), 0).to_numpy(zero_copy_only=False) for c in names]
+    yield from _cut(batch, sum(x.astype(np.int64) for x in sizes), limit)
+
+
+def _cut(batch: pa.RecordBatch, size: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
     part = np.cumsum(size) // limit
     edge = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
     for a, b in zip(edge, edge[1:]):
