@@ -1,7 +1,7 @@
 """Operator 1: SentencePiece encoding and decoding on the tokenizers library.
 
 The model's protobuf is parsed here (pieces with scores and types, trainer and normaliser settings) and rebuilt as a
-``tokenizers`` pipeline: character map, white-space rules, the metaspace marker in place of spaces, unigram scores or
+``tokenizers`` pipeline: character map (``CharMap``), white-space rules, the metaspace marker in place of spaces, unigram scores or
 BPE merges in score order, and byte fallback. If no piece of the vocabulary has a marker after another character,
 no token crosses a space, so a text falls apart into units of spaces and what follows them; each distinct unit is then
 encoded once, in batches and on several threads, and its ids are reused. Every new unit is also encoded with the
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -111,11 +112,12 @@ class Model:
         return plain and self.dummy_prefix and not self.charsmap and not self.extra_spaces_removed and not any(k == USER for _, _, k in self.pieces)
 
     def normaliser(self):
+        """What follows the character map."""
         from tokenizers import Regex, normalizers as N
 
-        steps = [N.Precompiled(self.charsmap)] if self.charsmap else []
+        steps = []
         if self.extra_spaces_removed:
-            steps += [N.Replace(Regex(" {2,}"), " "), N.Strip()]
+            steps += [N.Replace(Regex(" {2,}"), " "), N.Replace(Regex(r"\A | \z"), "")]
         steps += [N.Prepend(_SPACE)] * self.dummy_prefix + [N.Replace(" ", _SPACE)]
         return N.Sequence(steps)
 
@@ -156,6 +158,44 @@ class Model:
         return table
 
 
+class CharMap:
+    """A model's character map: a double-array trie of UTF-8 keys with their replacements. At each place the longest key applies; user pieces stay as they are.
+
+    The tokenizers library's own step takes the shortest key of a letter with combining marks, so that under case folding the marks are lost.
+    """
+
+    def __init__(self, raw: bytes, users: list[str]):
+        size = int.from_bytes(raw[:4], "little")
+        unit, texts, letters = np.frombuffer(raw, "<u4", size // 4, 4).astype(np.int64), raw[4 + size :], np.arange(1, 256)
+        base = lambda at: at ^ int(unit[at] >> 10 << ((unit[at] & 512) >> 6))
+        self.to, todo = {}, [(b"", base(0))]
+        while todo:
+            key, at = todo.pop()
+            child = at ^ letters
+            inside = child < len(unit)
+            for c in letters[inside][(unit[child[inside]] & 0x800000FF) == letters[inside]].tolist():
+                below = base(at ^ c)
+                if unit[at ^ c] >> 8 & 1:
+                    start = int(unit[below]) & 0x7FFFFFFF
+                    self.to[(key + bytes([c])).decode()] = texts[start : texts.index(b"\0", start)].decode()
+                todo.append((key + bytes([c]), below))
+        self.starts: dict[str, list[str]] = {}
+        for keys in (users, self.to):
+            for k in sorted(keys, key=len, reverse=True):
+                self.starts.setdefault(k[0], []).append(k)
+        self.to |= {u: u for u in users}
+        self.first = re.compile("[" + "".join(map(re.escape, self.starts)) + "]") if self.starts else None
+
+    def apply(self, text: str) -> str:
+        out, done = [], 0
+        for m in self.first.finditer(text) if self.first else ():
+            at = m.start()
+            if at >= done and (key := next((k for k in self.starts[m[0]] if text.startswith(k, at)), None)) is not None:
+                out += [text[done:at], self.to[key]]
+                done = at + len(key)
+        return "".join([*out, text[done:]])
+
+
 class Codec(PreTokens):
     """Encodes and decodes batches; keeps the ids of distinct units between batches."""
 
@@ -167,6 +207,7 @@ class Codec(PreTokens):
         self.by_unit = self.model.units()
         self.tokenizer = self.model.tokenizer(normalised=self.by_unit)
         self.whole = self.model.tokenizer()
+        self.charmap = CharMap(self.model.charsmap, [p for p, _, kind in self.model.pieces if kind == USER]) if self.model.charsmap else None
         self.original = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = PieceBytes(self.model.piece_bytes())
         self.differ: set[int] = set()
@@ -198,7 +239,7 @@ class Codec(PreTokens):
         if not marked.any():
             return flat, count, same
         texts = column.filter(pa.array(marked)).to_pylist()
-        ids = self._encode(texts, self.whole)
+        ids = self._encode([self.charmap.apply(x) for x in texts] if self.charmap else texts, self.whole)
         others = [a == b for a, b in zip(ids, self.original.encode(texts, num_threads=_THREADS))]
         begin = np.concatenate([[0], np.cumsum(count)])
         each, sizes, equal = iter([flat[a:b] for a, b in zip(begin[:-1], begin[1:])]), [], np.zeros(len(column), bool)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,48 @@ def test_unigram_model_is_rebuilt():
     assert tokens == ["▁ab", "▁a", "<0xC3>", "<0xA9>"]
 
 
+def unigram_file(path, byte_fallback, rule):
+    """A unigram model of all short substrings of some words, with irregular scores and the character map ``rule`` of the original library."""
+    import sentencepiece
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    field = lambda number, raw: varint(number << 3 | 2) + varint(len(raw)) + raw
+    number = lambda at, n: varint(at << 3) + varint(n)
+    words = ["▁the", "▁theta", "▁lantern", "▁turned", "in", "ing", "1/2", "▁éclair", "fi", "Åß", "日本", "カ", "▁", "▁▁", "."]
+    parts = sorted({w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, min(i + 5, len(w)) + 1)})
+    pieces = [("<unk>", 0.0, sentencepiece_codec.UNKNOWN), ("<s>", 0.0, sentencepiece_codec.CONTROL), ("</s>", 0.0, sentencepiece_codec.CONTROL)]
+    pieces += [(x, -2 - zlib.crc32(x.encode()) % 100_003 / 20_011 - 2 / len(x), sentencepiece_codec.NORMAL) for x in parts]
+    pieces += [(f"<0x{i:02X}>", 0.0, sentencepiece_codec.BYTE) for i in range(256)] * byte_fallback
+    raw = b"".join(field(1, field(1, x.encode()) + b"\x15" + np.float32(score).tobytes() + number(3, kind)) for x, score, kind in pieces)
+    raw += field(2, number(3, 1) + number(35, int(byte_fallback)))
+    raw += sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto() if rule else field(3, number(4, 0))
+    path.write_bytes(raw)
+    return str(path)
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+@pytest.mark.parametrize("rule", [None, "nfkc", "nmt_nfkc", "nmt_nfkc_cf"])
+def test_unigram_models_equal_the_original(tmp_path, byte_fallback, rule):
+    """Scores, byte fallback, unknown characters, character map and white-space rules, against the original library."""
+    import sentencepiece
+
+    path = unigram_file(tmp_path / "unigram.model", byte_fallback, rule)
+    original, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
+    assert bool(codec.model.charsmap) == (rule is not None)
+    rng = random.Random(17)
+    words = ["the", "theta", "lantern", "turned", "turning", "½", "éclair", "e\u0301clair", "ﬁn", "Åß", "A\u030a", "日本", "ｶ", "カ", ".", "x", "😀", "ＴＨＥ"]
+    texts = ["", " ", "the", " the  lantern ", "the\u3000theta", "\u00a0the", "\tthe\n", "the\u2003 \ntheta ", "A\u030a\u0301B\u0327", "\u1e9b\u0323"] + [(" " * rng.choice([1, 1, 0, 2])).join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    flat, count, same = codec.encode_all(pa.array(texts))
+    ends = np.cumsum(count)
+    for text, a, b in zip(texts, ends - count, ends):
+        ids = flat[a:b].tolist()
+        assert ids == original.encode(text), text
+        assert codec.decode(ids) == original.decode(ids), text
+    assert all(same)
+
+
 def test_sentencepiece_rows(spark):
     df = spark.createDataFrame([(1, "Hello  world\n"), (2, None), (3, ""), (None, "x"), (1, "Hello  world\n")], "doc_id long, text string").withColumn("ids", F.lit(0))
     out = sentencepiece_codec.round_trip(df, PIECES).collect()

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from tallyframe.llm import pii, substring_dedup  # noqa: E402
 from tallyframe.llm.jaccard_join import jaccard_join  # noqa: E402
 from tallyframe.llm.language_id import language_fold, language_id  # noqa: E402
 from tallyframe.llm.packing import differencing, equal_windows, pack  # noqa: E402
+from tallyframe.llm.words import Words, mix, utf8  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -279,6 +282,41 @@ def test_fingerprints_follow_the_contract(spark):
     assert all(plain[i] == out[i]["fingerprint"] for i in out)
 
 
+def plain_bins(text):
+    """One text's bits, bin by bin: the least hash of each bin, then for an empty one that of the first full bin that its own row of tries meets."""
+    words = Words(*utf8(pa.array([text], pa.large_string())), lower=True)
+    a, b, _ = words.windows(5, short=True)
+    least = {}
+    for h in fp.SECOND.spans(words.hashes(fp.FIRST), a, b).tolist():
+        at = h >> 55
+        least[at] = min(h, least.get(at, h))
+    one = lambda x: int(mix(np.array([x % 2**64], np.uint64))[0])
+    out = []
+    for at in range(512):
+        tries = (one(at * 256 + t) % 512 for t in range(256))
+        source = at if at in least else next((j for j in tries if j in least), None)
+        if source is None:
+            start = one(at * 256 + 256) % 512
+            source = next(j % 512 for j in range(start, start + 512) if j % 512 in least)
+        out.append(one(least[source] + at * 0x9E3779B97F4A7C15) & 15)
+    return "".join(f"{x:x}" for x in out)
+
+
+def test_fingerprint_bits_equal_plain_ones():
+    """Full and empty bins, one shingle alone and the even bin of each byte in its high half."""
+    rng = random.Random(8)
+    texts = ["one", "a b c d e f", *(" ".join(f"w{rng.randrange(n)}" for _ in range(n)) for n in (9, 40, 300, 5000))]
+    assert fp.packed_hex(*fp.fingerprint(texts)) == [plain_bins(x) for x in texts]
+
+
+def test_language_ties_go_to_the_first_label(spark):
+    """Two labels learnt from the same texts have equal prototypes."""
+    text = ["the lantern turned in the long dark hall", "eine lange dunkle halle und ein licht"]
+    train = spark.createDataFrame([(text[0], "zz"), (text[0], "bb"), (text[1], "aa"), (text[1], "cc")], "text string, lang string")
+    out = language_id(spark.createDataFrame([(i, x) for i, x in enumerate(text)], "doc_id long, text string"), train).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in out] == ["bb", "aa"] and all(r["score"] > 0.999 for r in out)
+
+
 def test_fingerprint_edges(spark, edges, nothing):
     out = fp.edited_fingerprints(edges).collect()
     assert len(out) == len(EDGES) and fp.edited_fingerprints(nothing).count() == 0
