@@ -228,6 +228,21 @@ def test_embedding_dedup_finds_pairs_across_shards(spark):
     assert sorted(tuple(r) for r in out) == brute_links(rows)
 
 
+def test_embedding_dedup_recall_of_many_vectors(spark):
+    """Of 20,000 vectors in one label, every row divisible by 20 has the links that an exhaustive comparison finds."""
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(20_000, 32))
+    x[10_000:11_000] = x[:1_000] + rng.normal(size=(1_000, 32)) * 0.37
+    x[12_000:12_600] = x[5] + rng.normal(size=(600, 32)) * 0.25
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64())), "label": np.ones(len(x), np.int32)}))
+    out = embedding_dedup.embedding_dedup(df).toPandas().set_index("vec_id")["n_links"]
+    true = (x[::20] @ x.T >= 0.93).sum(1) - 1
+    got = out.loc[np.arange(0, len(x), 20)].to_numpy()
+    assert true.sum() > 1_000 and (got <= true).all() and got.sum() >= 0.98 * true.sum()
+    print("links found", got.sum(), "of", true.sum())
+
+
 def test_embedding_components_keep_chains():
     """A chain 1-5-6-2: no end of its middle link has the other as smallest neighbour."""
     assert embedding_dedup._merge(np.arange(7), np.array([1, 5, 6, 5, 6, 2]), np.array([5, 6, 2, 1, 5, 6])).tolist() == [0, 1, 1, 3, 4, 1, 1]
