@@ -60,7 +60,7 @@ def enriched(history: DataFrame, limits: Thresholds, keys: tuple[str, ...] = KEY
     """
     said = scoped(dimension(history, keys) if reports is None else reports, limits, keys).filter("trailing or recent or latest")
     said = said.select(_store(keys), "report_id", "period_end", "trailing", "recent", "latest", "latest_end", "first_start", "trailing_days", "since")
-    rows = history.withColumn("_store", _store(keys)).join(said, ["_store", "report_id", "period_end"])
+    rows = history.withColumn("_store", _store(keys)).join(F.broadcast(said), ["_store", "report_id", "period_end"])  # a row for each report of a store
     recent, sold = F.col("recent"), (F.col("sales") > 0) | (F.col("sales_free") > 0)
     facts = rows.groupBy(*keys, "sku").agg(
         F.max(F.when(F.col("latest"), F.struct("closing_stock", "value", "brand"))).alias("now"),

@@ -12,7 +12,7 @@ ENTRY_STATE = "sku string, last_purchase date, last_sale date"
 
 def tidy(grid: DataFrame) -> DataFrame:
     """A batch of grids as statement rows with their periods."""
-    return dedupe_entries(statement_rows(grid)).join(banner(grid), "file")
+    return dedupe_entries(statement_rows(grid)).join(F.broadcast(banner(grid)), "file")
 
 
 def ingest_stream(spark: SparkSession, grids: str, schema, out: str, checkpoint: str):
@@ -34,8 +34,8 @@ def activity(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sku").agg(F.max(F.when(F.col("purchase") > 0, F.col("period_end"))).alias("last_purchase"), F.max(F.when(sold, F.col("period_end"))).alias("last_sale"))
 
 
-def activity_stream(spark: SparkSession, rows: str, schema, out: str, checkpoint: str):
-    """History files as they arrive: the state store keeps every SKU's dates, and each batch writes the SKUs that it changed.
+def activity_stream(spark: SparkSession, rows: str, schema, out: str, checkpoint: str, files: int = 4):
+    """History files as they arrive: the state store keeps every SKU's dates, and each batch of ``files`` files writes the SKUs that it changed.
 
     Late and backfilled periods are normal, and a maximum takes them in any order. Batch ``n`` goes to a folder of its own number and
     replaces it, so a batch that is run again leaves no copies. Removed reports can't be taken out of a maximum: rebuild with
@@ -45,7 +45,7 @@ def activity_stream(spark: SparkSession, rows: str, schema, out: str, checkpoint
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(rows)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(rows)
     return activity(stream).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
