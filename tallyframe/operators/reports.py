@@ -18,8 +18,9 @@ LATEST = ("period_end", "period_start")
 
 
 def dimension(history: DataFrame) -> DataFrame:
-    """Distinct reports of a history."""
-    return history.select(*REPORT).dropDuplicates(["report_id"])
+    """Distinct reports of a history. Equal rows fall together by hash first, as a first value of text for each report would sort a task's rows."""
+    first = Window.partitionBy("report_id").orderBy(*REPORT[1:])
+    return history.select(*REPORT).distinct().withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
 def trailing_window(reports: DataFrame, target: int, keys: tuple[str, ...] = ()) -> DataFrame:
