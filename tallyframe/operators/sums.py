@@ -17,22 +17,35 @@ from ..thresholds import Thresholds
 from .enriched import current_snapshot, cutoff, with_facts
 from .reports import Scope
 
-_ORDER = "struct<period_end:date,period_start:date>"
-SUMS = f"sku string, first {_ORDER}, opening double, purchase double, sales double, sales_free double, other_issue double, last_purchase date, last_sale date, month date"
+SUMS = "sku string, first long, opening double, purchase double, sales double, sales_free double, other_issue double, last_purchase date, last_sale date, month date"
 _TOTALS = ("purchase", "sales", "sales_free", "other_issue")
+#: How many rows a task that makes sums gets, about, and how many a file of sums has at most, as a task that reads them takes several files.
+RANGE_ROWS, FILE_ROWS = 1 << 19, 1 << 16
 
 
 def month(day: str = "period_end") -> Column:
     return F.trunc(day, "month")
 
 
-def monthly(rows: DataFrame) -> DataFrame:
-    """What each SKU did in each month: its first opening, sums of movements, and last paid purchase and sale."""
-    order, sold = F.struct("period_end", "period_start"), (F.col("sales") > 0) | (F.col("sales_free") > 0)
+def _order() -> Column:
+    """``(period_end, period_start)`` as one number, by end and then by start, nulls lowest: aggregates of numbers are hashed, those of structs sort all rows."""
+    end, start = (F.coalesce(F.unix_date(c).cast("long"), F.lit(-(1 << 30))) for c in ("period_end", "period_start"))
+    return end * (1 << 32) + start
+
+
+def monthly(rows: DataFrame, ranges: int | None = None) -> DataFrame:
+    """What each SKU did in each month: its first opening, sums of movements, and last paid purchase and sale.
+
+    With ``ranges`` rows are cut into as many by month and SKU, and each is summed where it lies.
+    """
+    sold = (F.col("sales") > 0) | (F.col("sales_free") > 0)
     received = F.col("purchase") + F.col("purchase_free") + F.col("other_receipt")
-    return rows.groupBy("sku", month().alias("month")).agg(
-        F.min(order).alias("first"),
-        F.min_by("opening_stock", order).alias("opening"),
+    rows = rows.withColumn("month", month())
+    if ranges is not None:
+        rows = rows.repartitionByRange(ranges, "month", "sku")
+    return rows.groupBy("sku", "month").agg(
+        F.min(_order()).alias("first"),
+        F.min_by("opening_stock", _order()).alias("opening"),
         F.sum(received).alias("purchase"),
         *[F.sum(c).alias(c) for c in ("sales", "sales_free", "other_issue")],
         F.max(F.when(F.col("purchase") > 0, F.col("period_end"))).alias("last_purchase"),
@@ -46,15 +59,13 @@ def write_sums(history: DataFrame, path: str, months: list[date] | None = None)
     Writing a month again gives the same, so a lost run is simply repeated.
     """
     spark = history.sparkSession
-    if months is None:
-        rows, mode = history, "static"
-    else:
-        rows, mode = history.filter(_within(months)), "dynamic"
-        left = {r[0] for r in rows.select(month()).distinct().collect()}
-        for m in set(months) - left:
-            folders.delete(spark, f"{path}/month={m}")
-    made = monthly(rows).select([c.split()[0] for c in SUMS.split(", ")])
-    made.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("month").parquet(path)
+    rows, mode = (history, "static") if months is None else (history.filter(_within(months)), "dynamic")
+    held = dict(rows.groupBy(month()).count().collect())  # a row for each month
+    for m in set(months or ()) - set(held):
+        folders.delete(spark, f"{path}/month={m}")
+    ranges = max(spark.sparkContext.defaultParallelism, -(-sum(held.values()) // RANGE_ROWS))
+    made = monthly(rows, ranges).select([c.split()[0] for c in SUMS.split(", ")])
+    made.write.mode("overwrite").option("partitionOverwriteMode", mode).option("maxRecordsPerFile", FILE_ROWS).partitionBy("month").parquet(path)
 
 
 def _within(months: list[date]) -> Column:
@@ -85,7 +96,7 @@ def facts(sums: DataFrame, history: DataFrame, reports: DataFrame, scope: Scope,
     sold, received = (F.col("sales") > 0) | (F.col("sales_free") > 0), F.col("purchase") + F.col("purchase_free") + F.col("other_receipt")
     edge = rows.filter("t or r").select(
         "sku",
-        F.struct("period_end", "period_start").alias("first"),
+        _order().alias("first"),
         F.col("opening_stock").alias("opening"),
         received.alias("purchase"),
         *("sales", "sales_free", "other_issue"),
