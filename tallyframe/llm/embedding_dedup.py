@@ -12,7 +12,7 @@
    range expansion, in which the neighbours of every vector in range are visited until no new one is found. Each pair
    is counted in one shard only, and kept if its cosine in double precision reaches the threshold.
    Two classes that share neither shard are compared exactly, in blocks (``_across``): a block is the largest cell of at most ``block``
-   classes, and a class goes to every block with a cell that the threshold's angle round it may reach, so no pair is lost between shards.
+   classes with its neighbours up to about as many, and a class goes to every block with a cell that the threshold's angle round it may reach, so no pair is lost between shards.
 5. In each part the classes whose id is divisible by 20 are also searched exhaustively. If that audit finds a
    recall below ``RECALL``, the whole part is compared in blocks instead.
 
@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, components
 
@@ -288,17 +289,22 @@ def _fit(shard: int):
     return run
 
 
-_ROW = "label string, cid long, size long, vector array<double>, node long, kind int, level int, block long, was long"
+_ROW = "label string, cid long, size long, vector array<double>, node long, parent long, kind int, level int, block long, was long, asks array<long>, open boolean"
 
 
 def _divide(least: float, block: int):
-    """Rows of a cell on their way to its children, ``_ROW`` (``block`` and ``was`` are 0 where there is none); rows of a cell without a sample stay where they are."""
+    """Rows of a cell on their way to its children, ``_ROW`` (``block`` and ``was`` are 0 where there is none); rows of a cell without a sample stay where they are.
+
+    What a row asks for within the angle is a list beside it, of blocks or, where the cell is ``open`` (larger than a block), of children: a row without
+    clusters is within reach of nearly every child, so its vector is not repeated for each.
+    """
     sine = np.sqrt(1 - least * least) if 0 < least < 1 else 2.0 if least <= 0 else 0.0
 
     def run(pdf: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-        names = ["label", "cid", "size", "vector", "node", "kind", "level", "block", "was"]
+        names = [c.split()[0] for c in _ROW.split(", ")]
         if pdf.empty or centres.empty:
-            return pdf.assign(was=np.where(pdf["kind"] == HOME, pdf["n"], 0))[names]
+            stays = [[v] if k == ASK else None for v, k in zip(pdf["node"], pdf["kind"])]
+            return pdf.assign(was=np.where(pdf["kind"] == HOME, pdf["n"], 0), asks=stays, open=True)[names]
         centres = centres.sort_values("j")
         c, child = np.array(centres["centre"].tolist()), centres["child"].to_numpy()
         n, node, step, kind = int(pdf["n"].iloc[0]), int(pdf["node"].iloc[0]), int(pdf["step"].iloc[0]), pdf["kind"].to_numpy()
@@ -307,24 +313,21 @@ def _divide(least: float, block: int):
         # a vector within the angle may lie in the cell of a centroid only if its edge (a plane through the origin) is within the angle
         gap = np.sqrt(np.maximum(2 - 2 * (c[near[:, 0]] @ c.T), 0))
         reach = np.take_along_axis(sims, near[:, :1], 1) - sims <= sine * gap + 1e-7
-        at = np.flatnonzero(kind != ASK)
+        at, own, only = (np.flatnonzero(x) for x in (kind != ASK, kind == HOME, kind == ASK))
         reach[at, near[at, 0]] = False
-        own = np.flatnonzero(kind == HOME)
-        moves = [(at, kind[at], child[near[at, 0]], pdf["level"].to_numpy()[at])]
+        moves = [(at, kind[at], child[near[at, 0]], pdf["level"].to_numpy()[at]), (only, kind[only], np.zeros(len(only), np.int64), np.zeros(len(only), np.int64))]
         if len(c) > 1:
             reach[own, near[own, 1]] = False
             moves.append((own, np.full(len(own), NEAR), child[near[own, 1]], np.full(len(own), step)))
         within = pdf["block"].to_numpy()
         if n <= block:
-            within = np.where(within == 0, node, within)
-        if n <= block:
-            row = np.flatnonzero(reach.any(1))
-            moves.append((row, np.full(len(row), ASK), within[row], np.zeros(len(row), np.int64)))
+            within = np.where(within == 0, pdf["bundle"].to_numpy(), within)
+            asks = [[v] if r else None for v, r in zip(within, reach.any(1))]
         else:
-            row, j = np.nonzero(reach)
-            moves.append((row, np.full(len(row), ASK), child[j], np.zeros(len(row), np.int64)))
+            asks = np.split(child[np.nonzero(reach)[1]], np.cumsum(reach.sum(1))[:-1])
         row, kind, node_, level = (np.concatenate([m[i] for m in moves]) for i in range(4))
-        out = pdf[["label", "cid", "size", "vector"]].iloc[row].reset_index(drop=True).assign(node=node_, kind=kind, level=level)
+        asks = [asks[i] if j < len(at) + len(only) else None for j, i in enumerate(row)]
+        out = pdf[["label", "cid", "size", "vector"]].iloc[row].reset_index(drop=True).assign(node=node_, parent=node, kind=kind, level=level, asks=asks, open=n > block)
         return out.assign(block=np.where(kind == ASK, 0, within[row]), was=np.where(kind == HOME, n, 0))[names]
 
     return run
@@ -335,16 +338,21 @@ def _cells(classes: DataFrame, scratch: Scratch, least: float, shard: int, cap:
 
     A pair is within reach at every level: of two vectors within the angle, each has a row in the cell of the other. Cells stop being divided
     at twice ``shard`` classes or where a division left nine tenths in one child. Rows of a cell go to their children in slices, so neither a hot label nor a hot cell lies in one task.
+    Children of a cell that is larger than a block share blocks of about ``block`` classes, so there are few blocks to ask.
     """
-    rows = classes.select("label", "cid", "size", "vector", F.xxhash64("label").alias("node"), F.lit(HOME).alias("kind"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("block"), F.lit(2**62).alias("was"))
+    rows = classes.select("label", "cid", "size", "vector", F.xxhash64("label").alias("node"), F.lit(0).cast("long").alias("parent"), F.lit(HOME).alias("kind"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("block"), F.lit(2**62).alias("was"))
     done, step = [], 0
     while True:
         step += 1
         n = F.count(F.when(F.col("kind") == HOME, 1))
-        sizes = rows.groupBy("label", "node").agg(n.alias("n"), F.ceil(F.count("*") / SLICE).cast("int").alias("slices"), F.max("was").alias("was"))
-        sizes = scratch.write(sizes.select("label", "node", "n", "slices", F.coalesce((F.col("n") > 2 * shard) & (F.col("n") <= 0.9 * F.col("was")), F.lit(False)).alias("split")))
+        sizes = rows.groupBy("label", "node").agg(n.alias("n"), F.ceil(F.count("*") / SLICE).cast("int").alias("slices"), F.max("was").alias("was"), F.max("parent").alias("parent"))
+        earlier = Window.partitionBy("label", "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # of one cell's children
+        before = F.coalesce(F.sum(F.when(F.col("n") <= block, F.col("n"))).over(earlier), F.lit(0))
+        sizes = sizes.withColumn("bundle", F.when(F.col("n") > block, F.col("node")).otherwise(F.xxhash64("parent", F.floor(before / block))))
+        sizes = scratch.write(sizes.select("label", "node", "n", "slices", "bundle", F.coalesce((F.col("n") > 2 * shard) & (F.col("n") <= 0.9 * F.col("was")), F.lit(False)).alias("split")))
         known = rows.join(sizes, ["label", "node"]).withColumn("goes", F.col("split") & ((F.col("kind") != ASK) | (F.col("n") > block)))
-        done.append(known.filter("not goes").select("label", "cid", "size", "vector", "node", "kind", "level", F.when(F.col("block") == 0, F.col("node")).otherwise(F.col("block")).alias("block")))
+        found = F.when(F.col("block") == 0, F.col("bundle")).otherwise(F.col("block")).alias("block")
+        done.append(known.filter("not goes").select("label", "cid", "size", F.when(F.col("kind") == HOME, F.col("vector")).alias("vector"), "node", "kind", "level", found))
         if sizes.filter("split").isEmpty():
             break
         known = known.filter("goes").withColumn("step", F.lit(step))
@@ -353,7 +361,11 @@ def _cells(classes: DataFrame, scratch: Scratch, least: float, shard: int, cap:
         fitted = fitted.withColumn("child", F.xxhash64("node", "j")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         dealt = known.withColumn("slice", F.pmod(F.xxhash64("cid", "kind", "level"), F.col("slices")).cast("int"))
         key = ["label", "node", "slice"]
-        rows = scratch.write(dealt.groupBy(key).cogroup(fitted.groupBy(key)).applyInPandas(_divide(least, block), _ROW), narrow=False)
+        made = scratch.write(dealt.groupBy(key).cogroup(fitted.groupBy(key)).applyInPandas(_divide(least, block), _ROW), narrow=False)
+        asked = lambda test, vector, at: made.filter(test).select("label", "cid", "size", vector.alias("vector"), F.explode("asks").alias("node"), *at)  # noqa: B023, E731
+        zero, none = F.lit(0).cast("long"), F.lit(None).cast("array<double>")
+        done.append(asked("not open", none, [F.lit(ASK).alias("kind"), F.lit(0).alias("level")]).withColumn("block", F.col("node")))
+        rows = made.filter(F.col("kind") != ASK).drop("asks", "open").unionByName(asked("open", F.col("vector"), ["parent", F.lit(ASK).alias("kind"), F.lit(0).alias("level"), zero.alias("block"), zero.alias("was")]))
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)

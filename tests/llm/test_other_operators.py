@@ -214,6 +214,19 @@ def test_embedding_cells_move_rows_in_proportion(spark, monkeypatch):
     assert moved[1] <= 4.4 * moved[0]
 
 
+def test_embedding_cells_beyond_a_block_repeat_no_vectors(spark):
+    """Without clusters nearly every cell is within reach: a label of several blocks is asked for by block, and no vector is written for each cell."""
+    rng = np.random.default_rng(23)
+    n, block = 3_000, 600
+    df = spark.createDataFrame([("24:0", i, 1, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 24)))], "label string, cid long, size long, vector array<double>")
+    scratch = embedding_dedup.Scratch(spark)
+    got = embedding_dedup._cells(df, scratch, 0.93, 20, 100, block).select("cid", "block", F.size(F.coalesce("asks", F.array().cast("array<long>"))).alias("asks")).toPandas()
+    assert len(got) == n and got["block"].nunique() <= 2 * n // block and got["block"].value_counts().max() < 2 * block
+    assert got["asks"].max() <= 2 * n // block
+    tables = [spark.read.parquet(p) for p in scratch.held]
+    assert max(t.filter("vector is not null").count() for t in tables if "vector" in t.columns) <= 4 * n  # its own row, and one at each level where it is near another cell
+
+
 def test_embedding_dedup_finds_pairs_across_shards(spark):
     """Planted pairs at 0.93 to 0.95 with many centroids a label: all are found, whichever shards their ends are in."""
     rng = np.random.default_rng(12)
