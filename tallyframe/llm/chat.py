@@ -167,7 +167,7 @@ def chat_tree(rows: DataFrame, path: str, paths: int = 256) -> tuple[DataFrame,
     child = F.coalesce(F.try_element_at("nodes", F.coalesce("hot.depth", F.lit(-1)) + 2), "leaf")
     name = F.concat_ws(":", F.coalesce("hot.node", F.lit("")), F.pmod(F.xxhash64(child), bins(F.coalesce("hot.paths", F.lit(total)))))
     dealt = distinct.join(deepest, "leaf", "left").select(name.alias("pack"), "nodes", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    packs = scratch.write(dealt.groupBy("pack").applyInPandas(_emit(path), _PACK), narrow=False)
+    packs = scratch.write(dealt.groupBy("pack").applyInPandas(_emit(path), _PACK), narrow=False, large_rows=True)
     scratch.keep(packs, whole)
     return packs, whole.select("conv_id", "leaf")
 
@@ -175,6 +175,6 @@ def chat_tree(rows: DataFrame, path: str, paths: int = 256) -> tuple[DataFrame,
 def chat_digest(rows: DataFrame, path: str) -> DataFrame:
     """What each conversation says, read back from the packed sequences."""
     packs, convs = chat_tree(rows, path)
-    read = packs.mapInArrow(_read(path), "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    read = packs.select("tokens", "loss", "leaves", "nodes").mapInArrow(_read(path), "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     out = convs.join(read.hint("merge"), "leaf").drop("leaf")
     return out.withColumn("conv_id", F.when(F.col("conv_id") != NO_ID, F.col("conv_id")))

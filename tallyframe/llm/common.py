@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 
 
+#: Bytes of a row group of large rows.
+ROW_GROUP = 1 << 24
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only on a single machine, where that may be unset, one under /tmp."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -48,13 +52,17 @@ class Scratch:
         self.held: set[str] = set()
         self.made = 0
 
-    def write(self, df: DataFrame, narrow: bool = True) -> DataFrame:
-        """Write and reread; ``narrow`` tables (a few numbers a row) go to four files a core at most, as tiny files cost more than they hold."""
+    def write(self, df: DataFrame, narrow: bool = True, large_rows: bool = False) -> DataFrame:
+        """Write and reread; ``narrow`` tables (a few numbers a row) go to four files a core at most, as tiny files cost more than they hold.
+
+        ``large_rows`` are of about a MB or more: a row group is closed at ``ROW_GROUP`` and not at 100 rows or more, as a reader holds one at a time.
+        """
         if narrow:
             df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         self.made += 1
         path = f"{self.folder}/{self.made}"
-        df.write.option("compression", "zstd").parquet(path)
+        sizes = {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1} if large_rows else {}
+        df.write.option("compression", "zstd").options(**sizes).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.scratch_path = path
         self.held.add(path)

@@ -5,16 +5,18 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from compare import assert_same, duck
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tallyframe.llm import chat, embedding_dedup, sentencepiece_codec  # noqa: E402
+from tallyframe.llm import chat, common, embedding_dedup, sentencepiece_codec  # noqa: E402
 from tallyframe.llm.pretokens import PreTokens, byte_pieces  # noqa: E402
 from tallyframe.llm.queries import ORACLES, QUERIES, URL_RULES  # noqa: E402
 from tallyframe.llm.url_filter import rule_table, url_filter  # noqa: E402
@@ -327,6 +329,18 @@ def test_chat_reads_back(spark):
     assert chat.chat_digest(df.limit(0), BPE).count() == 0
 
 
+def test_chat_reads_sequences_in_small_parts(spark, monkeypatch):
+    """Sequences are large rows: a row group holds some MB of them, however many there are."""
+    monkeypatch.setattr(common, "ROW_GROUP", 20_000)
+    rows = [(c, 0, "user", f"{c} " + " ".join(str((c * 7919 + i * i) % 10_007) for i in range(2_000))) for c in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    packs, _ = chat.chat_tree(df.coalesce(1), BPE, 1)
+    files = [pq.ParquetFile(f).metadata for f in Path(packs.scratch_path.removeprefix("file:")).glob("*.parquet")]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) == packs.count() > 20 and max(groups) <= 2
+    assert {r["conv_id"]: r["turns_sha256"] for r in chat.chat_digest(df, BPE).collect()} == {c: digest([("user", t)])[1] for c, _, _, t in rows}
+
+
 @pytest.mark.parametrize("paths", [256, 4])
 def test_chat_tree_shares_tokens(spark, paths):
     _, df = conversations(spark)
