@@ -7,36 +7,49 @@ reports are touched, and of the history only the periods of reports that have go
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.store import day
 from ..sources import folders
 from .sync import Home, stateful
 
 ACTIVITY = "store string, sku string, last_purchase date, last_sale date"
+#: So many groups of a store's SKUs are processed on their own; fixed for as long as a state lasts.
+GROUPS = 4096
+#: Days are counted from 1970; this stands for none. A report of a SKU is its number and the days of purchase and sale.
+_NONE, _REPORT = -(2**31), struct.Struct("<qii")
 
 
 class Dates(StatefulProcessor):
-    """One SKU of one store: the dates by report."""
+    """Some SKUs of one store: the days by report, one value for each SKU, which is read and written once in a batch."""
 
     def init(self, handle) -> None:
-        self.dates = handle.getMapState("dates", "number long", "bought date, sold date")
+        self.dates = handle.getMapState("dates", "sku string", "reports binary")
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-        changes = pd.concat(list(rows))
-        for c in changes[~changes["gone"]].itertuples():
-            self.dates.updateValue((int(c.number),), (day(c.bought), day(c.sold)))
-        for c in changes[changes["gone"]].itertuples():  # a report that came and went in one batch has gone
-            if self.dates.containsKey((int(c.number),)):
-                self.dates.removeKey((int(c.number),))
-        left = list(self.dates.values())
-        latest = lambda i: max((v[i] for v in left if v[i] is not None), default=None)
-        yield pd.DataFrame({"store": [key[0]], "sku": [key[1]], "last_purchase": [latest(0)], "last_sale": [latest(1)]})
+        changes: dict[str, list[tuple[bool, int, int, int]]] = {}
+        for part in rows:
+            for sku, *change in zip(*(part[c].tolist() for c in ("sku", "gone", "number", "bought", "sold"))):
+                changes.setdefault(sku, []).append(change)
+        out = []
+        for sku, found in changes.items():
+            held = self.dates.getValue((sku,))
+            reports = {n: (b, s) for n, b, s in _REPORT.iter_unpack(held[0])} if held else {}
+            reports.update((n, (b, s)) for gone, n, b, s in found if not gone)
+            for gone, n, _, _ in found:
+                if gone:  # a report that came and went in one batch has gone
+                    reports.pop(n, None)
+            if reports:
+                self.dates.updateValue((sku,), (b"".join(_REPORT.pack(n, *d) for n, d in reports.items()),))
+            elif held:
+                self.dates.removeKey((sku,))
+            out.append((key[0], sku, *(max((d[i] for d in reports.values()), default=_NONE) for i in (0, 1))))
+        yield pd.DataFrame(out, columns=["store", "sku", "last_purchase", "last_sale"])
 
     def close(self) -> None:
         pass
@@ -45,12 +58,16 @@ class Dates(StatefulProcessor):
 def activity_stream(spark: SparkSession, home: Home):
     """Takes all waiting changes of ``home`` into the state; each batch writes the SKUs that it touched to a folder of its own number."""
     quiet = stateful(spark)
+    date = lambda c: F.when(F.col(c) != _NONE, F.date_from_unix_date(c)).alias(c)
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{home.activity}/batch={number}")
+        batch.select("store", "sku", date("last_purchase"), date("last_sale")).write.mode("overwrite").parquet(f"{home.activity}/batch={number}")
 
+    days = lambda c: F.coalesce(F.unix_date(c), F.lit(_NONE)).alias(c)
+    group: Column = F.pmod(F.xxhash64("sku"), F.lit(GROUPS)).alias("group")
     changes = quiet.readStream.schema("store string, sku string, number long, bought date, sold date, gone boolean").parquet(f"{home.changes}/*")
-    state = changes.groupBy("store", "sku").transformWithStateInPandas(Dates(), ACTIVITY, "Update", "none")
+    state = changes.select("store", group, "sku", "number", days("bought"), days("sold"), "gone").groupBy("store", "group")
+    state = state.transformWithStateInPandas(Dates(), "store string, sku string, last_purchase int, last_sale int", "Update", "none")
     return state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{home.checkpoint}-activity").trigger(availableNow=True).start()
 
 

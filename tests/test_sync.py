@@ -6,6 +6,7 @@ import os
 import shutil
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import functions as F
 from tallyframe.operators.store import Ledger
 from tallyframe.streaming import activity, sync
@@ -106,3 +107,32 @@ def test_any_batches_give_one_fold(spark, tmp_path):
         if n in (1, 3, 4):
             sync.decide(spark, parted).awaitTermination()
     assert live_rows(spark, parted) == expected
+
+
+class Calls(dict):
+    """A map state that counts what is asked of it."""
+
+    made = 0
+
+    def getValue(self, key):
+        self.made += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.made += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.made += 1
+        del self[key]
+
+
+def test_activity_reads_and_writes_the_state_once_a_sku():
+    state, dates = Calls(), activity.Dates()
+    dates.init(type("Handle", (), {"getMapState": lambda *_: state})())
+    run = lambda *rows: list(dates.handleInputRows(("main", 0), iter([pd.DataFrame(rows, columns=["sku", "number", "bought", "sold", "gone"])]), None))[0].values.tolist()
+    none = -(2**31)
+    assert run(*[("x", n, n if n % 2 else none, 100 + n, False) for n in range(50)], ("y", 3, none, 7, False)) == [["main", "x", 49, 149], ["main", "y", none, 7]]
+    assert state.made == 4
+    assert run(("x", 49, none, none, True), ("x", 60, none, 90, False), ("y", 3, none, 7, True)) == [["main", "x", 47, 148], ["main", "y", none, none]]
+    assert state.made == 8 and list(state) == [("x",)]
