@@ -109,6 +109,21 @@ def test_any_batches_give_one_fold(spark, tmp_path):
     assert live_rows(spark, parted) == expected
 
 
+def test_repeated_items_add_up_and_rows_are_kept_once(spark, tmp_path):
+    """An item that a sheet has twice is one row; rows that are among the entries are not kept a second time."""
+    folder, home = tmp_path / "in", sync.Home(str(tmp_path / "home"))
+    sheet(folder, "may.xls", "2026-05-01", "2026-05-31", 1_000, x=5, y=6)
+    sheet(folder, "june.xls", "2026-06-01", "2026-06-30", 1_000, x=7)
+    again = ["x", "", "", "", "", "1", "0", "0", "0", "2", "0", "0", "", "4", "40"]
+    with (folder / "may.xls").open("a") as f:
+        f.write("\n" + "\n".join("\t".join(x) for x in (["Other"], again)))
+    os.utime(folder / "may.xls", (1_000, 1_000))
+    assert sync.refresh(spark, home, str(folder)) == 2
+    assert live_rows(spark, home) == [("main", "2026-05-01", "x", 9), ("main", "2026-05-01", "y", 6), ("main", "2026-06-01", "x", 7)]
+    assert {r["brand"] for r in sync.live_history(spark, home).collect()} == {"Brand"}
+    assert not os.path.exists(home.rows)
+
+
 class Calls(dict):
     """A map state that counts what is asked of it."""
 
